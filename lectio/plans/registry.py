@@ -257,3 +257,186 @@ def q_seed_report(spark, sf):
     rep = M.seed_report(X.seed_runs(_t(spark, sf)))
     return rep.select("name", *[r6(c).alias(c) for c in ("mae_mean", "mae_std", "rmse_mean", "rmse_std")],
                       "n_seeds")
+
+
+# ---------------------------------------------------------------- alignment and mixed model
+def _token_table_ctes(name: str, source: str, id_col: str) -> list[tuple[str, str]]:
+    """SQL twin of surprisal.token_table over a (id, tok_pos, word) source."""
+    return [
+        (f"{name}_cnt", f"SELECT lower(word) AS k, count(*) AS c FROM ({source}) GROUP BY 1"),
+        (f"{name}_tot", f"SELECT CAST(sum(c) + count(*) AS DOUBLE) AS denom FROM {name}_cnt"),
+        (name, f"""SELECT t.{id_col}, t.tok_pos, t.word, CAST(length(t.word) AS BIGINT) AS wlen,
+                 CAST(t.tok_pos - coalesce(max(CASE WHEN regexp_matches(t.word, '^[.!?]$') THEN t.tok_pos END)
+                      OVER (PARTITION BY t.{id_col} ORDER BY t.tok_pos
+                            ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS sentpos,
+                 -log2(CAST(c.c + 1 AS DOUBLE) / (SELECT denom FROM {name}_tot)) AS surp
+              FROM ({source}) t JOIN {name}_cnt c ON c.k = lower(t.word)"""),
+    ]
+
+
+_ALIGN_CTE = _token_table_ctes("lmtt", "SELECT item, tok_pos, token AS word FROM lm_tokens", "item") + [
+    ("spans", f"""SELECT item, zone, word, n_tok,
+                   coalesce(sum(n_tok) OVER (PARTITION BY item ORDER BY zone
+                            ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start
+                 FROM (SELECT item, zone, word,
+                              greatest(len(regexp_extract_all(word, '{TOK}')), 1) AS n_tok FROM stories)"""),
+    ("pos", "SELECT item, zone, word, unnest(range(CAST(start + 1 AS BIGINT), CAST(start + n_tok + 1 AS BIGINT))) AS tok_pos FROM spans"),
+    ("al", """SELECT p.item, p.zone, p.word, string_agg(t.word, '' ORDER BY t.tok_pos) AS pieces,
+                     CAST(count(t.word) AS BIGINT) AS n_tok, CAST(sum(t.wlen) AS BIGINT) AS wlen,
+                     CAST(sum(t.sentpos) AS BIGINT) AS sentpos, arg_min(t.sentpos, t.tok_pos) AS sentpos_first,
+                     sum(t.surp) AS surp
+              FROM pos p LEFT JOIN lmtt t ON t.item = p.item AND t.tok_pos = p.tok_pos
+              GROUP BY 1, 2, 3"""),
+    ("rt", "SELECT word, zone, item, avg(meanItemRT) AS rt FROM word_rts GROUP BY 1, 2, 3"),
+]
+
+
+def _aligned(spark, sf):
+    from ..operators import align as A
+    t = _t(spark, sf)
+    lm = X.lm_tokens(t).withColumnRenamed("token", "word")
+    tt = S.token_table(lm, "item")
+    return A.align_tokens(X.stories(t), tt), A, t
+
+
+@query("align_tokens", with_views("""
+SELECT item, zone, word, pieces, n_tok, wlen, sentpos, sentpos_first, round(surp, 6) AS surp,
+       CAST(pieces = word OR contains(pieces, '<unk>') AS BIGINT) AS matched
+FROM al""", "stories", "lm_tokens", "word_rts", extra=_ALIGN_CTE))
+def q_align_tokens(spark, sf):
+    al, _, _ = _aligned(spark, sf)
+    return al.select("item", "zone", "word", "pieces", "n_tok", "wlen", "sentpos", "sentpos_first",
+                     r6("surp").alias("surp"), "matched")
+
+
+@query("join_word_rt", with_views("""
+SELECT s.item, s.zone, s.word, round(r.rt, 6) AS rt FROM stories s
+LEFT JOIN rt r ON r.word = s.word AND r.zone = s.zone AND r.item = s.item""",
+                                  "stories", "lm_tokens", "word_rts", extra=_ALIGN_CTE))
+def q_join_word_rt(spark, sf):
+    from ..operators import align as A
+    t = _t(spark, sf)
+    j = A.join_word_rt(X.stories(t), X.word_rts(t))
+    return j.select("item", "zone", "word", r6("rt").alias("rt"))
+
+
+@query("lmm_training_table", with_views("""
+SELECT a.item, a.zone, a.word, a.wlen, a.sentpos, round(a.surp, 6) AS surp, round(r.rt, 6) AS rt
+FROM al a LEFT JOIN rt r ON r.word = a.word AND r.zone = a.zone AND r.item = a.item""",
+                                        "stories", "lm_tokens", "word_rts", extra=_ALIGN_CTE))
+def q_lmm_training_table(spark, sf):
+    al, A, t = _aligned(spark, sf)
+    j = A.join_word_rt(al, X.word_rts(t))
+    return j.select("item", "zone", "word", "wlen", "sentpos", r6("surp").alias("surp"), r6("rt").alias("rt"))
+
+
+@query("rebuild_story", with_views(f"""
+SELECT item, array_to_string(regexp_extract_all(string_agg(word, ' ' ORDER BY zone), '{TOK}'), ' ') AS tok_text
+FROM stories GROUP BY item""", "stories"))
+def q_rebuild_story(spark, sf):
+    from ..operators import align as A
+    return A.rebuild_story(X.stories(_t(spark, sf)))
+
+
+def lmm_fit(spark, sf):
+    """A2 -> A3: fit RT ~ wlen + sentpos + surp with a random intercept per word."""
+    from ..operators import align as A
+    from ..operators.mixedlm import fit_mixedlm
+    al, A, t = _aligned(spark, sf)
+    train = A.join_word_rt(al, X.word_rts(t))
+    return fit_mixedlm(train, "rt", ["wlen", "sentpos", "surp"], "word")
+
+
+@query("mixed_model_fit")
+def q_mixed_model_fit(spark, sf):
+    res = lmm_fit(spark, sf)
+    rows = sorted(res.params().items()) + [("n_obs", float(res.n_obs)), ("n_groups", float(res.n_groups))]
+    return spark.createDataFrame(rows, "param string, value double")
+
+
+def lmm_seconds_frame(spark, sf):
+    from ..operators.mixedlm import doc_seconds
+    res = lmm_fit(spark, sf)
+    tt = S.token_surprisal(_t(spark, sf).documents)
+    return doc_seconds(tt, res, "doc_id")
+
+
+@query("lmm_doc_seconds")
+def q_lmm_doc_seconds(spark, sf):
+    return lmm_seconds_frame(spark, sf).select("doc_id", r6("seconds").alias("seconds"))
+
+
+@query("lookup_lmm")
+def q_lookup_lmm(spark, sf):
+    """LMM seconds written as a JSON map (K4), read back (S5) with
+    string keys cast to the article key, looked up per response."""
+    from ..session import scratch_path
+    from ..sources import read_json_map, write_json_map
+    path = scratch_path(spark, "lmm-json")
+    write_json_map(lmm_seconds_frame(spark, sf), "doc_id", "seconds", path)
+    m = read_json_map(spark, path, "doc_id", "lmm_seconds", key_type="long")
+    r = P.lookup_join(X.responses(_t(spark, sf)), m, "survey_num", "lmm_seconds", lookup_key="doc_id")
+    return r.select("response_id", "survey_num", r6("lmm_seconds").alias("lmm_seconds"))
+
+
+# ---------------------------------------------------------------- sources / sinks round trips
+@query("scan_csv_roundtrip", with_views("SELECT survey_num, md5(text) AS text_md5, length(text) AS n_chars FROM texts",
+                                        "texts"))
+def q_scan_csv(spark, sf):
+    from ..session import scratch_path
+    from ..sources import read_csv_table, write_csv_table
+    path = scratch_path(spark, "texts-csv")
+    write_csv_table(X.texts(_t(spark, sf)), path)
+    back = read_csv_table(spark, path, "survey_num long, text string")
+    return back.select("survey_num", F.md5("text").alias("text_md5"), F.length("text").cast("long").alias("n_chars"))
+
+
+@query("scan_tsv_roundtrip", with_views("SELECT item, zone, word FROM stories", "stories"))
+def q_scan_tsv(spark, sf):
+    from ..session import scratch_path
+    from ..sources import read_tsv_table, write_tsv_table
+    path = scratch_path(spark, "stories-tsv")
+    write_tsv_table(X.stories(_t(spark, sf)), path)
+    return read_tsv_table(spark, path, "item long, zone long, word string")
+
+
+@query("scan_token_dir", with_views(
+    "SELECT doc_id, round(sum(surp), 6) AS surprisal, CAST(count(*) AS BIGINT) AS n_tokens FROM tt GROUP BY 1",
+    extra=_TOKENS_CTE))
+def q_scan_token_dir(spark, sf):
+    """S3 + T7 + G1: token tables written per document, read back by glob with
+    the key parsed from the path, summed per document."""
+    from ..session import scratch_path
+    from ..sources import read_token_outputs, write_token_outputs
+    path = scratch_path(spark, "token-dir")
+    write_token_outputs(S.token_surprisal(_t(spark, sf).documents), path, "doc_id")
+    back = read_token_outputs(spark, path, "word string, wlen long, sentpos long, surp double",
+                              glob="*.csv", key_pattern=r"/doc=([^/]+)/", key_col="doc_id")
+    return (back.groupBy(F.col("doc_id").cast("long").alias("doc_id"))
+                .agg(F.round(F.sum("surp"), 6).alias("surprisal"), F.count(F.lit(1)).alias("n_tokens")))
+
+
+@query("scan_json_map", with_views(
+    "SELECT doc_id, round(sum(surp), 6) AS surprisal FROM tt GROUP BY 1", extra=_TOKENS_CTE))
+def q_scan_json_map(spark, sf):
+    """K4 then S5: article -> surprisal written as a JSON map and read back."""
+    from ..session import scratch_path
+    from ..sources import read_json_map, write_json_map
+    path = scratch_path(spark, "json-map")
+    write_json_map(S.surprisal_per_doc(S.token_surprisal(_t(spark, sf).documents), "doc_id"),
+                   "doc_id", "surprisal", path)
+    back = read_json_map(spark, path, "doc_id", "surprisal", key_type="long")
+    return back.select("doc_id", r6("surprisal").alias("surprisal"))
+
+
+@query("split_text", f"""
+SELECT doc_id, 'raw' AS variant, md5(text) AS text_md5 FROM documents
+UNION ALL
+SELECT doc_id, 'tok', md5(array_to_string(regexp_extract_all(text, '{TOK}'), ' ')) FROM documents""")
+def q_split_text(spark, sf):
+    from ..session import scratch_path
+    from ..sources import write_split_text
+    path = scratch_path(spark, "split-text")
+    write_split_text(_t(spark, sf).documents, path)
+    back = spark.read.parquet(path)
+    return back.select("doc_id", "variant", F.md5("text").alias("text_md5"))
