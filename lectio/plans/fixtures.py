@@ -118,3 +118,63 @@ def seed_runs(t: Tables) -> DataFrame:
     return (e.groupBy(F.col("event_type").alias("name"), (F.col("event_id") % 5).alias("seed"))
              .agg(F.avg(F.abs(F.col("value") - 40)).alias("mae"),
                   F.sqrt(F.avg(F.pow(F.col("value") - 40, 2))).alias("rmse")))
+
+
+# ---- task TSV lines (shared SQL expressions: evaluated by Spark and the oracle alike)
+_CLEAN = "translate({x}, chr(9) || chr(10) || chr(13), '   ')"
+_A = _CLEAN.format(x="text_a")
+_B = _CLEAN.format(x="coalesce(text_b, '')")
+_TX = _CLEAN.format(x="text")
+_CID = "CAST(conv_id AS STRING)"
+_TURN = "CAST(turn AS STRING)"
+_L2 = "CAST((conv_id + turn) % 2 AS STRING)"
+_LB2 = "CAST(item_id % 2 AS STRING)"
+_LNLI = "CASE (conv_id + turn) % 3 WHEN 0 THEN 'contradiction' WHEN 1 THEN 'entailment' ELSE 'neutral' END"
+_LQNLI = "CASE (conv_id + turn) % 2 WHEN 0 THEN 'entailment' ELSE 'not_entailment' END"
+
+# task -> (source view, order keys, header?, field expressions)
+TASK_LINES = {
+    "mrpc": ("pairs", ["conv_id", "turn"], True, [_L2, _CID, _TURN, _A, _B]),
+    "mnli": ("pairs", ["conv_id", "turn"], True,
+             [_CID, _TURN, "'g'", "'p'", "'x'", "'x'", "'x'", "'x'", _A, _B, _LNLI]),
+    "mnli-mm": ("pairs", ["conv_id", "turn"], True,
+                [_CID, _TURN, "'g'", "'p'", "'x'", "'x'", "'x'", "'x'", _A, _B, _LNLI]),
+    "cola": ("benchmark", ["item_id"], False, ["'b' || CAST(item_id AS STRING)", _LB2, "''", _TX]),
+    "sst-2": ("benchmark", ["item_id"], True, [_TX, _LB2]),
+    "sts-b": ("benchmark", ["item_id"], True, [_TX, "printf('%.2f', length(text) / CAST(100 AS DOUBLE))"]),
+    "qqp": ("pairs", ["conv_id", "turn"], True, [_CID, _TURN, "CAST(turn + 1 AS STRING)", _A, _B, _L2]),
+    "qnli": ("pairs", ["conv_id", "turn"], True, [_CID, _A, _B, _LQNLI]),
+    "rte": ("pairs", ["conv_id", "turn"], True, [_CID, _A, _B, _LQNLI]),
+    "wnli": ("pairs", ["conv_id", "turn"], True, [_CID, _A, _B, _L2]),
+}
+
+
+def line_expr(fields: list[str], line_no: str = "line_no") -> str:
+    """Tab-joined fields; every 7th line (line_no % 7 = 6) loses its last field."""
+    full = "concat_ws(chr(9), {})".format(", ".join(fields))
+    short = "concat_ws(chr(9), {})".format(", ".join(fields[:-1]))
+    return f"CASE WHEN {line_no} % 7 = 6 THEN {short} ELSE {full} END"
+
+
+def header_line(fields: list[str]) -> str:
+    return "\t".join(f"f{i}" for i in range(len(fields)))
+
+
+def task_lines(t: Tables, task: str) -> DataFrame:
+    """(task, line_no, line) of one task file, header first where the layout has one."""
+    from ..operators.indexing import with_row_index
+    source, keys, header, fields = TASK_LINES[task]
+    src = pairs(t) if source == "pairs" else t.benchmark
+    idx = with_row_index(src, keys, "_r")
+    data = idx.withColumn("line_no", F.col("_r") + (1 if header else 0))
+    out = data.select(F.lit(task).alias("task"), "line_no", F.expr(line_expr(fields)).alias("line"))
+    if header:
+        spark = t.spark
+        h = spark.createDataFrame([(task, 0, header_line(fields))], "task string, line_no long, line string")
+        out = h.unionByName(out)
+    return out
+
+
+def all_task_lines(t: Tables) -> DataFrame:
+    from functools import reduce
+    return reduce(lambda a, b: a.unionByName(b), [task_lines(t, k) for k in TASK_LINES])

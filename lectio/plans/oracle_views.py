@@ -72,3 +72,18 @@ def with_views(sql: str, *names: str, extra: list[tuple[str, str]] | None = None
     if not ctes:
         return sql
     return "WITH " + ",\n".join(ctes) + "\n" + sql
+
+
+def task_lines_sql() -> str:
+    """(task, line_no, line) for all ten task files, as in fixtures.all_task_lines."""
+    from .fixtures import TASK_LINES, header_line, line_expr
+    parts = []
+    for task, (source, keys, header, fields) in TASK_LINES.items():
+        off = 1 if header else 0
+        order = ", ".join(keys)
+        parts.append(f"""SELECT '{task}' AS task, line_no, {line_expr(fields)} AS line FROM (
+            SELECT *, CAST(row_number() OVER (ORDER BY {order}) - 1 + {off} AS BIGINT) AS line_no FROM {source})""")
+        if header:
+            parts.append(f"SELECT '{task}' AS task, CAST(0 AS BIGINT) AS line_no, "
+                         f"'{header_line(fields)}' AS line")
+    return "\nUNION ALL\n".join(parts)

@@ -440,3 +440,5 @@ def q_split_text(spark, sf):
     write_split_text(_t(spark, sf).documents, path)
     back = spark.read.parquet(path)
     return back.select("doc_id", "variant", F.md5("text").alias("text_md5"))
+
+from . import q_seq  # noqa: E402,F401
