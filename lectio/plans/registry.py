@@ -442,3 +442,4 @@ def q_split_text(spark, sf):
     return back.select("doc_id", "variant", F.md5("text").alias("text_md5"))
 
 from . import q_seq  # noqa: E402,F401
+from . import q_metrics  # noqa: E402,F401
