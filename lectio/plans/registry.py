@@ -444,3 +444,4 @@ def q_split_text(spark, sf):
 from . import q_seq  # noqa: E402,F401
 from . import q_metrics  # noqa: E402,F401
 from . import q_embed  # noqa: E402,F401
+from . import q_models  # noqa: E402,F401
