@@ -70,11 +70,11 @@ def assign_folds(df: DataFrame, order_col: str, k: int = 10, fold_col: str = "fo
     """
     if group_col is None:
         idx = with_row_index(df, order_col, "_row_idx")
-        n = df.count()
+        n = idx.count()   # reads the checkpointed rows, not the upstream plan
         return idx.withColumn(fold_col, fold_of("_row_idx", n, k)).drop("_row_idx")
     groups = df.select(group_col).distinct()
     gidx = with_row_index(groups, group_col, "_row_idx")
-    n = groups.count()
+    n = gidx.count()
     gf = gidx.withColumn(fold_col, fold_of("_row_idx", n, k)).drop("_row_idx")
     return df.join(gf, group_col)
 

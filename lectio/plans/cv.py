@@ -40,9 +40,11 @@ def modelling_table(t: X.Tables, k: int = 10, lmm_seconds: DataFrame | None = No
             F.coalesce(F.col("num_words"), F.lit(0)).cast("double").alias("x_words"),
             F.coalesce(F.col("surprisal"), F.lit(0.0)).alias("x_surp"),
             F.col("reading_time").alias("y")]
+    # a missing article has no LMM seconds: predict 0 s (counted by data_checks)
     if lmm_seconds is not None:
-        r = lookup_join(r, lmm_seconds, "survey_num", "lmm_seconds")
-        cols.append(F.col("lmm_seconds"))
+        r = lookup_join(r, lmm_seconds.withColumnRenamed("seconds", "lmm_seconds"), "survey_num",
+                        "lmm_seconds", lookup_key="doc_id")
+        cols.append(F.coalesce(F.col("lmm_seconds"), F.lit(0.0)).alias("lmm_seconds"))
     return assign_folds(r.select(*cols), "response_id", k)
 
 
