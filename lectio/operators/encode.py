@@ -164,8 +164,11 @@ def encode(ids: DataFrame, max_len: int, preset: Preset = Preset(), a: str = "id
     seps_a = F.concat(sep, sep) if preset.sep_extra else sep
     tok = F.concat(arr_a, seps_a)
     seg = F.array_repeat(F.lit(preset.seg_a), F.size(tok))
-    tok = F.when(has_b, F.concat(tok, arr_b, sep)).otherwise(tok)
-    seg = F.when(has_b, F.concat(seg, F.array_repeat(F.lit(preset.seg_b), F.size(arr_b) + 1))).otherwise(seg)
+    # pair truncation applies whenever text b exists; its segment only when
+    # it kept at least one token
+    append_b = F.size(arr_b) > 0
+    tok = F.when(append_b, F.concat(tok, arr_b, sep)).otherwise(tok)
+    seg = F.when(append_b, F.concat(seg, F.array_repeat(F.lit(preset.seg_b), F.size(arr_b) + 1))).otherwise(seg)
     cls = F.array(F.lit(CLS_ID).cast("long"))
     cseg = F.array(F.lit(preset.cls_segment))
     if preset.cls_at_end:
