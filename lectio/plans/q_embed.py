@@ -127,3 +127,38 @@ FROM (SELECT doc_id AS survey_num, row_number() OVER (ORDER BY md5('42|' || CAST
 def q_split(spark, sf):
     x = X.texts(_t(spark, sf)).select("survey_num")
     return train_dev_test_split(x, "survey_num", 0.3, 42)
+
+
+@query("sink_json_map", with_views(
+    "SELECT doc_id, round(sum(surp), 6) AS surprisal FROM tt GROUP BY 1",
+    extra=__import__("lectio.plans.registry", fromlist=["_TOKENS_CTE"])._TOKENS_CTE))
+def q_sink_json_map(spark, sf):
+    """K4: the written JSON lines parsed line by line (one object per line)."""
+    from ..operators import surprisal as S
+    from ..session import scratch_path
+    from ..sources import write_json_map
+    path = scratch_path(spark, "json-sink")
+    write_json_map(S.surprisal_per_doc(S.token_surprisal(_t(spark, sf).documents), "doc_id"),
+                   "doc_id", "surprisal", path)
+    m = F.from_json(F.col("value"), "map<string,double>")
+    back = spark.read.text(path).select(F.explode(m).alias("k", "v"))
+    return back.select(F.col("k").cast("long").alias("doc_id"), r6("v").alias("surprisal"))
+
+
+@query("stream_surprisal", with_views(
+    "SELECT doc_id, round(sum(surp), 6) AS surprisal, CAST(count(*) AS BIGINT) AS n_tokens FROM tt GROUP BY 1",
+    extra=__import__("lectio.plans.registry", fromlist=["_TOKENS_CTE"])._TOKENS_CTE))
+def q_stream_surprisal(spark, sf):
+    """G1 as a streaming job: token tables land per document, a file-source
+    stream sums them per micro-batch, totals are read back."""
+    from ..operators import surprisal as S
+    from ..session import scratch_path
+    from ..sources import write_token_outputs
+    from ..streaming import start_surprisal_stream, stream_totals
+    src, out, ck = (scratch_path(spark, n) for n in ("stream-in", "stream-out", "stream-ck"))
+    write_token_outputs(S.token_surprisal(_t(spark, sf).documents), src, "doc_id")
+    q = start_surprisal_stream(spark, src, out, ck, glob="*.csv", key_pattern=r"/doc=([^/]+)/")
+    q.awaitTermination()
+    tot = stream_totals(spark, out)
+    return tot.select(F.col("doc_key").cast("long").alias("doc_id"), r6("surprisal").alias("surprisal"),
+                      F.col("n_tokens").cast("long").alias("n_tokens"))
