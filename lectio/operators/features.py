@@ -39,8 +39,8 @@ def word_frequency_feature(docs: DataFrame, id_col: str = "doc_id",
     dw = (docs.select(id_col, F.explode(F.transform(T.word_tokens(text_col), lambda w: F.lower(w)))
                       .alias("w"))
               .groupBy(id_col, "w").agg(F.count(F.lit(1)).alias("c_dw")))
-    corpus = dw.groupBy("w").agg(F.sum("c_dw").alias("c_w"))
-    total = corpus.select(F.sum("c_w")).scalar()
+    corpus = dw.groupBy("w").agg(F.sum("c_dw").alias("c_w")).persist()
+    total = corpus.select(F.sum("c_w")).first()[0] or 0
     per_doc = (dw.join(corpus, "w")
                  .groupBy(id_col)
                  .agg(F.sum(F.col("c_dw") * F.col("c_w")).alias("_num"),
@@ -48,7 +48,7 @@ def word_frequency_feature(docs: DataFrame, id_col: str = "doc_id",
     return (docs.select(id_col).join(per_doc, id_col, "left")
                 .select(id_col,
                         (F.col("_num").cast("double")
-                         / (F.col("_n") * total).cast("double")).alias("freq")))
+                         / (F.col("_n") * F.lit(total)).cast("double")).alias("freq")))
 
 
 def category_flags(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:

@@ -34,7 +34,8 @@ def token_table(tokens: DataFrame, id_col: str, pos_col: str = "tok_pos",
     the token count of one text, which already lives in one row upstream.
     """
     toks = tokens.withColumn("_key", F.lower(F.col(word_col)))
-    counts = toks.groupBy("_key").agg(F.count(F.lit(1)).alias("_c"))
+    # the vocabulary counts feed both the normaliser and the join: computed once
+    counts = toks.groupBy("_key").agg(F.count(F.lit(1)).alias("_c")).persist()
     stats = counts.agg(F.sum("_c").alias("_n"), F.count(F.lit(1)).alias("_v"))
     n_tok, n_voc = (lambda r: (r["_n"] or 0, r["_v"] or 0))(stats.first())
     denom = float(n_tok + n_voc)
@@ -52,6 +53,23 @@ def token_surprisal(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return token_table(explode_tokens(docs, id_col, text_col), id_col)
 
 
+def doc_surprisal_sums(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
+                       out_col: str = "surprisal") -> DataFrame:
+    """G1 for the corpus-count surprisal without materialising the token table:
+    (doc, token) counts are pre-aggregated, so the join to the vocabulary
+    carries one row per distinct token of a document, and no per-token
+    window is needed (sentence positions do not enter the sum)."""
+    dk = (docs.select(id_col, F.explode(T.tokens(text_col)).alias("_w"))
+              .groupBy(id_col, F.lower("_w").alias("_key")).agg(F.count(F.lit(1)).alias("_cd")))
+    counts = dk.groupBy("_key").agg(F.sum("_cd").alias("_c")).persist()
+    st = counts.agg(F.sum("_c").alias("_n"), F.count(F.lit(1)).alias("_v")).first()
+    denom = float((st["_n"] or 0) + (st["_v"] or 0))
+    per = (dk.join(counts, "_key")
+             .groupBy(id_col)
+             .agg(F.sum(F.col("_cd") * -F.log2((F.col("_c") + 1).cast("double") / F.lit(denom))).alias(out_col)))
+    return docs.select(id_col).join(per, id_col, "left").fillna(0.0, [out_col])
+
+
 def surprisal_per_doc(token_tbl: DataFrame, id_col: str, surp_col: str = "surp",
                       out_col: str = "surprisal") -> DataFrame:
     """G1: sum of token surprisal per document (partial aggregation per task)."""

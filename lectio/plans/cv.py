@@ -21,7 +21,7 @@ from ..operators.features import one_hot
 from ..operators.indexing import assign_folds
 from ..operators.metrics import cv_report, fold_scores
 from ..operators.prep import lookup_join
-from ..operators.surprisal import surprisal_per_doc, token_surprisal
+from ..operators.surprisal import doc_surprisal_sums
 from . import fixtures as X
 
 DATA_ONLY = "Data-Only"
@@ -33,7 +33,7 @@ def modelling_table(t: X.Tables, k: int = 10, lmm_seconds: DataFrame | None = No
 
     ``num_words`` / ``surprisal`` are 0 when the article text is missing."""
     r = X.responses(t)
-    surp = surprisal_per_doc(token_surprisal(t.documents), "doc_id")
+    surp = doc_surprisal_sums(t.documents)
     r = lookup_join(r, surp, "survey_num", "surprisal", lookup_key="doc_id")
     cols = [F.col("response_id"), F.col("survey_num"), F.col("person_id"), F.col("hour_of_day"),
             F.col("device"),

@@ -27,10 +27,25 @@ class Tables:
 
     def __getattr__(self, name: str) -> DataFrame:
         if name in TABLES:
-            return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+            df = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+            return spread(df) if name in TEXT_TABLES else df
         raise AttributeError(name)
 
 
+TEXT_TABLES = {"documents", "pages", "conversations"}
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Text tables are CPU-bound (regex tokenising): when a scan yields fewer
+    splits than the cluster has cores (a few large row groups), spread the
+    rows round-robin so every core works.  A large table already has more
+    splits than cores and is left untouched (no extra shuffle)."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < cores:
+        return df.repartition(cores)
+    return df
+
+
 def texts(t: Tables) -> DataFrame:
     return t.documents.select(F.col("doc_id").alias("survey_num"), "text")
 
