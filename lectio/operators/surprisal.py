@@ -17,6 +17,7 @@ from pyspark.sql.window import Window
 from ..functions import text as T
 
 SENT_END_TOKEN = r"^[.!?]$"     # fixed value: a token that closes a sentence
+SENTENCE_CHUNK = r"[^.!?]*[.!?]|[^.!?]+"   # fixed value: text up to and including one closing mark
 
 
 def explode_tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -70,6 +71,21 @@ def doc_surprisal_sums(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     return docs.select(id_col).join(per, id_col, "left").fillna(0.0, [out_col])
 
 
+def doc_token_sums(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Per document: token count and the sums of wlen and sentpos of its token
+    table, as row expressions (no explode, no window).  A sentence of L tokens
+    contributes 1 + ... + L to the sentpos sum; sentences are the text cut
+    after each closing mark, which never splits a token."""
+    toks = T.tokens(text_col)
+    chunks = F.regexp_extract_all(F.col(text_col), F.lit(SENTENCE_CHUNK), 0)
+    lens = F.transform(chunks, lambda c: F.size(T.tokens(c)).cast("long"))
+    sentpos_sum = F.aggregate(lens, F.lit(0).cast("long"), lambda acc, n: acc + F.floor(n * (n + 1) / 2).cast("long"))
+    wlen_sum = F.aggregate(F.transform(toks, lambda w: F.length(w).cast("long")), F.lit(0).cast("long"),
+                           lambda acc, n: acc + n)
+    return docs.select(id_col, F.size(toks).cast("long").alias("n_tokens"), wlen_sum.alias("wlen"),
+                       sentpos_sum.alias("sentpos"))
+
+
 def surprisal_per_doc(token_tbl: DataFrame, id_col: str, surp_col: str = "surp",
                       out_col: str = "surprisal") -> DataFrame:
     """G1: sum of token surprisal per document (partial aggregation per task)."""

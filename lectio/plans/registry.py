@@ -355,10 +355,13 @@ def q_mixed_model_fit(spark, sf):
 
 
 def lmm_seconds_frame(spark, sf):
-    from ..operators.mixedlm import doc_seconds
+    """A4 + G2: fixed-effect prediction summed per article, from per-article
+    covariate sums (equal to summing the per-token predictions)."""
+    from ..operators.mixedlm import doc_seconds_from_sums
     res = lmm_fit(spark, sf)
-    tt = S.token_surprisal(_t(spark, sf).documents)
-    return doc_seconds(tt, res, "doc_id")
+    docs = _t(spark, sf).documents
+    sums = S.doc_token_sums(docs).join(S.doc_surprisal_sums(docs).withColumnRenamed("surprisal", "surp"), "doc_id")
+    return doc_seconds_from_sums(sums, res, "doc_id")
 
 
 @query("lmm_doc_seconds")

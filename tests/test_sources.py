@@ -51,3 +51,19 @@ def test_alignment_multi_token_words_and_unk(spark):
     assert al[2].pieces == "go," and al[2].n_tok == 2 and al[2].matched == 1
     assert al[2].wlen == 3 and al[2].sentpos == al[2].sentpos_first * 2 + 1
     assert al[3].matched == 1      # <unk> accepted
+
+
+def test_doc_sums_equal_token_table_sums(spark):
+    from lectio.operators import surprisal as S
+    docs = spark.createDataFrame([(1, "One two. Three four five! Six"), (2, "..."), (3, ""), (4, "a b? c")],
+                                 "doc_id long, text string")
+    tt = S.token_surprisal(docs)
+    a = {r.doc_id: r for r in tt.groupBy("doc_id").agg(F.count("*").alias("n"), F.sum("wlen").alias("w"),
+                                                         F.sum("sentpos").alias("s"),
+                                                         F.sum("surp").alias("u")).collect()}
+    b = {r.doc_id: r for r in S.doc_token_sums(docs).collect()}
+    c = {r.doc_id: r.surprisal for r in S.doc_surprisal_sums(docs).collect()}
+    for k, r in a.items():
+        assert (b[k].n_tokens, b[k].wlen, b[k].sentpos) == (r.n, r.w, r.s)
+        assert abs(c[k] - r.u) < 1e-9
+    assert b[3].n_tokens == 0 and c[3] == 0.0
