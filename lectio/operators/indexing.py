@@ -103,3 +103,24 @@ def average_rank(df: DataFrame, col: str, rank_col: str) -> DataFrame:
                   .select(col, (F.col("_off") + F.col("_before_local")
                                 + (F.col("_cnt") + 1) / 2.0).alias(rank_col)))
     return df.join(ranks, col)
+
+
+def running_total(df: DataFrame, part_cols, order_col: str, value_col: str, out_col: str,
+                  block: int = 4096) -> DataFrame:
+    """Exclusive running sum of ``value_col`` over ``order_col`` inside each
+    ``part_cols`` group, in two levels so that no task holds a whole group:
+    per-block totals (block = order value div ``block``) get an exclusive
+    running sum over blocks (a group has only rows/block of them), each block
+    is scanned on its own, and the two are added.  ``order_col`` should be a
+    dense position (word / token number)."""
+    from pyspark.sql.window import Window
+    part_cols = [part_cols] if isinstance(part_cols, str) else list(part_cols)
+    d = df.withColumn("_blk", F.floor(F.col(order_col) / block))
+    bt = d.groupBy(*part_cols, "_blk").agg(F.sum(value_col).alias("_bt"))
+    wb = Window.partitionBy(*part_cols).orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1)
+    bt = bt.select(*part_cols, "_blk", F.coalesce(F.sum("_bt").over(wb), F.lit(0)).alias("_before"))
+    wl = Window.partitionBy(*part_cols, "_blk").orderBy(order_col).rowsBetween(Window.unboundedPreceding, -1)
+    d = d.withColumn("_local", F.coalesce(F.sum(value_col).over(wl), F.lit(0)))
+    return (d.join(bt, part_cols + ["_blk"])
+             .withColumn(out_col, (F.col("_before") + F.col("_local")).cast("long"))
+             .drop("_blk", "_before", "_local"))

@@ -92,9 +92,9 @@ def word_rts(t: Tables) -> DataFrame:
 
 def lm_tokens(t: Tables) -> DataFrame:
     """(item, tok_pos, token): each story word's tokens, numbered through the story."""
-    s = stories(t).withColumn("toks", T.tokens("word"))
-    w = Window.partitionBy("item").orderBy("zone").rowsBetween(Window.unboundedPreceding, -1)
-    s = s.withColumn("start", F.coalesce(F.sum(F.size("toks")).over(w), F.lit(0)).cast("long"))
+    from ..operators.indexing import running_total
+    s = stories(t).withColumn("toks", T.tokens("word")).withColumn("_n", F.size("toks"))
+    s = running_total(s, ["item"], "zone", "_n", "start")
     return (s.select("item", "start", F.posexplode("toks").alias("p", "token"))
              .select("item", (F.col("start") + F.col("p") + 1).alias("tok_pos"), "token"))
 

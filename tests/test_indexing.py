@@ -35,3 +35,13 @@ def test_fold_plan_has_no_single_partition_window(spark):
     df = spark.range(100).withColumnRenamed("id", "key")
     plan = assign_folds(df, "key", 10)._jdf.queryExecution().executedPlan().toString()
     assert "SinglePartition" not in plan
+
+
+def test_running_total_two_level_equals_cumsum(spark):
+    from lectio.operators.indexing import running_total
+    rows = [(g, z, (g * 7 + z * 3) % 5) for g in range(3) for z in range(1, 300)]
+    df = spark.createDataFrame(rows, "g long, z long, v long")
+    out = running_total(df, ["g"], "z", "v", "before", block=16).toPandas().sort_values(["g", "z"])
+    pdf = pd.DataFrame(rows, columns=["g", "z", "v"]).sort_values(["g", "z"])
+    exp = pdf.groupby("g")["v"].cumsum() - pdf["v"]
+    assert out["before"].tolist() == exp.tolist()
