@@ -106,21 +106,34 @@ def average_rank(df: DataFrame, col: str, rank_col: str) -> DataFrame:
 
 
 def running_total(df: DataFrame, part_cols, order_col: str, value_col: str, out_col: str,
-                  block: int = 4096) -> DataFrame:
+                  block: int | None = 4096) -> DataFrame:
     """Exclusive running sum of ``value_col`` over ``order_col`` inside each
-    ``part_cols`` group, in two levels so that no task holds a whole group:
-    per-block totals (block = order value div ``block``) get an exclusive
-    running sum over blocks (a group has only rows/block of them), each block
-    is scanned on its own, and the two are added.  ``order_col`` should be a
-    dense position (word / token number)."""
+    ``part_cols`` group, in two levels so that no task holds a whole group.
+
+    Rows are windowed per (group, block) with block = order value div
+    ``block``: one window pass gives both the in-block running sum and the
+    block total.  The block totals (one row per block, rows/block per group)
+    get their own running sum over blocks and are joined back on
+    (group, block), which is the partitioning the rows already have, so the
+    rows shuffle once.  ``order_col`` should be a dense position.
+
+    ``block=None`` is the plain one-level window, for groups known to be
+    bounded (e.g. the words of one document that arrived as one row)."""
     from pyspark.sql.window import Window
     part_cols = [part_cols] if isinstance(part_cols, str) else list(part_cols)
+    if block is None:
+        w = Window.partitionBy(*part_cols).orderBy(order_col).rowsBetween(Window.unboundedPreceding, -1)
+        return df.withColumn(out_col, F.coalesce(F.sum(value_col).over(w), F.lit(0)).cast("long"))
+    keys = part_cols + ["_blk"]
     d = df.withColumn("_blk", F.floor(F.col(order_col) / block))
-    bt = d.groupBy(*part_cols, "_blk").agg(F.sum(value_col).alias("_bt"))
+    wl = Window.partitionBy(*keys).orderBy(order_col)
+    d = (d.withColumn("_local", F.coalesce(F.sum(value_col).over(
+                          wl.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+          .withColumn("_bt", F.sum(value_col).over(
+                          wl.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))))
+    bt = d.groupBy(*keys).agg(F.first("_bt").alias("_bt"))
     wb = Window.partitionBy(*part_cols).orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1)
-    bt = bt.select(*part_cols, "_blk", F.coalesce(F.sum("_bt").over(wb), F.lit(0)).alias("_before"))
-    wl = Window.partitionBy(*part_cols, "_blk").orderBy(order_col).rowsBetween(Window.unboundedPreceding, -1)
-    d = d.withColumn("_local", F.coalesce(F.sum(value_col).over(wl), F.lit(0)))
-    return (d.join(bt, part_cols + ["_blk"])
+    bt = bt.select(*keys, F.coalesce(F.sum("_bt").over(wb), F.lit(0)).alias("_before"))
+    return (d.drop("_bt").join(bt, keys)
              .withColumn(out_col, (F.col("_before") + F.col("_local")).cast("long"))
              .drop("_blk", "_before", "_local"))

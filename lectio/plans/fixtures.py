@@ -94,7 +94,8 @@ def lm_tokens(t: Tables) -> DataFrame:
     """(item, tok_pos, token): each story word's tokens, numbered through the story."""
     from ..operators.indexing import running_total
     s = stories(t).withColumn("toks", T.tokens("word")).withColumn("_n", F.size("toks"))
-    s = running_total(s, ["item"], "zone", "_n", "start")
+    # a story here is one document (one input row), so its window is bounded
+    s = running_total(s, ["item"], "zone", "_n", "start", block=None)
     return (s.select("item", "start", F.posexplode("toks").alias("p", "token"))
              .select("item", (F.col("start") + F.col("p") + 1).alias("tok_pos"), "token"))
 
