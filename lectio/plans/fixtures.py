@@ -40,10 +40,12 @@ def spread(df: DataFrame) -> DataFrame:
     splits than the cluster has cores (a few large row groups), spread the
     rows round-robin so every core works.  A large table already has more
     splits than cores and is left untouched (no extra shuffle)."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < cores:
-        return df.repartition(cores)
-    return df
+    try:
+        cores = df.sparkSession.sparkContext.defaultParallelism
+        splits = df.rdd.getNumPartitions()
+    except Exception:  # noqa: BLE001  (e.g. a Connect session: leave the scan as it is)
+        return df
+    return df.repartition(cores) if splits < cores else df
 
 
 def texts(t: Tables) -> DataFrame:
