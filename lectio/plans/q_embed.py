@@ -11,7 +11,7 @@ from ..operators import prep as P
 from ..operators.split import train_dev_test_split
 from . import fixtures as X
 from .oracle_views import TOK, with_views
-from .registry import _t, query, r6
+from .registry import _ALIGN_CTE, _TOKENS_CTE, _aligned, _t, query, r6
 
 
 def _pool_sql(agg: str) -> str:
@@ -97,8 +97,11 @@ UNION ALL SELECT 'empty_text', CAST(count(*) FILTER (WHERE len(regexp_extract_al
   FROM documents
 UNION ALL SELECT 'word_without_rt', CAST(count(*) AS BIGINT) FROM stories s
   WHERE NOT EXISTS (SELECT 1 FROM word_rts r WHERE r.word = s.word AND r.zone = s.zone AND r.item = s.item)
-UNION ALL SELECT 'unknown_label', CAST(count(*) FILTER (WHERE label NOT IN (0, 1)) AS BIGINT) FROM binary_preds""",
-                                 "responses", "texts", "stories", "word_rts", "binary_preds"))
+UNION ALL SELECT 'unknown_label', CAST(count(*) FILTER (WHERE label NOT IN (0, 1)) AS BIGINT) FROM binary_preds
+UNION ALL SELECT 'alignment_mismatch',
+  CAST(count(*) FILTER (WHERE NOT (pieces = word OR contains(pieces, '<unk>'))) AS BIGINT) FROM al""",
+                                 "responses", "texts", "stories", "word_rts", "lm_tokens", "binary_preds",
+                                 extra=_ALIGN_CTE))
 def q_data_checks(spark, sf):
     """Violation counts per rule (each one aggregate; anti joins for the
     unmatched-key rules)."""
@@ -114,6 +117,8 @@ def q_data_checks(spark, sf):
         P.violations(X.stories(t).join(X.word_rts(t), ["word", "zone", "item"], "left_anti"),
                      "word_without_rt", F.lit(False)),
         P.violations(X.binary_preds(t), "unknown_label", F.col("label").isin(0, 1)),
+        P.violations(_aligned(spark, sf)[0],
+                     "alignment_mismatch", F.col("matched") == 1),
     ]
     return reduce(lambda a, b: a.unionByName(b), checks)
 
@@ -131,7 +136,7 @@ def q_split(spark, sf):
 
 @query("sink_json_map", with_views(
     "SELECT doc_id, round(sum(surp), 6) AS surprisal FROM tt GROUP BY 1",
-    extra=__import__("lectio.plans.registry", fromlist=["_TOKENS_CTE"])._TOKENS_CTE))
+    extra=_TOKENS_CTE))
 def q_sink_json_map(spark, sf):
     """K4: the written JSON lines parsed line by line (one object per line)."""
     from ..operators import surprisal as S
@@ -147,7 +152,7 @@ def q_sink_json_map(spark, sf):
 
 @query("stream_surprisal", with_views(
     "SELECT doc_id, round(sum(surp), 6) AS surprisal, CAST(count(*) AS BIGINT) AS n_tokens FROM tt GROUP BY 1",
-    extra=__import__("lectio.plans.registry", fromlist=["_TOKENS_CTE"])._TOKENS_CTE))
+    extra=_TOKENS_CTE))
 def q_stream_surprisal(spark, sf):
     """G1 as a streaming job: token tables land per document, a file-source
     stream sums them per micro-batch, totals are read back."""

@@ -67,3 +67,19 @@ def test_doc_sums_equal_token_table_sums(spark):
         assert (b[k].n_tokens, b[k].wlen, b[k].sentpos) == (r.n, r.w, r.s)
         assert abs(c[k] - r.u) < 1e-9
     assert b[3].n_tokens == 0 and c[3] == 0.0
+
+
+def test_strict_alignment_handles_tokenizer_drift(spark):
+    from lectio.operators.align import align_tokens, align_tokens_strict
+    words = spark.createDataFrame([(1, 1, "I"), (1, 2, "can't"), (1, 3, "go."), (2, 1, "ok")],
+                                  "item long, zone long, word string")
+    # an external tokenizer split "can't" as "ca" + "n't" (the per-word rule keeps it whole)
+    toks = spark.createDataFrame([(1, 1, "I", 1, 1, 1.0), (1, 2, "ca", 2, 2, 2.0), (1, 3, "n't", 3, 3, 3.0),
+                                  (1, 4, "go", 2, 4, 4.0), (1, 5, ".", 1, 5, 5.0), (2, 1, "ok", 2, 1, 0.5)],
+                                 "item long, tok_pos long, word string, wlen long, sentpos long, surp double")
+    closed = {(r.item, r.zone): r for r in align_tokens(words, toks).collect()}
+    assert closed[(1, 2)].matched == 0          # drift detected
+    strict = {(r.item, r.zone): r for r in align_tokens_strict(words, toks).collect()}
+    # sequential rule: "can't" takes len(tokens("can't")) = 1 row ("ca"), then "go." takes 2 rows
+    assert strict[(1, 2)].pieces == "ca" and strict[(1, 3)].pieces == "n'tgo"
+    assert strict[(2, 1)].matched == 1 and strict[(2, 1)].surp == 0.5
