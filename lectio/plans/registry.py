@@ -448,3 +448,17 @@ from . import q_seq  # noqa: E402,F401
 from . import q_metrics  # noqa: E402,F401
 from . import q_embed  # noqa: E402,F401
 from . import q_models  # noqa: E402,F401
+
+
+@query("align_tokens_strict", with_views("""
+SELECT item, zone, word, pieces, n_tok, wlen, sentpos, sentpos_first, round(surp, 6) AS surp,
+       CAST(pieces = word OR contains(pieces, '<unk>') AS BIGINT) AS matched
+FROM al""", "stories", "lm_tokens", "word_rts", extra=_ALIGN_CTE))
+def q_align_tokens_strict(spark, sf):
+    """A1 with the sequential fallback for stories whose words do not re-assemble."""
+    from ..operators import align as A
+    t = _t(spark, sf)
+    tt = S.token_table(X.lm_tokens(t).withColumnRenamed("token", "word"), "item")
+    al = A.align_tokens_strict(X.stories(t), tt)
+    return al.select("item", "zone", "word", "pieces", "n_tok", "wlen", "sentpos", "sentpos_first",
+                     r6("surp").alias("surp"), "matched")

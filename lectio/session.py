@@ -10,20 +10,33 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+DEFAULTS = {
+    "spark.ui.enabled": "false",
+    "spark.ui.showConsoleProgress": "false",
+    "spark.sql.adaptive.enabled": "true",
+    "spark.sql.adaptive.coalescePartitions.enabled": "true",
+    "spark.sql.adaptive.skewJoin.enabled": "true",
+    "spark.sql.session.timeZone": "UTC",
+    "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # text tables are CPU-bound (regex tokenising): smaller splits, more parallel tasks
+    "spark.sql.files.maxPartitionBytes": str(64 * 1024 * 1024),
+}
+
+
 def build_session(master: str | None = None, app: str = "lectio",
                   shuffle_partitions: int | None = None) -> SparkSession:
-    """Session for tests and the benchmark.  On a cluster the launcher's
-    settings win; only unset keys get these defaults."""
+    """Session for tests and the benchmark.  Keys already set by the launcher
+    or ``spark-defaults.conf`` are kept; only unset keys get these defaults."""
+    from pyspark import SparkConf
+
     master = master or os.environ.get("LECTIO_MASTER", "local[8]")
-    b = (SparkSession.builder.master(master).appName(app)
-         .config("spark.ui.enabled", "false")
-         .config("spark.ui.showConsoleProgress", "false")
-         .config("spark.sql.adaptive.enabled", "true")
-         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
-         .config("spark.sql.adaptive.skewJoin.enabled", "true")
-         .config("spark.sql.session.timeZone", "UTC")
-         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
-         .config("spark.driver.memory", os.environ.get("LECTIO_DRIVER_MEMORY", "16g")))
+    present = dict(SparkConf().getAll())
+    b = SparkSession.builder.master(master).appName(app)
+    for k, v in DEFAULTS.items():
+        if k not in present:
+            b = b.config(k, v)
+    if "spark.driver.memory" not in present:
+        b = b.config("spark.driver.memory", os.environ.get("LECTIO_DRIVER_MEMORY", "16g"))
     if shuffle_partitions:
         b = b.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     spark = b.getOrCreate()
