@@ -59,13 +59,15 @@ def linear_predictions(tbl: DataFrame, name: str, x_cols: list[str]) -> DataFram
     return _preds(scored, name, F.col("yhat"))
 
 
-def full_feature_columns(tbl: DataFrame):
-    """R5 design: numeric columns (the key included, as in the reference)
-    plus a one-hot of the string columns."""
+def full_feature_columns(tbl: DataFrame, keep_key: bool = True):
+    """R5 design: numeric columns (the article key included as a number, as in
+    the reference; ``keep_key=False`` drops it) plus a one-hot of the string
+    columns."""
     oh = one_hot(tbl.select("response_id", "device"), ["device"])
     dummies = [c for c in oh.columns if c.startswith("device_")]
     wide = tbl.join(oh, "response_id")
-    return wide, ["survey_num", "person_id", "hour_of_day", "x_words"] + dummies
+    nums = (["survey_num"] if keep_key else []) + ["person_id", "hour_of_day", "x_words"]
+    return wide, nums + dummies
 
 
 def data_only_predictions(tbl: DataFrame, models=("std", "lr-basic", "lr-surp"),

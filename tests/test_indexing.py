@@ -45,3 +45,28 @@ def test_running_total_two_level_equals_cumsum(spark):
     pdf = pd.DataFrame(rows, columns=["g", "z", "v"]).sort_values(["g", "z"])
     exp = pdf.groupby("g")["v"].cumsum() - pdf["v"]
     assert out["before"].tolist() == exp.tolist()
+
+
+def test_folds_do_not_depend_on_input_order(spark):
+    from pyspark.sql import functions as F
+    df = spark.range(997).withColumnRenamed("id", "key")
+    a = assign_folds(df, "key", 10).toPandas().sort_values("key")["fold"].tolist()
+    shuffled = df.orderBy(F.rand(7)).repartition(5)
+    b = assign_folds(shuffled, "key", 10).toPandas().sort_values("key")["fold"].tolist()
+    assert a == b
+
+
+def test_embed_distinct_calls_embedder_once_per_text(spark):
+    from pyspark.sql import functions as F
+    from lectio.operators.embed import embed_distinct
+    seen = []
+
+    def fn(d):
+        seen.append(d)
+        return d.withColumn("embedding", F.array(F.length("text").cast("double")))
+
+    df = spark.createDataFrame([(1, "a b"), (2, "a b"), (3, "c"), (4, None)], "k long, text string")
+    out = embed_distinct(df, "text", fn).toPandas().sort_values("k")
+    assert seen[0].count() == 2                       # two distinct texts embedded
+    assert out["embedding"].iloc[0] is not None and list(out["embedding"].iloc[0]) == [3.0]
+    assert out["embedding"].iloc[3] is None
