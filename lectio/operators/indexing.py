@@ -106,7 +106,7 @@ def average_rank(df: DataFrame, col: str, rank_col: str) -> DataFrame:
 
 
 def running_total(df: DataFrame, part_cols, order_col: str, value_col: str, out_col: str,
-                  block: int | None = 4096) -> DataFrame:
+                  block: int | None = 4096, how: str = "sum") -> DataFrame:
     """Exclusive running sum of ``value_col`` over ``order_col`` inside each
     ``part_cols`` group, in two levels so that no task holds a whole group.
 
@@ -118,22 +118,28 @@ def running_total(df: DataFrame, part_cols, order_col: str, value_col: str, out_
     rows shuffle once.  ``order_col`` should be a dense position.
 
     ``block=None`` is the plain one-level window, for groups known to be
-    bounded (e.g. the words of one document that arrived as one row)."""
+    bounded (e.g. the words of one document that arrived as one row).
+    ``how='max'`` gives the running maximum of the preceding values instead
+    (0 when there is none)."""
     from pyspark.sql.window import Window
+    agg = {"sum": F.sum, "max": F.max}[how]
     part_cols = [part_cols] if isinstance(part_cols, str) else list(part_cols)
     if block is None:
         w = Window.partitionBy(*part_cols).orderBy(order_col).rowsBetween(Window.unboundedPreceding, -1)
-        return df.withColumn(out_col, F.coalesce(F.sum(value_col).over(w), F.lit(0)).cast("long"))
+        return df.withColumn(out_col, F.coalesce(agg(value_col).over(w), F.lit(0)).cast("long"))
     keys = part_cols + ["_blk"]
     d = df.withColumn("_blk", F.floor(F.col(order_col) / block))
     wl = Window.partitionBy(*keys).orderBy(order_col)
-    d = (d.withColumn("_local", F.coalesce(F.sum(value_col).over(
-                          wl.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-          .withColumn("_bt", F.sum(value_col).over(
+    d = (d.withColumn("_local", agg(value_col).over(wl.rowsBetween(Window.unboundedPreceding, -1)))
+          .withColumn("_bt", agg(value_col).over(
                           wl.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))))
     bt = d.groupBy(*keys).agg(F.first("_bt").alias("_bt"))
     wb = Window.partitionBy(*part_cols).orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1)
-    bt = bt.select(*keys, F.coalesce(F.sum("_bt").over(wb), F.lit(0)).alias("_before"))
+    bt = bt.select(*keys, agg("_bt").over(wb).alias("_before"))
+    if how == "sum":
+        comb = F.coalesce(F.col("_before"), F.lit(0)) + F.coalesce(F.col("_local"), F.lit(0))
+    else:
+        comb = F.coalesce(F.greatest(F.col("_before"), F.col("_local")), F.lit(0))
     return (d.drop("_bt").join(bt, keys)
-             .withColumn(out_col, (F.col("_before") + F.col("_local")).cast("long"))
+             .withColumn(out_col, comb.cast("long"))
              .drop("_blk", "_before", "_local"))

@@ -12,9 +12,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..functions import text as T
+from .indexing import running_total
 
 SENT_END_TOKEN = r"^[.!?]$"     # fixed value: a token that closes a sentence
 SENTENCE_CHUNK = r"[^.!?]*[.!?]|[^.!?]+"   # fixed value: text up to and including one closing mark
@@ -27,12 +27,14 @@ def explode_tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 
 def token_table(tokens: DataFrame, id_col: str, pos_col: str = "tok_pos",
-                word_col: str = "word") -> DataFrame:
+                word_col: str = "word", block: int | None = None) -> DataFrame:
     """T5 on an exploded token frame: adds wlen, sentpos, surp.
 
     ``sentpos`` is the 1-based position in the sentence; a sentence ends at a
-    token of terminal punctuation.  The window is per document: its size is
-    the token count of one text, which already lives in one row upstream.
+    token of terminal punctuation.  For tokens exploded from text rows the
+    window is per document, whose size is the token count of one text that
+    already lived in one row; for token tables read from files (one document
+    may be huge) pass ``block`` to use the two-level running maximum.
     """
     toks = tokens.withColumn("_key", F.lower(F.col(word_col)))
     # the vocabulary counts feed both the normaliser and the join: computed once
@@ -40,13 +42,12 @@ def token_table(tokens: DataFrame, id_col: str, pos_col: str = "tok_pos",
     stats = counts.agg(F.sum("_c").alias("_n"), F.count(F.lit(1)).alias("_v"))
     n_tok, n_voc = (lambda r: (r["_n"] or 0, r["_v"] or 0))(stats.first())
     denom = float(n_tok + n_voc)
-    w = Window.partitionBy(id_col).orderBy(pos_col).rowsBetween(Window.unboundedPreceding, -1)
-    last_end = F.coalesce(F.max(F.when(F.col(word_col).rlike(SENT_END_TOKEN), F.col(pos_col))).over(w),
-                          F.lit(0))
-    return (toks.join(counts, "_key")
+    ends = toks.withColumn("_end", F.when(F.col(word_col).rlike(SENT_END_TOKEN), F.col(pos_col)))
+    ends = running_total(ends, [id_col], pos_col, "_end", "_last_end", block=block, how="max")
+    return (ends.join(counts, "_key")
                 .select(id_col, pos_col, word_col,
                         F.length(word_col).cast("long").alias("wlen"),
-                        (F.col(pos_col) - last_end).cast("long").alias("sentpos"),
+                        (F.col(pos_col) - F.col("_last_end")).cast("long").alias("sentpos"),
                         (-F.log2((F.col("_c") + 1).cast("double") / F.lit(denom))).alias("surp")))
 
 

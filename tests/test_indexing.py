@@ -70,3 +70,14 @@ def test_embed_distinct_calls_embedder_once_per_text(spark):
     assert seen[0].count() == 2                       # two distinct texts embedded
     assert out["embedding"].iloc[0] is not None and list(out["embedding"].iloc[0]) == [3.0]
     assert out["embedding"].iloc[3] is None
+
+
+def test_running_max_two_level_equals_one_level(spark):
+    from pyspark.sql import functions as F
+    from lectio.operators.indexing import running_total
+    rows = [(g, z, z if (z * 7 + g) % 5 == 0 else None) for g in range(2) for z in range(1, 200)]
+    df = spark.createDataFrame(rows, "g long, z long, v long")
+    a = running_total(df, ["g"], "z", "v", "m", block=16, how="max").orderBy("g", "z").collect()
+    b = running_total(df, ["g"], "z", "v", "m", block=None, how="max").orderBy("g", "z").collect()
+    assert [r.m for r in a] == [r.m for r in b]
+    assert F
