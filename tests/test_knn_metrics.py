@@ -48,3 +48,19 @@ def test_spearman_with_ties(spark):
     ry, rp = pd.Series(y).rank(), pd.Series(yh).rank()
     assert abs(r.spearman - np.corrcoef(ry, rp)[0, 1]) < 1e-12
     assert abs(r.mse - np.mean((np.array(yh) - np.array(y)) ** 2)) < 1e-12
+
+
+def test_knn_exact_when_folds_follow_coordinates(spark):
+    # folds contiguous in the key and the key is the coordinate: every neighbour
+    # cell of a query holds only its own fold, so rings must widen
+    n = 200
+    pdf = pd.DataFrame({"key": np.arange(n), "x1": np.arange(n, dtype=float), "x2": np.zeros(n),
+                        "y": np.arange(n, dtype=float) % 7, "fold": np.arange(n) // 40})
+    got = knn_fold_predictions(spark.createDataFrame(pdf), ["x1", "x2"], "key", "y", k=5, per_cell=2) \
+        .toPandas().set_index("key")["yhat"]
+    X = pdf[["x1", "x2"]].to_numpy()
+    for i in range(n):
+        m = pdf["fold"].to_numpy() != pdf["fold"][i]
+        d = ((X[m] - X[i]) ** 2).sum(1)
+        order = np.lexsort((pdf["key"].to_numpy()[m], d))[:5]
+        assert abs(got[i] - pdf["y"].to_numpy()[m][order].mean()) < 1e-9, i
