@@ -24,7 +24,7 @@ DEFAULTS = {
 
 
 def build_session(master: str | None = None, app: str = "lectio",
-                  shuffle_partitions: int | None = None) -> SparkSession:
+                  shuffle_partitions: int | None = None, extra: dict | None = None) -> SparkSession:
     """Session for tests and the benchmark.  Keys already set by the launcher
     or ``spark-defaults.conf`` are kept; only unset keys get these defaults."""
     from pyspark import SparkConf
@@ -39,6 +39,8 @@ def build_session(master: str | None = None, app: str = "lectio",
         b = b.config("spark.driver.memory", os.environ.get("LECTIO_DRIVER_MEMORY", "16g"))
     if shuffle_partitions:
         b = b.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
+    for k, v in (extra or {}).items():
+        b = b.config(k, v)
     spark = b.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     ensure_checkpoint_dir(spark)
