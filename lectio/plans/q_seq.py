@@ -45,8 +45,7 @@ def _parsed(spark, sf):
     lines = X.all_task_lines(t)
     (lines.repartition("task").sortWithinPartitions("task", "line_no")
           .select("task", "line").write.partitionBy("task").text(path))
-    raw = read_raw_lines(spark, path).withColumn("task", F.regexp_extract("file", r"task=([^/]+)/", 1))
-    parts = [EN.parse_examples(raw.where(F.col("task") == k), k).withColumn("task", F.lit(k))
+    parts = [EN.parse_examples(read_raw_lines(spark, f"{path}/task={k}"), k).withColumn("task", F.lit(k))
              for k in EN.LAYOUTS]
     return reduce(lambda a, b: a.unionByName(b), parts)
 
