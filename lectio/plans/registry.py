@@ -6,7 +6,7 @@ both sides; integer counts are BIGINT; every result carries its key columns.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
