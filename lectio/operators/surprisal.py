@@ -51,6 +51,28 @@ def token_table(tokens: DataFrame, id_col: str, pos_col: str = "tok_pos",
                         (-F.log2((F.col("_c") + 1).cast("double") / F.lit(denom))).alias("surp")))
 
 
+START = "<s>"   # fixed value: predecessor of a document's first token
+
+
+def bigram_table(tokens: DataFrame, id_col: str, pos_col: str = "tok_pos", word_col: str = "word") -> DataFrame:
+    """T5, bigram variant: ``surp = -log2((c(v, w) + 1) / (c(v) + V))`` with v
+    the previous token of the same document (``<s>`` for the first), counts
+    over the corpus (lower-cased), V the vocabulary size.  The previous token
+    comes from a window per document (one text); all counts are partially
+    aggregated group-bys, so frequent pairs never gather in one task."""
+    from pyspark.sql.window import Window
+    w = Window.partitionBy(id_col).orderBy(pos_col)
+    toks = (tokens.withColumn("_key", F.lower(F.col(word_col)))
+                  .withColumn("_prev", F.coalesce(F.lag("_key").over(w), F.lit(START))))
+    pairs = toks.groupBy("_prev", "_key").agg(F.count(F.lit(1)).alias("_cvw")).persist()
+    prev = pairs.groupBy("_prev").agg(F.sum("_cvw").alias("_cv"))
+    n_voc = toks.select("_key").distinct().count()
+    return (toks.join(pairs, ["_prev", "_key"]).join(prev, "_prev")
+                .select(id_col, pos_col, word_col, F.col("_prev").alias("prev"),
+                        (-F.log2((F.col("_cvw") + 1).cast("double")
+                                 / (F.col("_cv") + F.lit(n_voc)).cast("double"))).alias("surp")))
+
+
 def token_surprisal(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     return token_table(explode_tokens(docs, id_col, text_col), id_col)
 

@@ -462,3 +462,23 @@ def q_align_tokens_strict(spark, sf):
     al = A.align_tokens_strict(X.stories(t), tt)
     return al.select("item", "zone", "word", "pieces", "n_tok", "wlen", "sentpos", "sentpos_first",
                      r6("surp").alias("surp"), "matched")
+
+
+@query("token_surprisal_bigram", with_views("""
+SELECT doc_id, tok_pos, word, prev,
+       round(-log2(CAST(cvw + 1 AS DOUBLE) / CAST(cv + (SELECT count(DISTINCT lower(word)) FROM toks) AS DOUBLE)), 6)
+         AS surp
+FROM (SELECT b.*, p.cvw, q.cv FROM (
+        SELECT doc_id, tok_pos, word, lower(word) AS k,
+               coalesce(lag(lower(word)) OVER (PARTITION BY doc_id ORDER BY tok_pos), '<s>') AS prev FROM toks) b
+      JOIN (SELECT prev, k, count(*) AS cvw FROM (
+              SELECT lower(word) AS k,
+                     coalesce(lag(lower(word)) OVER (PARTITION BY doc_id ORDER BY tok_pos), '<s>') AS prev
+              FROM toks) GROUP BY 1, 2) p ON p.prev = b.prev AND p.k = b.k
+      JOIN (SELECT prev, count(*) AS cv FROM (
+              SELECT coalesce(lag(lower(word)) OVER (PARTITION BY doc_id ORDER BY tok_pos), '<s>') AS prev
+              FROM toks) GROUP BY 1) q ON q.prev = b.prev)""", extra=_TOKENS_CTE[:1]))
+def q_token_surprisal_bigram(spark, sf):
+    """T5 with an add-one smoothed bigram model over the corpus."""
+    bt = S.bigram_table(S.explode_tokens(_t(spark, sf).documents), "doc_id")
+    return bt.select("doc_id", "tok_pos", "word", "prev", r6("surp").alias("surp"))
