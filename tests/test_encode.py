@@ -77,3 +77,13 @@ def test_parse_layouts_and_labels(spark):
     assert got == [2, 1, -1]
     got_rb = [r.label_id for r in EN.map_labels(lab, "mnli", "roberta").collect()]
     assert got_rb == [1, 2, -1]
+
+
+def test_vocabulary_ids_independent_of_input_order(spark):
+    from pyspark.sql import functions as F
+    texts = [(i, " ".join(f"w{(i * j) % 13}" for j in range(1, 9))) for i in range(60)]
+    df = spark.createDataFrame(texts, "k long, t string")
+    a = {r.token: r.token_id for r in EN.build_vocabulary(df, ["t"]).collect()}
+    b = {r.token: r.token_id for r in EN.build_vocabulary(df.orderBy(F.rand(3)).repartition(7), ["t"]).collect()}
+    assert a == b
+    assert sorted(a.values()) == list(range(EN.FIRST_TOKEN_ID, EN.FIRST_TOKEN_ID + len(a)))
