@@ -167,3 +167,23 @@ def q_stream_surprisal(spark, sf):
     tot = stream_totals(spark, out)
     return tot.select(F.col("doc_key").cast("long").alias("doc_id"), r6("surprisal").alias("surprisal"),
                       F.col("n_tokens").cast("long").alias("n_tokens"))
+
+
+_LETTERS = "abcdefghijklmnopqrstuvwxyz"
+
+
+@query("embed_user_model", with_views(
+    "SELECT survey_num, text_md5, dim, value FROM (" + " UNION ALL ".join(
+        f"SELECT survey_num, md5(text) AS text_md5, CAST({i} AS BIGINT) AS dim, "
+        f"CASE WHEN length(text) > 0 THEN CAST(length(text) - length(replace(text, '{c}', '')) AS DOUBLE) "
+        f"/ length(text) ELSE 0.0 END AS value FROM texts"
+        for i, c in enumerate(_LETTERS)) + ")", "texts"))
+def q_embed_user_model(spark, sf):
+    """D2 + J5: a user encoder run in Arrow batches (built once per task) over
+    the distinct texts only, joined back to every article key.  Values are a
+    single IEEE division in both engines, so they are compared unrounded
+    (rounding rules for exact decimal ties differ between engines)."""
+    x = X.texts(_t(spark, sf))
+    j = EM.embed_distinct(x, "text", lambda d: EM.embed_batches(d, EM.letter_profile_encoder, "text"))
+    return EM.explode_vector(j, "survey_num", "embedding").join(
+        j.select("survey_num", "text_md5"), "survey_num").select("survey_num", "text_md5", "dim", "value")
