@@ -120,11 +120,18 @@ def build_vocabulary(texts: DataFrame, cols: list[str]) -> DataFrame:
     return idx.select("token", (F.col("_r") + FIRST_TOKEN_ID).alias("token_id"))
 
 
-def token_ids(examples: DataFrame, key: str, cols: list[str], vocab: DataFrame) -> DataFrame:
-    """(key, ids_<col> ...) with each text's token ids in order (unknown -> UNK)."""
+def token_ids(examples: DataFrame, key: str, cols: list[str], vocab: DataFrame,
+              max_positions: int | None = None) -> DataFrame:
+    """(key, ids_<col>, len_<col> ...): each text's token ids in order (unknown
+    -> UNK) and its full token count.  With ``max_positions`` only the first
+    positions, the only ones an encoding of that length can keep, are looked
+    up, so a 20,000-token text costs ``max_positions`` joined rows; the count
+    still covers the whole text."""
     parts = None
     for i, c in enumerate(cols):
         e = examples.select(key, F.lit(i).alias("_seg"), F.posexplode(T.tokens(c)).alias("_pos", "token"))
+        if max_positions is not None:
+            e = e.where(F.col("_pos") < max_positions)
         parts = e if parts is None else parts.unionByName(e)
     j = parts.join(vocab, "token", "left").withColumn("token_id", F.coalesce("token_id", F.lit(UNK_ID)))
     aggs = []
@@ -134,8 +141,10 @@ def token_ids(examples: DataFrame, key: str, cols: list[str], vocab: DataFrame)
     grouped = j.groupBy(key).agg(*aggs)
     out = examples.select(key, *cols).join(grouped, key, "left")
     for c in cols:
-        out = out.withColumn(f"ids_{c}", F.when(F.col(c).isNull() | (F.col(c) == ""), F.lit(None))
-                             .otherwise(F.coalesce(F.col(f"ids_{c}"), F.array().cast("array<long>"))))
+        absent = F.col(c).isNull() | (F.col(c) == "")
+        out = (out.withColumn(f"ids_{c}", F.when(absent, F.lit(None))
+                              .otherwise(F.coalesce(F.col(f"ids_{c}"), F.array().cast("array<long>"))))
+                  .withColumn(f"len_{c}", F.when(absent, F.lit(None)).otherwise(F.size(T.tokens(c)))))
     return out
 
 
@@ -148,11 +157,13 @@ def truncate_pair_lengths(len_a: Column, len_b: Column, budget: int):
 
 
 def encode(ids: DataFrame, max_len: int, preset: Preset = Preset(), a: str = "ids_a",
-           b: str | None = "ids_b") -> DataFrame:
-    """Fixed-length input_ids / input_mask / segment_ids arrays."""
+           b: str | None = "ids_b", len_a: str | None = None, len_b: str | None = None) -> DataFrame:
+    """Fixed-length input_ids / input_mask / segment_ids arrays.  The
+    truncation uses the full token counts (``len_a`` / ``len_b`` columns when
+    the id arrays were cut to the first positions, else the array sizes)."""
     has_b = F.col(b).isNotNull() if b else F.lit(False)
-    la = F.coalesce(F.size(a), F.lit(0))
-    lb = F.coalesce(F.size(b), F.lit(0)) if b else F.lit(0)
+    la = F.coalesce(F.col(len_a) if len_a else F.size(a), F.lit(0))
+    lb = (F.coalesce(F.col(len_b) if len_b else F.size(b), F.lit(0))) if b else F.lit(0)
     single_budget = max_len - (3 if preset.sep_extra else 2)
     pair_budget = max_len - (4 if preset.sep_extra else 3)
     ka, kb = truncate_pair_lengths(la, lb, pair_budget)

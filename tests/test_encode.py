@@ -87,3 +87,16 @@ def test_vocabulary_ids_independent_of_input_order(spark):
     b = {r.token: r.token_id for r in EN.build_vocabulary(df.orderBy(F.rand(3)).repartition(7), ["t"]).collect()}
     assert a == b
     assert sorted(a.values()) == list(range(EN.FIRST_TOKEN_ID, EN.FIRST_TOKEN_ID + len(a)))
+
+
+def test_cut_lookup_gives_same_encoding(spark):
+    ex = spark.createDataFrame(
+        [(1, " ".join(f"t{i % 17}" for i in range(300)), "short b"), (2, "a b c", None),
+         (3, "x " * 40, " ".join(f"u{i}" for i in range(90)))], "k long, ta string, tb string")
+    vocab = EN.build_vocabulary(ex, ["ta", "tb"])
+    full = EN.encode(EN.token_ids(ex, "k", ["ta", "tb"], vocab), 32, EN.PRESETS["roberta"], "ids_ta", "ids_tb")
+    cut = EN.encode(EN.token_ids(ex, "k", ["ta", "tb"], vocab, max_positions=32), 32, EN.PRESETS["roberta"],
+                    "ids_ta", "ids_tb", "len_ta", "len_tb")
+    a = {r.k: (r.input_ids, r.segment_ids) for r in full.collect()}
+    b = {r.k: (r.input_ids, r.segment_ids) for r in cut.collect()}
+    assert a == b
