@@ -17,7 +17,6 @@ from ..functions import text as T
 from .indexing import running_total
 
 SENT_END_TOKEN = r"^[.!?]$"     # fixed value: a token that closes a sentence
-SENTENCE_CHUNK = r"[^.!?]*[.!?]|[^.!?]+"   # fixed value: text up to and including one closing mark
 
 
 def explode_tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -96,13 +95,17 @@ def doc_surprisal_sums(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
 def doc_token_sums(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per document: token count and the sums of wlen and sentpos of its token
-    table, as row expressions (no explode, no window).  A sentence of L tokens
-    contributes 1 + ... + L to the sentpos sum; sentences are the text cut
-    after each closing mark, which never splits a token."""
+    table, as row expressions on the token array (no explode, no window).
+    A sentence of L tokens contributes 1 + ... + L to the sentpos sum; the
+    sentence lengths are read off a one-character-per-token mask ('e' for a
+    closing mark) split after every 'e'."""
     toks = T.tokens(text_col)
-    chunks = F.regexp_extract_all(F.col(text_col), F.lit(SENTENCE_CHUNK), 0)
-    lens = F.transform(chunks, lambda c: F.size(T.tokens(c)).cast("long"))
-    sentpos_sum = F.aggregate(lens, F.lit(0).cast("long"), lambda acc, n: acc + F.floor(n * (n + 1) / 2).cast("long"))
+    mask = F.array_join(F.transform(toks, lambda t: F.when(t.rlike(SENT_END_TOKEN), F.lit("e|"))
+                                    .otherwise(F.lit("x"))), "")
+    lens = F.transform(F.filter(F.split(mask, r"\|"), lambda c: F.length(c) > 0),
+                       lambda c: F.length(c).cast("long"))
+    sentpos_sum = F.aggregate(lens, F.lit(0).cast("long"),
+                              lambda acc, n: acc + F.floor(n * (n + 1) / 2).cast("long"))
     wlen_sum = F.aggregate(F.transform(toks, lambda w: F.length(w).cast("long")), F.lit(0).cast("long"),
                            lambda acc, n: acc + n)
     return docs.select(id_col, F.size(toks).cast("long").alias("n_tokens"), wlen_sum.alias("wlen"),
