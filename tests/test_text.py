@@ -38,3 +38,26 @@ def test_no_python_udf_in_text_plan(spark):
     plan = text_features(df)._jdf.queryExecution().executedPlan().toString()
     assert "BatchEvalPython" not in plan and "ArrowEvalPython" not in plan
     assert F  # keep import
+
+
+def test_sentence_position_sums_match_sequential_rule(spark):
+    import random
+
+    import regex
+
+    from lectio.operators.surprisal import doc_token_sums
+
+    rx = regex.compile(T.TOKEN_PATTERN)
+    rnd = random.Random(11)
+    alphabet = list("ab c.!?'’ é1,") + ["  ", "..."]
+    texts = [(i, "".join(rnd.choice(alphabet) for _ in range(rnd.randint(0, 60)))) for i in range(200)]
+    got = {r.doc_id: (r.n_tokens, r.wlen, r.sentpos)
+           for r in doc_token_sums(spark.createDataFrame(texts, "doc_id long, text string")).collect()}
+    for i, t in texts:
+        toks = rx.findall(t)
+        last, sp = 0, 0
+        for pos, tok in enumerate(toks, start=1):
+            sp += pos - last
+            if tok in (".", "!", "?"):
+                last = pos
+        assert got[i] == (len(toks), sum(len(x) for x in toks), sp), (i, t)
