@@ -83,3 +83,12 @@ def test_strict_alignment_handles_tokenizer_drift(spark):
     # sequential rule: "can't" takes len(tokens("can't")) = 1 row ("ca"), then "go." takes 2 rows
     assert strict[(1, 2)].pieces == "ca" and strict[(1, 3)].pieces == "n'tgo"
     assert strict[(2, 1)].matched == 1 and strict[(2, 1)].surp == 0.5
+
+
+def test_token_table_two_level_sentpos_matches(spark):
+    from lectio.operators import surprisal as S
+    docs = spark.createDataFrame([(1, "A b. C d e! F g h i j? k l"), (2, "x. y. z")], "doc_id long, text string")
+    toks = S.explode_tokens(docs)
+    a = {(r.doc_id, r.tok_pos): r.sentpos for r in S.token_table(toks, "doc_id").collect()}
+    b = {(r.doc_id, r.tok_pos): r.sentpos for r in S.token_table(toks, "doc_id", block=3).collect()}
+    assert a == b and a[(1, 1)] == 1 and a[(1, 4)] == 1
