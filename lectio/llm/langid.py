@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from .common import CHUNK_BYTES, small_batches, spans, written
 
 ORDER = 4
-MAX_GRAMS = 4_000_000       # rows of a model: the most frequent grams of all languages together
+MAX_GRAMS = 1_000_000       # rows of a model: the most frequent grams of all languages together
 FLUSH_GRAMS = 1_000_000     # distinct grams a task holds before it emits its counts
 SPACE = 32
 
@@ -265,7 +265,7 @@ def fit(docs: DataFrame, *, lang_col: str = "lang", text_col: str = "text", max_
         at = np.argsort(g)
         grams.append(g[at])
         ns.append(n[at])
-    return KneserNey(langs, grams, ns) if not langs else KneserNey.fit(langs, grams, ns)
+    return KneserNey([], [], [], []) if not langs else KneserNey.fit(langs, grams, ns)
 
 
 def predict(docs: DataFrame, model: KneserNey, limits: dict[str, float] | None = None, *, text_col: str = "text",
