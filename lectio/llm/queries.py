@@ -5,11 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import chat
 from .common import table
 from .decontaminate import find_leaks
+from .html_text import extract
 from .langid import identify
+from .licenses import scan
 from .line_dedup import dedup_lines
 from .mixing import mix
+from .neighbours import nearest
 from .simhash import near_duplicates
 
 
@@ -38,7 +42,33 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-QUERIES = {f.__name__: f for f in (op1_pareto_mixing, op2_language_id, op3_decontamination, op5_line_dedup, op7_simhash)}
+def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan(table(spark, sf_dir, "documents"))
+
+
+def op8_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract(table(spark, sf_dir, "pages"))
+
+
+def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    records = chat.turn_records(table(spark, sf_dir, "conversations"))
+    hard = "\\### Assistant: </turn> ok"
+    extra = spark.range(1).select(F.lit(-7).cast("long").alias("conv_id"),
+                                  F.to_json(F.struct(F.lit(hard).alias("prompt"), F.lit(hard).alias("response"))).alias("record"))
+    read = chat.read_back(chat.format_turns(chat.canonical(records.unionByName(extra))))
+    said = F.array_join(F.transform("read", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    return read.select(
+        "conv_id", F.size("read").cast("long").alias("n_turns"), F.sha2(said.cast("binary"), 256).alias("turns_sha256"),
+        F.length("loss_text").cast("long").alias("loss_chars"), F.sha2(F.col("loss_text").cast("binary"), 256).alias("loss_sha256"),
+        F.length("formatted").cast("long").alias("formatted_chars"))
+
+
+def op10_collision_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
+QUERIES = {f.__name__: f for f in (op1_pareto_mixing, op2_language_id, op3_decontamination, op5_line_dedup, op6_license_scan, op7_simhash, op8_html_text,
+                                op9_chat_format, op10_collision_search)}
 
 # Sources' targets by one pass over the sorted saturation levels; the sample by a running sum over the ranks.
 OP1_SQL = r"""
@@ -83,4 +113,18 @@ SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
        sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone), '')) AS kept_sha256
 FROM j GROUP BY row, doc_id"""
 
-SQL: dict[str, str] = {"op1_pareto_mixing": OP1_SQL, "op5_line_dedup": OP5_SQL}
+OP9_SQL = r"""
+WITH c AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok'
+  UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'),
+o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i,
+             length(replace(replace(replace(role, '\', '\b'), '<', '\l'), '|', '\p')) AS role_chars,
+             length(replace(replace(text, '\', '\b'), '<', '\l')) AS text_chars FROM c),
+a AS (SELECT conv_id, count(*) AS n_turns, string_agg(role || chr(10) || text || chr(10), '' ORDER BY i) AS said,
+             coalesce(string_agg(text, '' ORDER BY i) FILTER (role = 'assistant'), '') AS loss,
+             sum(role_chars + text_chars + 11)::BIGINT AS formatted_chars
+      FROM o GROUP BY conv_id)
+SELECT conv_id, n_turns, sha256(said) AS turns_sha256, length(loss)::BIGINT AS loss_chars, sha256(loss) AS loss_sha256, formatted_chars FROM a"""
+
+SQL: dict[str, str] = {"op9_chat_format": OP9_SQL, "op1_pareto_mixing": OP1_SQL, "op5_line_dedup": OP5_SQL}
