@@ -15,6 +15,7 @@ from .line_dedup import dedup_lines
 from .mixing import mix
 from .neighbours import nearest
 from .simhash import near_duplicates
+from .suffixes import cut_repeats
 
 
 def op1_pareto_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -31,6 +32,11 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cut_repeats(table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_lines(table(spark, sf_dir, "documents")).select(
         "doc_id", "n_lines", "n_dropped",
@@ -67,7 +73,7 @@ def op10_collision_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
 
 
-QUERIES = {f.__name__: f for f in (op1_pareto_mixing, op2_language_id, op3_decontamination, op5_line_dedup, op6_license_scan, op7_simhash, op8_html_text,
+QUERIES = {f.__name__: f for f in (op1_pareto_mixing, op2_language_id, op3_decontamination, op4_suffix_dedup, op5_line_dedup, op6_license_scan, op7_simhash, op8_html_text,
                                 op9_chat_format, op10_collision_search)}
 
 # Sources' targets by one pass over the sorted saturation levels; the sample by a running sum over the ranks.
