@@ -20,8 +20,9 @@ from pyspark.sql.window import Window
 from .common import row_key
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"            # of a text whose A-Z are lower-cased
-WORD_ANY_CASE = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+#: ``[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+`` with its characters one by one, which Java tests by a bit set.
+#: It is the words' pattern for any case; in a lower-cased text A-Z do not occur.
+WORD = "[^" + "".join(f"\\x{c:02X}" for c in range(128) if not chr(c).isalnum()) + "]+"
 SLACK = 3                                             # words that neighbouring diagonals may lie apart
 MIN_SHARE = 0.75
 
@@ -94,7 +95,7 @@ def scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", bas
         F.sum(F.col("exact").cast("long")).alias("n_base"), F.min(F.when(F.col("exact"), F.col("start"))).cast("long").alias("first_word"),
         F.max(F.when(F.col("exact"), F.col("start"))).cast("long").alias("last_word"),
         labels(F.when(F.col("exact"), F.col("label"))).alias("base_labels"), labels(F.col("label")).alias("labels"), F.max("share").alias("score"))
-    count = F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD_ANY_CASE)), F.lit(0)).cast("long")
+    count = F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long")
     rows = docs.select(F.col(id_col).alias("doc_id"), row_key(id_col, text_col).alias("_rid"), count.alias("n_words"))
     none = F.lit("")
     return rows.join(per, "_rid", "left").select(
