@@ -58,26 +58,26 @@ class Projections:
         self.top = top
 
         # a bounded sample from which a query's first radius is read
-        self.sample = np.random.default_rng(seed + 1).permutation(len(data))[:SAMPLE]
+        self.sample = data[np.random.default_rng(seed + 1).permutation(len(data))[:SAMPLE]]
 
-    def search(self, q: np.ndarray, k: int, threshold: float, width: float, grow: float, share: float) -> np.ndarray:
-        """Places in the block of the verified vectors."""
+    def search(self, q: np.ndarray, k: int, threshold: float, width: float, grow: float, share: float) -> tuple[np.ndarray, np.ndarray]:
+        """Places in the block of the verified vectors and their inner products with ``q``."""
         n, m = len(self.data), len(self.sorted)
         if n <= 4 * k:
-            return np.arange(n)
+            return np.arange(n), self.data @ q
         at = q @ self.lines[:-1]
         need, most = int(np.ceil(threshold * m)), k + int(share * n)
         base = self.top + q @ q                        # squared distance = base - 2 * inner product
-        hits = np.zeros(n, np.int16)
+        hits = np.zeros(n, np.int8 if m < 128 else np.int16)
         lo = [s.searchsorted(v) for s, v in zip(self.sorted, at)]
         hi = list(lo)
-        checked, found = np.zeros(n, bool), np.zeros(0)
-        radius = np.sqrt(max(base - 2 * (self.data[self.sample] @ q).max(), 0.0625 * base))
+        checked, places, found = np.zeros(n, bool), np.zeros(0, np.int64), np.zeros(0)
+        radius = np.sqrt(max(base - 2 * (self.sample @ q).max(), 0.0625 * base))
         while True:
             half = width * radius / 2
             for j in range(m):
-                s, o = self.sorted[j], self.order[j]
-                a, b = s.searchsorted(at[j] - half), s.searchsorted(at[j] + half, "right")
+                a, b = self.sorted[j].searchsorted((at[j] - half, at[j] + half))
+                o = self.order[j]
                 if lo[j] == hi[j]:
                     hits[o[a:b]] += 1
                 else:
@@ -86,11 +86,11 @@ class Projections:
                 lo[j], hi[j] = a, b
             new = np.flatnonzero((hits >= need) & ~checked)
             checked[new] = True
-            found = np.concatenate((found, self.data[new] @ q))
-            if len(found) >= min(k, n):
+            places, found = np.concatenate((places, new)), np.concatenate((found, self.data[new] @ q))
+            if len(found) >= k:
                 kth = np.partition(found, len(found) - k)[len(found) - k]
                 if len(found) >= most or base - 2 * kth <= (radius / MARGIN) ** 2:
-                    return np.flatnonzero(checked)
+                    return places, found
             radius *= grow
 
 
@@ -100,7 +100,7 @@ def usable(vec: Column) -> Column:
 
 
 def nearest(vectors: DataFrame, is_query: Column, *, id_col: str = "vec_id", vec_col: str = "embedding", k: int = 20,
-            projections: int = 98, threshold: float = 0.75, width: float = 2.4, grow: float = 1.1, share: float = 0.2,
+            projections: int = 65, threshold: float = 0.76, width: float = 2.4, grow: float = 1.1, share: float = 0.2,
             seed: int = 5) -> DataFrame:
     """``query_id, rank, vec_id, score`` for every row with ``is_query``: its ``k`` nearest others."""
     rows = vectors.where(usable(F.col(vec_col)) & F.col(id_col).isNotNull()).select(
@@ -128,11 +128,11 @@ def nearest(vectors: DataFrame, is_query: Column, *, id_col: str = "vec_id", vec
             index = Projections(np.stack(have["vec"].to_numpy()), top, projections, seed)
             ids = have["ids"].to_list()
             for key, vec in zip(want["key"], want["vec"]):
-                at = index.search(np.asarray(vec), k + 1, threshold, width, grow, share)
+                at, score = index.search(np.asarray(vec), k + 1, threshold, width, grow, share)
+                if len(at) > k + 1:                       # ties with the last one, and what rounding may hide, stay
+                    last = np.partition(score, len(at) - k - 1)[len(at) - k - 1]
+                    at = at[score >= last - 1e-9 * (1 + abs(last))]
                 score = inner(index.data[at], np.asarray(vec))
-                if len(at) > k + 1:                       # ties with the last one stay
-                    keep = score >= np.partition(score, len(at) - k - 1)[len(at) - k - 1]
-                    at, score = at[keep], score[keep]
                 best = sorted((-s, i) for s, a in zip(score.tolist(), at.tolist()) for i in ids[a])[:k + 1]
                 out.append(pd.DataFrame({"key": key, "vec_id": [i for _, i in best], "score": [-s for s, _ in best]}))
         return pd.concat(out) if out else pd.DataFrame({"key": pd.Series([], dtype=str), "vec_id": np.zeros(0, np.int64), "score": np.zeros(0)})
