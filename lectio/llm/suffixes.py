@@ -310,7 +310,7 @@ def repeated_ranges(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
             yield pa.RecordBatch.from_arrays(
                 [b.column("_rid").take(pa.array(rid, pa.int64())), pa.array(core.copy().view(np.int64)), pa.array(run.copy().view(np.int64)),
                  pa.array(s.astype(np.int32)), pa.array(data, pa.binary())], ["_rid", "core", "run", "start", "bytes"])
-    runs = written(work.mapInArrow(list_runs, "_rid binary, core long, run long, start int, bytes binary"), "runs")
+    runs = written(work.mapInArrow(list_runs, "_rid binary, core long, run long, start int, bytes binary"), "runs", "zstd")
     # a run's length follows from its bytes, which at least one row of each task holds
     copies = written(runs.groupBy("core", "run").agg(F.count(F.lit(1)).alias("n"), F.max(F.length("bytes")).alias("size")), "run-copies")
     cores = copies.groupBy("core").agg(F.count(F.lit(1)).alias("kinds"), F.sum("n").alias("total")).where("total > 1")
@@ -330,13 +330,23 @@ def repeated_ranges(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
 def cut_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM) -> DataFrame:
     """``doc_id, n_bytes, n_removed, n_spans, kept`` (the bytes left), one row per document."""
     ranges = repeated_ranges(docs, id_col=id_col, text_col=text_col, length=length, gram=gram)
+    def pack(batches):                                       # texts cross the shuffle compressed
+        import zstandard
+        z = zstandard.ZstdCompressor(level=1)
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("_rid"), pa.array([z.compress(t) for t in b.column("_text").to_pylist()], pa.binary())],
+                                             ["doc_id", "_rid", "_text"])
     src = docs.select(F.col(id_col).cast("long").alias("doc_id"), row_key(id_col, text_col).alias("_rid"),
-                      F.coalesce(F.col(text_col).cast("binary"), F.lit(b"")).alias("_text")).join(ranges, "_rid", "left")
+                      F.coalesce(F.col(text_col).cast("binary"), F.lit(b"")).alias("_text"))
+    src = src.mapInArrow(pack, "doc_id long, _rid binary, _text binary").join(ranges, "_rid", "left")
 
     def cut(batches):
+        import zstandard
+        z = zstandard.ZstdDecompressor()
         for b in batches:
             total, gone, spans, kept = [], [], [], []
-            for text, found in zip(b.column("_text").to_pylist(), b.column("ranges").to_pylist()):
+            for packed, found in zip(b.column("_text").to_pylist(), b.column("ranges").to_pylist()):
+                text = z.decompress(packed)
                 left, at, merged = [], 0, 0
                 for s, e in sorted((x["s"], x["e"]) for x in found or ()):
                     if s > at or not merged:
