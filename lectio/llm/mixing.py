@@ -24,6 +24,7 @@ from ..operators.indexing import with_row_index
 from .common import written
 
 WORD = r"[^\x20\x09-\x0D]+"
+SOURCE_BROADCAST_BYTES = 8 << 20     # tables of one row a source are broadcast up to this size, else joined by shuffle
 _DENOM = float(1 << 52)
 
 
@@ -97,12 +98,14 @@ def mix(docs: DataFrame, *, id_col: str = "doc_id", source_col: str = "source",
     base = written(base.withColumn("_row", F.monotonically_increasing_id()), "mix-docs")
     targets = source_targets(base, weights, share, max_copies).withColumn(
         "_key", F.coalesce(F.concat(F.lit("="), F.col("source").cast("string")), F.lit("-"))).drop("source")
-    docs_t = base.join(targets, "_key")
+    few = (targets.agg(F.sum(F.length("_key") + 64)).first()[0] or 0) <= SOURCE_BROADCAST_BYTES
+    by_source = F.broadcast if few else (lambda df: df)          # all tables below with one row a source at most
+    docs_t = base.join(by_source(targets), "_key")
     if rate is None:
         c = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
         docs_t = docs_t.withColumn("_e", F.least(F.lit(float(max_copies)), c))
     else:
-        docs_t = docs_t.join(_rates(docs_t, float(max_copies)), "_key").withColumn(
+        docs_t = docs_t.join(by_source(_rates(docs_t, float(max_copies))), "_key").withColumn(
             "_e", F.least(F.lit(float(max_copies)), F.col("_c") * F.col("rate")))
     docs_t = docs_t.withColumn("_whole", F.floor("_e").cast("long")).withColumn("_pi", F.col("_e") - F.col("_whole"))
     # words that the certain copies leave, and the mean fraction, of each source
@@ -113,7 +116,7 @@ def mix(docs: DataFrame, *, id_col: str = "doc_id", source_col: str = "source",
     biggest = per.agg(F.max("_n")).first()[0] or 0
     blocks = int(min(1 << 20, max(64, biggest // 20_000)))
     odds = (F.col("_u") / (1 - F.col("_u"))) * ((1 - F.col("_pi")) / F.col("_pi")) * (F.col("_mean") / (1 - F.col("_mean")))
-    ranked = (docs_t.join(per, "_key").withColumn("_rank", F.when((F.col("_pi") > 0) & (F.col("size") > 0), odds / (1 + odds)))
+    ranked = (docs_t.join(by_source(per), "_key").withColumn("_rank", F.when((F.col("_pi") > 0) & (F.col("size") > 0), odds / (1 + odds)))
               .withColumn("_block", F.least(F.floor(F.col("_rank") * blocks), F.lit(blocks - 1)).cast("int")))
     # two levels: running words over blocks of ranks, then over the one block where they reach the gap
     sums = ranked.where("_block is not null").groupBy("_key", "_block").agg(F.sum("size").alias("_s"), F.first("_left").alias("_left"))
@@ -121,7 +124,7 @@ def mix(docs: DataFrame, *, id_col: str = "doc_id", source_col: str = "source",
     edge = (sums.withColumn("_before", F.coalesce(F.sum("_s").over(w), F.lit(0)))
             .where((F.col("_before") <= F.col("_left")) & (F.col("_before") + F.col("_s") > F.col("_left")))
             .select("_key", F.col("_block").alias("_edge"), "_before"))
-    ranked = ranked.join(edge, "_key", "left")
+    ranked = ranked.join(by_source(edge), "_key", "left")
     order = Window.partitionBy("_key").orderBy("_rank", "size", "_row").rowsBetween(Window.unboundedPreceding, 0)
     inside = (ranked.where("_block = _edge").withColumn("_run", F.col("_before") + F.sum("size").over(order))
               .where("_run <= _left").select("_row", F.lit(True).alias("_in")))
@@ -131,7 +134,7 @@ def mix(docs: DataFrame, *, id_col: str = "doc_id", source_col: str = "source",
     chosen = written(chosen.select("_row", "_key", "doc_id", "source", "size", "source_size", "target", "_whole", "_rank",
                                    "_extra", "_left", *[f"_keep_{c}" for c in keep]), "mix-chosen")
     gap = chosen.groupBy("_key").agg((F.first("_left") - F.sum(F.when(F.col("_extra"), F.col("size")).otherwise(0))).alias("_gap"))
-    near = chosen.where(~F.col("_extra") & F.col("_rank").isNotNull()).join(gap, "_key").withColumn("_miss", F.abs(F.col("_gap") - F.col("size")))
+    near = chosen.where(~F.col("_extra") & F.col("_rank").isNotNull()).join(by_source(gap), "_key").withColumn("_miss", F.abs(F.col("_gap") - F.col("size")))
     last = (near.where("_miss < abs(_gap)").groupBy("_key").agg(F.min(F.struct("_miss", "_rank", "_row")).alias("_m"))
             .select(F.col("_m._row").alias("_row"), F.lit(True).alias("_last")))
     copies = F.col("_whole") + (F.col("_extra") | F.coalesce("_last", F.lit(False))).cast("long")
