@@ -21,6 +21,16 @@ from lectio.llm.simhash import near_duplicates
 SHINGLE, MAX_BITS = 3, 3
 
 
+def _key(docs: DataFrame):
+    """16-byte identity of a whole row; rows equal in every column share it."""
+    parts = []
+    for f in docs.schema.fields:
+        c = F.col(f"`{f.name}`")
+        c = F.to_json(F.struct(c)) if f.dataType.typeName() in ("array", "map", "struct", "variant") else c.cast("binary" if f.dataType.typeName() == "binary" else "string")
+        parts.append(F.coalesce(F.md5(c.cast("binary")), F.lit("-")))
+    return F.unhex(F.md5(F.concat_ws(",", *parts).cast("binary"))).alias("key")
+
+
 def _packed(docs: DataFrame, *more) -> DataFrame:
     """The row as one struct column, so that its column names meet no others."""
     return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), *more)
@@ -43,27 +53,31 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of linked fingerprints stays: the smallest doc_id (nulls last)."""
-    rows = written(_packed(docs, "doc_id", "text", F.monotonically_increasing_id().alias("row")), "stage-rows")
-    groups = near_duplicates(rows, id_col="row", shingle=SHINGLE, max_bits=MAX_BITS).select(F.col("doc_id").alias("row"), "component_id")
-    first = (rows.select("row", "doc_id").join(groups, "row").groupBy("component_id")
-             .agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row")).alias("best")))
-    return rows.join(first.select(F.col("best.row").alias("row")), "row", "left_semi").select("doc.*")
+    """One document of each group of linked fingerprints stays: the smallest doc_id (nulls
+    last), and of rows equal in every column one."""
+    rows = _packed(docs, _key(docs), "doc_id", "text")
+    groups = near_duplicates(rows.withColumnRenamed("doc_id", "own_id"), id_col="key", shingle=SHINGLE, max_bits=MAX_BITS, keep=("own_id",))
+    first = groups.groupBy("component_id").agg(F.min(F.struct(F.col("own_id").isNull().alias("no_id"), "own_id", F.col("doc_id").alias("key"))).alias("best"))
+    return (rows.select("doc", "key").dropDuplicates(["key"])
+            .join(first.select(F.col("best.key").alias("key")), "key", "left_semi").select("doc.*"))
 
 
 def leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a copy of a benchmark item go."""
-    rows = written(_packed(docs, "text", F.monotonically_increasing_id().alias("row")), "stage-rows")
-    found = find_leaks(rows, table(spark, sf_dir, "benchmark"), keep=("row",)).select("row").distinct()
-    return rows.join(found, "row", "left_anti").select("doc.*")
+    rows = _packed(docs, _key(docs), "text")
+    found = find_leaks(rows, table(spark, sf_dir, "benchmark"), keep=("key",)).select("key").distinct()
+    return rows.select("doc", "key").join(found, "key", "left_anti").select("doc.*")
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the mix takes, with ``copies`` and the source's ``target``."""
-    rows = written(_packed(docs, "doc_id", "source", "text", F.monotonically_increasing_id().alias("row")), "stage-rows")
-    took = mix(rows, keep=("row",)).where("copies > 0").select("row", "copies", "target", "taken")
+    """Documents that the mix takes, with ``copies``, ``taken`` (words) and the source's
+    ``target``.  Rows equal in every column are one row with their copies added up."""
+    rows = _packed(docs, _key(docs), "doc_id", "source", "text")
+    took = (mix(rows, keep=("key",)).where("copies > 0").groupBy("key")
+            .agg(F.sum("copies").alias("copies"), F.first("target").alias("target"), F.sum("taken").alias("taken")))
     names = [c for c in docs.columns if c not in ("copies", "target", "taken")]
-    return rows.select("row", "doc").join(took, "row").select(*[F.col(f"doc.`{c}`").alias(c) for c in names], "copies", "target", "taken")
+    return (rows.select("doc", "key").dropDuplicates(["key"]).join(took, "key")
+            .select(*[F.col(f"doc.`{c}`").alias(c) for c in names], "copies", "target", "taken"))
 
 
 STAGES = [("language_id", language), ("line_dedup", lines), ("simhash_near_dedup", near_copies),

@@ -51,16 +51,20 @@ def fingerprint(text: bytes | None, shingle: int = 3) -> int:
     return int(np.packbits(2 * ones > n, bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3) -> DataFrame:
-    """``doc_id, fp`` (the 64 bits as a signed long), one row per document."""
+def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3,
+                 keep: tuple[str, ...] = ()) -> DataFrame:
+    """``doc_id`` (the id column), the columns ``keep`` and ``fp`` (the 64 bits as a signed
+    long), one row per document."""
     small_batches(docs.sparkSession)
+    kept = docs.select(F.col(id_col).alias("doc_id"), *keep)
+    names = kept.columns
 
     def run(batches):
         for b in batches:
             fps = np.array([fingerprint(t, shingle) for t in b.column("_text").to_pylist()], np.uint64)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(fps.view(np.int64))], ["doc_id", "fp"])
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"),
-                       F.col(text_col).cast("binary").alias("_text")).mapInArrow(run, "doc_id long, fp long")
+            yield pa.RecordBatch.from_arrays([*[b.column(c) for c in names], pa.array(fps.view(np.int64))], [*names, "fp"])
+    return (docs.select(F.col(id_col).alias("doc_id"), *keep, F.col(text_col).cast("binary").alias("_text"))
+            .mapInArrow(run, kept.schema.add("fp", "long")))
 
 
 def trie_links(keys: np.ndarray, depth: int, max_bits: int) -> np.ndarray:
@@ -179,13 +183,13 @@ def linked(fps: DataFrame, max_bits: int = 3) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3,
-                    max_bits: int = 3) -> DataFrame:
-    """``doc_id, fp, component_id``, one row per document; component_id is the smallest
-    doc_id that links of at most ``max_bits`` bits reach."""
-    fps = written(fingerprints(docs, id_col=id_col, text_col=text_col, shingle=shingle), "simhash")
+                    max_bits: int = 3, keep: tuple[str, ...] = ()) -> DataFrame:
+    """``doc_id``, the columns ``keep``, ``fp, component_id``, one row per document;
+    component_id is the smallest doc_id that links of at most ``max_bits`` bits reach."""
+    fps = written(fingerprints(docs, id_col=id_col, text_col=text_col, shingle=shingle, keep=keep), "simhash")
     entries = written(fps.groupBy("fp").agg(F.min("doc_id").alias("low")), "simhash-entries")
     roots = connected_components(linked(entries, max_bits))
     groups = entries.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     lows = groups.groupBy("root").agg(F.min("low").alias("component_id"))
     classes = groups.select("fp", "root").join(lows, "root").select("fp", "component_id")
-    return fps.join(classes, "fp").select("doc_id", "fp", "component_id")
+    return fps.join(classes, "fp").select("doc_id", *keep, "fp", "component_id")
