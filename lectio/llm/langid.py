@@ -10,9 +10,11 @@ order is a sorted array of hashes with one column of log probabilities and one o
 weights a language, looked up by binary search.
 
 A document goes to the language with the lowest cross-entropy per character.  Rejection
-is calibrated: documents of the calibration fold give, per language, the distribution of
-that cross-entropy, and a document is rejected if it lies above the ``keep`` quantile by
-more than ``slack`` bits, or has no letter.
+is calibrated: the documents of the calibration fold give, per language, the median of
+that cross-entropy and the ``keep`` quantile of the excess over it, both on the scale of
+``STEADY`` characters, since the excess of short texts varies as one over the root of
+their length.  A document is rejected if its excess lies above that quantile by more than
+``slack`` bits, or if it has no letter.
 
 Rules for odd rows: null text or text without a letter is ``und`` with score 0 and is
 rejected; a null lang is never learned; a null doc_id counts as held out; ties between
@@ -33,6 +35,7 @@ ORDER = 4
 MAX_GRAMS = 1_000_000       # rows of a model: the most frequent grams of all languages together
 FLUSH_GRAMS = 1_000_000     # distinct grams a task holds before it emits its counts
 SPACE = 32
+STEADY = 100                # characters from which on cross-entropy is taken to vary no less
 
 
 def fold_of(id_col: str) -> Column:
@@ -268,7 +271,7 @@ def fit(docs: DataFrame, *, lang_col: str = "lang", text_col: str = "text", max_
     return KneserNey([], [], [], []) if not langs else KneserNey.fit(langs, grams, ns)
 
 
-def predict(docs: DataFrame, model: KneserNey, limits: dict[str, float] | None = None, *, text_col: str = "text",
+def predict(docs: DataFrame, model: KneserNey, limits: dict[str, tuple[float, float]] | None = None, *, text_col: str = "text",
             keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """The columns ``keep`` and ``lang_pred, score, bits, chars, rejected``.  score is the
     posterior of the chosen language under equal priors, with the characters' evidence
@@ -293,7 +296,8 @@ def predict(docs: DataFrame, model: KneserNey, limits: dict[str, float] | None =
                 for i in np.flatnonzero(length):
                     name = m.langs[best[i]]
                     lang[i], score[i], bits[i] = name, post[i], float(low[i])
-                    rejected[i] = low[i] > limits.get(name, np.inf)
+                    middle, most = limits.get(name, (0.0, np.inf))
+                    rejected[i] = (low[i] - middle) * np.sqrt(min(length[i], STEADY) / STEADY) > most
             yield pa.RecordBatch.from_arrays(
                 [*[b.column(c) for c in keep], pa.array(lang), pa.array(score), pa.array(bits, pa.float64()), pa.array(length), pa.array(rejected)],
                 [*keep, "lang_pred", "score", "bits", "chars", "rejected"])
@@ -304,12 +308,15 @@ def predict(docs: DataFrame, model: KneserNey, limits: dict[str, float] | None =
     return src.mapInArrow(run, schema)
 
 
-def calibrate(docs: DataFrame, model: KneserNey, *, text_col: str = "text", keep: float = 0.999, slack: float = 1.0) -> dict[str, float]:
-    """Per language the bits per character beyond which a document is rejected: the
-    ``keep`` quantile over the documents of ``docs`` given to it, plus ``slack``."""
-    found = (predict(docs, model, text_col=text_col, keep=()).where("chars > 0").groupBy("lang_pred")
-             .agg(F.percentile_approx("bits", F.lit(keep), F.lit(10_000)).alias("q")))
-    return {r["lang_pred"]: r["q"] + slack for r in found.collect()}
+def calibrate(docs: DataFrame, model: KneserNey, *, text_col: str = "text", keep: float = 0.999, slack: float = 1.0) -> dict[str, tuple[float, float]]:
+    """Per language the median bits per character and the excess over it (for ``STEADY``
+    characters) beyond which a document is rejected, over all documents given."""
+    found = written(predict(docs, model, text_col=text_col, keep=()).where("chars > 0").select("lang_pred", "bits", "chars"), "langid-calibration")
+    middle = found.groupBy("lang_pred").agg(F.percentile_approx("bits", F.lit(0.5), F.lit(10_000)).alias("m"))
+    excess = (F.col("bits") - F.col("m")) * F.sqrt(F.least(F.col("chars"), F.lit(STEADY)) / F.lit(STEADY))
+    most = (found.join(F.broadcast(middle), "lang_pred").groupBy("lang_pred")      # one row a language
+            .agg(F.first("m").alias("m"), F.percentile_approx(excess, F.lit(keep), F.lit(10_000)).alias("q")))
+    return {r["lang_pred"]: (r["m"], r["q"] + slack) for r in most.collect()}
 
 
 def identify(docs: DataFrame, *, id_col: str = "doc_id", lang_col: str = "lang", text_col: str = "text",
