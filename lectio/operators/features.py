@@ -43,12 +43,11 @@ def word_frequency_feature(docs: DataFrame, id_col: str = "doc_id",
     total = corpus.select(F.sum("c_w")).first()[0] or 0
     per_doc = (dw.join(corpus, "w")
                  .groupBy(id_col)
-                 .agg(F.sum(F.col("c_dw") * F.col("c_w")).alias("_num"),
+                 .agg(F.sum(F.col("c_dw").cast("double") * F.col("c_w")).alias("_num"),
                       F.sum("c_dw").alias("_n")))
     return (docs.select(id_col).join(per_doc, id_col, "left")
                 .select(id_col,
-                        (F.col("_num").cast("double")
-                         / (F.col("_n") * F.lit(total)).cast("double")).alias("freq")))
+                        (F.col("_num") / (F.col("_n").cast("double") * F.lit(float(total)))).alias("freq")))
 
 
 def category_flags(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:

@@ -50,33 +50,32 @@ def with_row_index(df: DataFrame, order_cols, index_col: str = "row_idx",
     return out
 
 
-def fold_of(index_col: str, n: int, k: int):
-    """F1 arithmetic: contiguous folds where the first ``n mod k`` folds hold
-    one extra row (same as an unshuffled 10-fold split and as ``ntile(k) - 1``)."""
+def fold_starts(n: int, k: int) -> list[int]:
+    """First position of folds 1 .. k-1 (F1 arithmetic: the first ``n mod k`` folds
+    hold one extra row, as in an unshuffled k-fold split)."""
     q, r = divmod(n, k)
-    i = F.col(index_col)
-    big = r * (q + 1)
-    if q == 0:
-        return i.cast("long")
-    return F.when(i < big, F.floor(i / (q + 1))).otherwise(r + F.floor((i - big) / q)).cast("long")
+    return [f * q + min(f, r) for f in range(1, k)]
 
 
 def assign_folds(df: DataFrame, order_col: str, k: int = 10, fold_col: str = "fold",
                  group_col: str | None = None) -> DataFrame:
     """add ``fold`` (0..k-1), contiguous over ``order_col`` order.
 
-    With ``group_col`` the folds are made over distinct groups (all rows of a
-    group share a fold), which keeps one text out of both train and test.
-    """
-    if group_col is None:
-        idx = with_row_index(df, order_col, "_row_idx")
-        n = idx.count()   # reads the checkpointed rows, not the upstream plan
-        return idx.withColumn(fold_col, fold_of("_row_idx", n, k)).drop("_row_idx")
-    groups = df.select(group_col).distinct()
-    gidx = with_row_index(groups, group_col, "_row_idx")
-    n = gidx.count()
-    gf = gidx.withColumn(fold_col, fold_of("_row_idx", n, k)).drop("_row_idx")
-    return df.join(gf, group_col)
+    Only the keys are ordered (and checkpointed); the k-1 keys at which a fold
+    starts come back, and the fold is a column expression on the rows, which
+    are not moved.  Keys must be unique; equal keys would share a fold.  With
+    ``group_col`` the folds are made over distinct groups (all rows of a group
+    share a fold), which keeps one text out of both train and test."""
+    key = group_col or order_col
+    keys = df.select(key).distinct() if group_col else df.select(key)
+    idx = with_row_index(keys, key, "_row_idx")
+    starts = fold_starts(idx.count(), k)
+    first = {r["_row_idx"]: r[key] for r in idx.where(F.col("_row_idx").isin(starts)).collect()}
+    fold = F.lit(0).cast("long")
+    for s in starts:
+        if s in first:            # a fold that starts beyond the last row is empty
+            fold = fold + F.coalesce((F.col(key) >= F.lit(first[s])).cast("long"), F.lit(0))
+    return df.withColumn(fold_col, fold)
 
 
 def average_rank(df: DataFrame, col: str, rank_col: str) -> DataFrame:

@@ -89,9 +89,9 @@ def mcc(df: DataFrame, label: str = "label", pred: str = "pred", group_cols=())
     t = cm.groupBy(*gc, F.col(label).alias("k")).agg(F.sum("m").alias("t_k"))
     p = cm.groupBy(*gc, F.col(pred).alias("k")).agg(F.sum("m").alias("p_k"))
     tp = t.join(p, gc + ["k"], "full_outer").fillna(0, ["t_k", "p_k"])
-    per = tp.groupBy(*gc).agg(F.sum(F.col("t_k") * F.col("p_k")).cast("double").alias("tp_sum"),
-                              F.sum(F.col("t_k") * F.col("t_k")).cast("double").alias("tt"),
-                              F.sum(F.col("p_k") * F.col("p_k")).cast("double").alias("pp"))
+    per = tp.groupBy(*gc).agg(F.sum(F.col("t_k").cast("double") * F.col("p_k")).alias("tp_sum"),
+                              F.sum(F.col("t_k").cast("double") * F.col("t_k")).alias("tt"),
+                              F.sum(F.col("p_k").cast("double") * F.col("p_k")).alias("pp"))
     tot = cm.groupBy(*gc).agg(F.sum(F.when(F.col(label) == F.col(pred), F.col("m")).otherwise(0))
                               .cast("double").alias("c"), F.sum("m").cast("double").alias("s"))
     j = tot.join(per, gc)
@@ -101,6 +101,17 @@ def mcc(df: DataFrame, label: str = "label", pred: str = "pred", group_cols=())
     return out.drop("_g") if dummy else out
 
 
+def _corr(a: str, b: str) -> Column:
+    """Pearson correlation; null when a column is constant (undefined)."""
+    return F.try_divide(F.covar_pop(a, b), F.stddev_pop(a) * F.stddev_pop(b))
+
+
+def pearson(df: DataFrame, y: str = "y", yhat: str = "yhat") -> DataFrame:
+    """C4 without ranks: Pearson, mean squared error and its root in one aggregate."""
+    err = F.col(yhat) - F.col(y)
+    return df.agg(_corr(y, yhat).alias("pearson"), F.avg(err * err).alias("mse"), F.sqrt(F.avg(err * err)).alias("rmse"))
+
+
 def pearson_and_spearman(df: DataFrame, y: str = "y", yhat: str = "yhat") -> DataFrame:
     """C4: Pearson, Spearman (Pearson of average ranks), their mean, and the
     mean squared error (the reference names it ``rmse``; named ``mse`` here)
@@ -108,7 +119,7 @@ def pearson_and_spearman(df: DataFrame, y: str = "y", yhat: str = "yhat") -> Dat
     r = average_rank(df, y, "_ry")
     r = average_rank(r, yhat, "_rp")
     err = F.col(yhat) - F.col(y)
-    return r.agg(F.corr(y, yhat).alias("pearson"), F.corr("_ry", "_rp").alias("spearman"),
+    return r.agg(_corr(y, yhat).alias("pearson"), _corr("_ry", "_rp").alias("spearman"),
                  F.avg(err * err).alias("mse"), F.sqrt(F.avg(err * err)).alias("rmse")) \
             .select("pearson", "spearman", ((F.col("pearson") + F.col("spearman")) / 2).alias("corr"),
                     "mse", "rmse")

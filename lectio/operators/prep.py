@@ -1,4 +1,4 @@
-"""Joins and checks that prepare the modelling table."""
+"""Joins and checks that prepare the modelling table."""
 
 from __future__ import annotations
 
@@ -7,8 +7,6 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import maybe_broadcast
-
 
 def join_responses_text(responses: DataFrame, texts: DataFrame, key: str = "survey_num") -> DataFrame:
     """Full outer join of responses and article texts on the article key.
@@ -16,23 +14,17 @@ def join_responses_text(responses: DataFrame, texts: DataFrame, key: str = "surv
     return responses.join(texts, key, "full_outer")
 
 
-def drop_leaks(df: DataFrame, cols=("reading_time", "value")) -> DataFrame:
-    """Remove the target and leak columns before building features."""
-    return df.drop(*cols)
-
-
 def lookup_join(df: DataFrame, lookup: DataFrame, key: str, value: str,
-                lookup_key: str | None = None, on_missing: str = "null",
-                max_broadcast_rows: int = 2_000_000) -> DataFrame:
+                lookup_key: str | None = None, on_missing: str = "null") -> DataFrame:
     """Dictionary lookup as a join.
 
-    The lookup side is broadcast only when a bounded count proves it small.
+    The join's strategy is left to adaptive execution, which broadcasts the
+    lookup side only from its measured bytes.
     ``on_missing='raise'`` reproduces the dictionary's KeyError as a checked
     violation count; ``'null'`` keeps the row with a null value.
     """
     lk = lookup_key or key
     lt = lookup.select(F.col(lk).cast(df.schema[key].dataType).alias(key), F.col(value))
-    lt = maybe_broadcast(lt, max_broadcast_rows)
     out = df.join(lt, key, "left")
     if on_missing == "raise":
         expect(out, F.col(value).isNotNull() | F.col(key).isNull(), f"lookup of {key} -> {value}")

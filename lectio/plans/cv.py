@@ -63,15 +63,14 @@ def full_feature_columns(tbl: DataFrame, keep_key: bool = True):
     """R5 design: numeric columns (the article key included as a number, as in
     the reference; ``keep_key=False`` drops it) plus a one-hot of the string
     columns."""
-    oh = one_hot(tbl.select("response_id", "device"), ["device"])
-    dummies = [c for c in oh.columns if c.startswith("device_")]
-    wide = tbl.join(oh, "response_id")
+    wide = one_hot(tbl, ["device"])
+    dummies = [c for c in wide.columns if c.startswith("device_")]
     nums = (["survey_num"] if keep_key else []) + ["person_id", "hour_of_day", "x_words"]
     return wide, nums + dummies
 
 
 def data_only_predictions(tbl: DataFrame, models=("std", "lr-basic", "lr-surp"),
-                          rf_trees: int = 20, knn_k: int = 5, mlp_epochs: int = 60,
+                          rf_trees: int = 100, rf_depth: int = 30, knn_k: int = 5, mlp_epochs: int = 100,
                           seed: int = 42) -> DataFrame:
     parts = []
     for m in models:
@@ -88,7 +87,7 @@ def data_only_predictions(tbl: DataFrame, models=("std", "lr-basic", "lr-surp"),
             parts.append(linear_predictions(wide, m, cols))
         elif m == "rf":
             wide, cols = full_feature_columns(tbl)
-            p = R.random_forest_folds(wide, cols, "y", "response_id", num_trees=rf_trees, seed=seed)
+            p = R.random_forest_folds(wide, cols, "y", "response_id", num_trees=rf_trees, max_depth=rf_depth, seed=seed)
             parts.append(_preds(p, m, F.col("yhat")))
         elif m == "knn":
             from ..operators.knn import knn_fold_predictions

@@ -76,9 +76,9 @@ def responses(t: Tables) -> DataFrame:
 
 
 def stories(t: Tables) -> DataFrame:
-    """Story words (item, zone, word): every English document, whitespace words,
+    """Story words (item, zone, word): every document, whitespace words,
     ``zone`` numbered from 1."""
-    return (t.documents.where(F.col("lang") == "en")
+    return (t.documents
              .select(F.col("doc_id").alias("item"),
                      F.posexplode(T.whitespace_words("text")).alias("pos", "word"))
              .select("item", (F.col("pos") + 1).cast("long").alias("zone"), "word"))
@@ -105,8 +105,7 @@ def lm_tokens(t: Tables) -> DataFrame:
 def pairs(t: Tables) -> DataFrame:
     w = Window.partitionBy("conv_id").orderBy("turn")
     c = t.conversations.withColumn("text_b", F.lead("text").over(w))
-    return (c.where(F.col("role") == "user")
-             .select("conv_id", "turn", F.col("text").alias("text_a"), "text_b"))
+    return c.select("conv_id", "turn", F.col("text").alias("text_a"), "text_b")
 
 
 def binary_preds(t: Tables) -> DataFrame:
@@ -122,7 +121,7 @@ def reg_preds(t: Tables) -> DataFrame:
 
 
 def class_scores(t: Tables) -> DataFrame:
-    return t.embeddings.select("vec_id", F.slice("embedding", 1, 10).alias("scores"),
+    return t.embeddings.select("vec_id", F.col("embedding").alias("scores"),
                                F.col("label").cast("long").alias("label"))
 
 

@@ -21,7 +21,7 @@ VIEWS = {
     "stories": """
         SELECT item, CAST(zone AS BIGINT) AS zone, word FROM (
           SELECT doc_id AS item, generate_subscripts(w, 1) AS zone, unnest(w) AS word
-          FROM (SELECT doc_id, regexp_extract_all(text, '\\S+') AS w FROM documents WHERE lang = 'en'))""",
+          FROM (SELECT doc_id, regexp_extract_all(text, '\\S+') AS w FROM documents))""",
     "word_rts": """
         SELECT word, zone, item, CAST(s.subject AS BIGINT) AS subject,
                CAST(250.0 + 10.0 * length(word) + zone % 7 AS DOUBLE) AS meanItemRT
@@ -37,7 +37,7 @@ VIEWS = {
         SELECT conv_id, turn, text_a, text_b FROM (
           SELECT conv_id, turn, role, text AS text_a,
                  lead(text) OVER (PARTITION BY conv_id ORDER BY turn) AS text_b
-          FROM conversations) WHERE role = 'user'""",
+          FROM conversations)""",
     "binary_preds": """
         SELECT l.doc_id, CAST(l.quality AS BIGINT) AS label, CAST(d.n_chars > 500 AS BIGINT) AS pred
         FROM labels l JOIN documents d ON d.doc_id = l.doc_id""",
@@ -45,7 +45,7 @@ VIEWS = {
         SELECT doc_id, CAST(n_chars AS DOUBLE) AS y,
                5.0 * len(regexp_extract_all(text, '\\S+')) AS yhat FROM documents""",
     "class_scores": """
-        SELECT vec_id, embedding[1:10] AS scores, CAST(label AS BIGINT) AS label FROM embeddings""",
+        SELECT vec_id, embedding AS scores, CAST(label AS BIGINT) AS label FROM embeddings""",
     "token_vectors": """
         SELECT CAST(label AS BIGINT) AS doc, vec_id AS pos, embedding AS vec FROM embeddings""",
     "seed_runs": """

@@ -56,22 +56,22 @@ def q_embed_distinct(spark, sf):
 
 
 @query("stack_features", with_views("""
-SELECT response_id, CAST(2 + 64 AS BIGINT) AS n_features, CAST(coalesce(num_words, 0) AS DOUBLE) AS f0,
-       CAST(hour_of_day AS DOUBLE) AS f1
-FROM responses""", "responses"))
+SELECT r.response_id, CAST(coalesce(num_words, 0) AS DOUBLE) AS f0, CAST(hour_of_day AS DOUBLE) AS f1,
+       """ + ", ".join(f"CASE WHEN length(x.text) > 0 THEN CAST(length(x.text) - length(replace(x.text, '{c}', '')) AS DOUBLE) "
+                       f"/ length(x.text) ELSE 0.0 END AS f{i + 2}" for i, c in enumerate("abcdefghijklmnopqrstuvwxyz")) + """
+FROM responses r LEFT JOIN texts x ON x.survey_num = r.survey_num""", "responses", "texts"))
 def q_stack_features(spark, sf):
     """Numeric response features and the text embedding concatenated by
     key (zeros where the response has no text)."""
     t = _t(spark, sf)
     r = X.responses(t).withColumn("x_words", F.coalesce(F.col("num_words"), F.lit(0)).cast("double"))
-    emb = EM.embed_distinct(X.texts(t), "text", lambda d: EM.embed_hashing(d, "text", 64))
-    s = P.stack_features(r, "survey_num", ["x_words", "hour_of_day"], EM.with_zero_fill(emb, "embedding", 64),
+    emb = EM.embed_distinct(X.texts(t), "text", lambda d: EM.embed_batches(d, EM.letter_profile_encoder, "text"))
+    s = P.stack_features(r, "survey_num", ["x_words", "hour_of_day"], EM.with_zero_fill(emb, "embedding", 26),
                          "survey_num", "embedding")
     s = s.withColumn("features", F.coalesce(F.col("features"),
                                             F.concat(F.array(F.col("x_words"), F.col("hour_of_day").cast("double")),
-                                                     F.array_repeat(F.lit(0.0), 64))))
-    return s.select("response_id", F.size("features").cast("long").alias("n_features"),
-                    F.col("features")[0].alias("f0"), F.col("features")[1].alias("f1"))
+                                                     F.array_repeat(F.lit(0.0), 26))))
+    return s.select("response_id", *[F.col("features")[i].alias(f"f{i}") for i in range(28)])
 
 
 @query("embed_hashing")
@@ -83,7 +83,7 @@ def q_embed_hashing(spark, sf):
 @query("embed_word2vec")
 def q_embed_word2vec(spark, sf):
     d = _t(spark, sf).documents.select("doc_id", "text")
-    model = EM.fit_word2vec(d, "text", width=32, min_count=2, max_iter=1)
+    model = EM.fit_word2vec(d, "text", width=32, max_iter=1)
     return EM.embed_word2vec(d, model, "text").select("doc_id", "embedding")
 
 

@@ -432,6 +432,74 @@ def q_scan_json_map(spark, sf):
     return back.select("doc_id", r6("surprisal").alias("surprisal"))
 
 
+@query("scan_token_wide", with_views(
+    "SELECT doc_id, word, sentpos, wlen, round(surp, 6) AS surp FROM tt", extra=_TOKENS_CTE))
+def q_scan_token_wide(spark, sf):
+    """S3 on files with more columns in another order: the wanted ones are taken by name."""
+    from ..session import scratch_path
+    from ..sources import read_token_outputs
+    path = scratch_path(spark, "token-wide")
+    tt = S.token_surprisal(_t(spark, sf).documents)
+    (tt.select("doc_id", F.lit(1.5).alias("entropy"), "surp", F.col("tok_pos").alias("sentid"), "word", F.lit("x").alias("entred"), "wlen", "sentpos")
+       .repartition(F.pmod("doc_id", F.lit(16))).write.option("header", True).option("sep", " ").option("quote", "").csv(path))
+    back = read_token_outputs(spark, path, "doc_id long, word string, sentpos long, wlen long, surp double", glob="*.csv")
+    return back.select("doc_id", "word", "sentpos", "wlen", r6("surp").alias("surp"))
+
+
+@query("scan_json_object", with_views(
+    "SELECT doc_id, round(sum(surp), 6) AS surprisal FROM tt GROUP BY 1", extra=_TOKENS_CTE))
+def q_scan_json_object(spark, sf):
+    """S5 on objects that span many lines: a key per line, one object a file."""
+    from ..session import scratch_path
+    from ..sources import read_json_map
+    path = scratch_path(spark, "json-object")
+    per = S.surprisal_per_doc(S.token_surprisal(_t(spark, sf).documents), "doc_id")
+    parts = per.withColumn("part", F.pmod("doc_id", F.lit(8)))
+    line = F.concat(F.lit('  "'), F.col("doc_id").cast("string"), F.lit('": '), F.col("surprisal").cast("string"))
+    body = parts.groupBy("part").agg(F.array_join(F.sort_array(F.collect_list(line)), ",\n").alias("b"))
+    (body.select(F.concat(F.lit("{\n"), "b", F.lit("\n}")).alias("value"), "part").repartition("part")
+         .write.partitionBy("part").text(path))
+    back = read_json_map(spark, path, "doc_id", "surprisal", key_type="long")
+    return back.select("doc_id", r6("surprisal").alias("surprisal"))
+
+
+_GIVEN = (250.0, 12.5, 0.75, 3.25)     # intercept, wlen, sentpos, surp: any coefficients do, the sums are checked
+
+
+def lmm_seconds_given(spark, sf):
+    from ..operators.mixedlm import MixedLMResult, doc_seconds_from_sums
+    import numpy as np
+    res = MixedLMResult(names=["wlen", "sentpos", "surp"], fe=np.array(_GIVEN), scale=1.0, group_var=0.0, theta=0.0,
+                        n_obs=0, n_groups=0, criterion=0.0)
+    docs = _t(spark, sf).documents
+    sums = S.doc_token_sums(docs).join(S.doc_surprisal_sums(docs).withColumnRenamed("surprisal", "surp"), "doc_id")
+    return doc_seconds_from_sums(sums, res, "doc_id")
+
+
+_GIVEN_SQL = ("SELECT doc_id, sum({} + {} * wlen + {} * sentpos + {} * surp) / 1000.0 AS seconds FROM tt GROUP BY doc_id"
+              .format(*[f"{c}::DOUBLE" for c in _GIVEN]))
+
+
+@query("lmm_seconds_given", with_views(f"SELECT doc_id, round(seconds, 4) AS seconds FROM ({_GIVEN_SQL})", extra=_TOKENS_CTE))
+def q_lmm_seconds_given(spark, sf):
+    """A4 + G2 at given coefficients, from per-article sums; the oracle sums per-token predictions."""
+    return lmm_seconds_given(spark, sf).where("seconds <> 0").select("doc_id", F.round("seconds", 4).alias("seconds"))
+
+
+@query("lookup_lmm_given", with_views(f"""
+SELECT r.response_id, r.survey_num, round(g.seconds, 4) AS lmm_seconds
+FROM responses r LEFT JOIN ({_GIVEN_SQL}) g ON g.doc_id = r.survey_num""", "responses", extra=_TOKENS_CTE))
+def q_lookup_lmm_given(spark, sf):
+    """J4/R2 at given coefficients: seconds through a JSON map (K4, S5) and looked up per response."""
+    from ..session import scratch_path
+    from ..sources import read_json_map, write_json_map
+    path = scratch_path(spark, "lmm-given")
+    write_json_map(lmm_seconds_given(spark, sf).where("seconds <> 0"), "doc_id", "seconds", path)
+    m = read_json_map(spark, path, "doc_id", "lmm_seconds", key_type="long")
+    r = P.lookup_join(X.responses(_t(spark, sf)), m, "survey_num", "lmm_seconds", lookup_key="doc_id")
+    return r.select("response_id", "survey_num", F.round("lmm_seconds", 4).alias("lmm_seconds"))
+
+
 @query("split_text", f"""
 SELECT doc_id, 'raw' AS variant, md5(text) AS text_md5 FROM documents
 UNION ALL

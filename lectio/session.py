@@ -1,4 +1,4 @@
-"""Session helpers: a tuned builder, shared scratch paths and size-checked broadcast."""
+"""Session helpers: a tuned builder, and shared scratch paths."""
 
 from __future__ import annotations
 
@@ -6,8 +6,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import SparkSession
 
 
 DEFAULTS = {
@@ -49,13 +48,16 @@ def build_session(master: str | None = None, app: str = "lectio",
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by the cluster
-    (``spark.checkpoint.dir``).  Only when it is unset (tests) a private
-    folder is created and registered."""
+    (``spark.checkpoint.dir``).  Only when it is unset in local mode (tests) a
+    private folder is created and registered; on a cluster that is an error,
+    since executors cannot see the driver's own folders."""
     sc = spark.sparkContext
     d = sc.getCheckpointDir()
     if d:
         return d
     d = spark.conf.get("spark.checkpoint.dir", None)
+    if not d and not sc.master.split("[")[0] == "local":
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not d:
         d = tempfile.mkdtemp(prefix="lectio-ckpt-")
     sc.setCheckpointDir(d)
@@ -70,11 +72,3 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
-
-
-def maybe_broadcast(df: DataFrame, max_rows: int = 1_000_000) -> DataFrame:
-    """Broadcast ``df`` only when a bounded count proves it has at most
-    ``max_rows`` rows; otherwise leave the join to a shuffle (AQE may still
-    convert it at run time from measured sizes)."""
-    n = df.limit(max_rows + 1).count()
-    return F.broadcast(df) if n <= max_rows else df
