@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from .surprisal import corpus_counts, exploded, join_counts
 
 
 def text_features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -32,22 +33,16 @@ def word_frequency_feature(docs: DataFrame, id_col: str = "doc_id",
                            text_col: str = "text") -> DataFrame:
     """T3 ``freq``: mean corpus relative frequency of a document's words.
 
-    (doc, word) counts are pre-aggregated before the corpus count join, so a
-    very common word contributes one row per document, not one per use; the
-    join itself is left to AQE (skew splitting on hot words).
+    Words meet their corpus counts where they lie (frequent words by a bounded
+    broadcast), and the sums are aggregated in every task before the shuffle.
     """
-    dw = (docs.select(id_col, F.explode(F.transform(T.word_tokens(text_col), lambda w: F.lower(w)))
-                      .alias("w"))
-              .groupBy(id_col, "w").agg(F.count(F.lit(1)).alias("c_dw")))
-    corpus = dw.groupBy("w").agg(F.sum("c_dw").alias("c_w")).persist()
-    total = corpus.select(F.sum("c_w")).first()[0] or 0
-    per_doc = (dw.join(corpus, "w")
-                 .groupBy(id_col)
-                 .agg(F.sum(F.col("c_dw").cast("double") * F.col("c_w")).alias("_num"),
-                      F.sum("c_dw").alias("_n")))
+    words = exploded(docs, id_col, T.word_tokens(text_col))
+    counted = corpus_counts(words)
+    per_doc = join_counts(words, counted).groupBy(id_col).agg(
+        F.sum(F.col("_c").cast("double")).alias("_num"), F.count(F.lit(1)).alias("_n"))
     return (docs.select(id_col).join(per_doc, id_col, "left")
                 .select(id_col,
-                        (F.col("_num") / (F.col("_n").cast("double") * F.lit(float(total)))).alias("freq")))
+                        (F.col("_num") / (F.col("_n").cast("double") * F.lit(float(counted[1])))).alias("freq")))
 
 
 def category_flags(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:

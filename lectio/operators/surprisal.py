@@ -10,7 +10,7 @@ external model can be read with ``sources.read_token_outputs`` instead.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -19,92 +19,137 @@ from .indexing import running_total
 SENT_END_TOKEN = r"^[.!?]$"     # fixed value: a token that closes a sentence
 
 
+#: Estimated bytes up to which a whole vocabulary is broadcast with its counts.
+VOCABULARY_BYTES = 64 << 20
+#: Beyond that only head words are.  A head word holds more than 1/HEAD_WORDS of all tokens, so
+#: there are fewer than HEAD_WORDS of them in any corpus, with at most HEAD_WORDS mean
+#: token lengths of characters.
+HEAD_WORDS = 50_000
+
+
 def explode_tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, tok_pos 1-based, word) for every token of every text."""
     return (docs.select(id_col, F.posexplode(T.tokens(text_col)).alias("p", "word"))
                 .select(id_col, (F.col("p") + 1).cast("long").alias("tok_pos"), "word"))
 
 
+def sentence_lengths(toks) -> Column:
+    """Tokens of each sentence, as an array.  They are read off a mask of one
+    character per token ('e' for a closing mark) split after every 'e'."""
+    mask = F.array_join(F.transform(toks, lambda t: F.when(t.rlike(SENT_END_TOKEN), F.lit("e|"))
+                                    .otherwise(F.lit("x"))), "")
+    return F.transform(F.filter(F.split(mask, r"\|"), lambda c: F.length(c) > 0),
+                       lambda c: F.length(c).cast("long"))
+
+
+def exploded(docs: DataFrame, id_col: str, words) -> DataFrame:
+    """(id, ``_key``): the lower-cased words of an array column.  The outer explode keeps
+    Spark from evaluating the array once more for a not-empty filter."""
+    return (docs.select(id_col, F.explode_outer(words).alias("_w")).where("_w is not null")
+                .select(id_col, F.lower("_w").alias("_key")))
+
+
+def corpus_counts(words: DataFrame) -> tuple[DataFrame, int, int, int]:
+    """Cached (``_key``, ``_c``) of the column ``_key``, and the numbers of words and of
+    distinct words and the characters of the distinct words."""
+    counts = words.groupBy("_key").agg(F.count(F.lit(1)).alias("_c")).persist()
+    st = counts.agg(F.sum("_c"), F.count(F.lit(1)), F.sum(F.length("_key"))).first()
+    return counts, st[0] or 0, st[1], st[2] or 0
+
+
+def join_counts(words: DataFrame, counted: tuple[DataFrame, int, int, int]) -> DataFrame:
+    """Rows with a ``_key`` joined to ``_c``.  A vocabulary of checked size is broadcast.  A
+    larger one is split: head words meet a broadcast table where they lie, and only
+    the other words, none of which is frequent, are shuffled."""
+    counts, n, distinct, chars = counted
+    if 4 * chars + 48 * distinct <= VOCABULARY_BYTES:
+        return words.join(F.broadcast(counts), "_key").select(*words.columns, "_c")
+    head = F.broadcast(counts.where(F.col("_c") * HEAD_WORDS > n))
+    rest = words.join(head.select("_key"), "_key", "left_anti")
+    return (words.join(head, "_key").select(*words.columns, "_c")
+            .unionByName(rest.join(counts.where(F.col("_c") * HEAD_WORDS <= n), "_key").select(*words.columns, "_c")))
+
+
+def _scored(toks: DataFrame, counted, id_col: str, pos_col: str, word_col: str) -> DataFrame:
+    denom = float(counted[1] + counted[2])
+    return join_counts(toks.withColumn("_key", F.lower(F.col(word_col))), counted).select(
+        id_col, pos_col, word_col, F.length(word_col).cast("long").alias("wlen"), "sentpos",
+        (-F.log2((F.col("_c") + 1).cast("double") / F.lit(denom))).alias("surp"))
+
+
 def token_table(tokens: DataFrame, id_col: str, pos_col: str = "tok_pos",
-                word_col: str = "word", block: int | None = None) -> DataFrame:
+                word_col: str = "word", block: int | None = 4096) -> DataFrame:
     """T5 on an exploded token frame: adds wlen, sentpos, surp.
 
     ``sentpos`` is the 1-based position in the sentence; a sentence ends at a
-    token of terminal punctuation.  For tokens exploded from text rows the
-    window is per document, whose size is the token count of one text that
-    already lived in one row; for token tables read from files (one document
-    may be huge) pass ``block`` to use the two-level running maximum.
+    token of terminal punctuation.  It is a running maximum in two levels, so a
+    document of any size is spread over blocks of ``block`` tokens.  Where the
+    tokens of a document are one array, ``array_token_table`` needs no window.
     """
-    toks = tokens.withColumn("_key", F.lower(F.col(word_col)))
-    # the vocabulary counts feed both the normaliser and the join: computed once
-    counts = toks.groupBy("_key").agg(F.count(F.lit(1)).alias("_c")).persist()
-    stats = counts.agg(F.sum("_c").alias("_n"), F.count(F.lit(1)).alias("_v"))
-    n_tok, n_voc = (lambda r: (r["_n"] or 0, r["_v"] or 0))(stats.first())
-    denom = float(n_tok + n_voc)
-    ends = toks.withColumn("_end", F.when(F.col(word_col).rlike(SENT_END_TOKEN), F.col(pos_col)))
+    counted = corpus_counts(tokens.select(F.lower(F.col(word_col)).alias("_key")))
+    ends = tokens.withColumn("_end", F.when(F.col(word_col).rlike(SENT_END_TOKEN), F.col(pos_col)))
     ends = running_total(ends, [id_col], pos_col, "_end", "_last_end", block=block, how="max")
-    return (ends.join(counts, "_key")
-                .select(id_col, pos_col, word_col,
-                        F.length(word_col).cast("long").alias("wlen"),
-                        (F.col(pos_col) - F.col("_last_end")).cast("long").alias("sentpos"),
-                        (-F.log2((F.col("_c") + 1).cast("double") / F.lit(denom))).alias("surp")))
+    toks = ends.select(id_col, pos_col, word_col, (F.col(pos_col) - F.col("_last_end")).cast("long").alias("sentpos"))
+    return _scored(toks, counted, id_col, pos_col, word_col)
+
+
+def array_token_table(docs: DataFrame, id_col: str, tokens_col: str = "tokens") -> DataFrame:
+    """T5 on one row per document with its tokens in order: the same table as
+    ``token_table``, with sentence positions taken inside the row."""
+    counted = corpus_counts(exploded(docs, id_col, tokens_col))
+    sentpos = F.flatten(F.transform(sentence_lengths(F.col(tokens_col)), lambda n: F.sequence(F.lit(1).cast("long"), n)))
+    toks = (docs.select(id_col, F.posexplode(F.arrays_zip(F.col(tokens_col).alias("word"), sentpos.alias("sentpos"))).alias("_p", "_t"))
+                .select(id_col, (F.col("_p") + 1).cast("long").alias("tok_pos"), F.col("_t.word").alias("word"),
+                        F.col("_t.sentpos").alias("sentpos")))
+    return _scored(toks, counted, id_col, "tok_pos", "word")
 
 
 START = "<s>"   # fixed value: predecessor of a document's first token
 
 
-def bigram_table(tokens: DataFrame, id_col: str, pos_col: str = "tok_pos", word_col: str = "word") -> DataFrame:
+def bigram_table(docs: DataFrame, id_col: str, tokens_col: str = "tokens") -> DataFrame:
     """T5, bigram variant: ``surp = -log2((c(v, w) + 1) / (c(v) + V))`` with v
     the previous token of the same document (``<s>`` for the first), counts
     over the corpus (lower-cased), V the vocabulary size.  The previous token
-    comes from a window per document (one text); all counts are partially
-    aggregated group-bys, so frequent pairs never gather in one task."""
-    from pyspark.sql.window import Window
-    w = Window.partitionBy(id_col).orderBy(pos_col)
-    toks = (tokens.withColumn("_key", F.lower(F.col(word_col)))
-                  .withColumn("_prev", F.coalesce(F.lag("_key").over(w), F.lit(START))))
-    pairs = toks.groupBy("_prev", "_key").agg(F.count(F.lit(1)).alias("_cvw")).persist()
-    prev = pairs.groupBy("_prev").agg(F.sum("_cvw").alias("_cv"))
-    n_voc = toks.select("_key").distinct().count()
-    return (toks.join(pairs, ["_prev", "_key"]).join(prev, "_prev")
-                .select(id_col, pos_col, word_col, F.col("_prev").alias("prev"),
-                        (-F.log2((F.col("_cvw") + 1).cast("double")
-                                 / (F.col("_cv") + F.lit(n_voc)).cast("double"))).alias("surp")))
+    comes from the document's array; c(v) joins the pair table, so the tokens
+    are joined once, on (v, w)."""
+    low = F.transform(tokens_col, lambda w: F.lower(w))
+    prev = F.slice(F.concat(F.array(F.lit(START)), low), F.lit(1), F.size(tokens_col))
+    toks = (docs.where(F.size(tokens_col) > 0)
+                .select(id_col, F.posexplode(F.arrays_zip(F.col(tokens_col).alias("word"), prev.alias("prev"))).alias("_p", "_t"))
+                .select(id_col, (F.col("_p") + 1).cast("long").alias("tok_pos"), F.col("_t.word").alias("word"),
+                        F.col("_t.prev").alias("prev"), F.lower("_t.word").alias("_key")))
+    pairs = toks.groupBy("prev", "_key").agg(F.count(F.lit(1)).alias("_cvw")).persist()
+    n_voc = pairs.select("_key").distinct().count()
+    after = pairs.groupBy("prev").agg(F.sum("_cvw").alias("_cv"))
+    surp = -F.log2((F.col("_cvw") + 1).cast("double") / (F.col("_cv") + F.lit(n_voc)).cast("double"))
+    scored = pairs.join(after, "prev").select("prev", "_key", surp.alias("surp"))
+    return toks.join(scored, ["prev", "_key"]).select(id_col, "tok_pos", "word", "prev", "surp")
 
 
 def token_surprisal(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    return token_table(explode_tokens(docs, id_col, text_col), id_col)
+    return array_token_table(docs.select(id_col, T.tokens(text_col).alias("tokens")), id_col)
 
 
 def doc_surprisal_sums(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                        out_col: str = "surprisal") -> DataFrame:
-    """G1 for the corpus-count surprisal without materialising the token table:
-    (doc, token) counts are pre-aggregated, so the join to the vocabulary
-    carries one row per distinct token of a document, and no per-token
-    window is needed (sentence positions do not enter the sum)."""
-    dk = (docs.select(id_col, F.explode(T.tokens(text_col)).alias("_w"))
-              .groupBy(id_col, F.lower("_w").alias("_key")).agg(F.count(F.lit(1)).alias("_cd")))
-    counts = dk.groupBy("_key").agg(F.sum("_cd").alias("_c")).persist()
-    st = counts.agg(F.sum("_c").alias("_n"), F.count(F.lit(1)).alias("_v")).first()
-    denom = float((st["_n"] or 0) + (st["_v"] or 0))
-    per = (dk.join(counts, "_key")
-             .groupBy(id_col)
-             .agg(F.sum(F.col("_cd") * -F.log2((F.col("_c") + 1).cast("double") / F.lit(denom))).alias(out_col)))
+    """G1 for the corpus-count surprisal without the token table: tokens meet their
+    counts (head words in place), and the sums are aggregated in every task before the
+    shuffle.  Documents without a token have the sum 0."""
+    toks = exploded(docs, id_col, T.tokens(text_col))
+    counted = corpus_counts(toks)
+    denom = float(counted[1] + counted[2])
+    per = join_counts(toks, counted).groupBy(id_col).agg(
+        F.sum(-F.log2((F.col("_c") + 1).cast("double") / F.lit(denom))).alias(out_col))
     return docs.select(id_col).join(per, id_col, "left").fillna(0.0, [out_col])
 
 
 def doc_token_sums(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per document: token count and the sums of wlen and sentpos of its token
     table, as row expressions on the token array (no explode, no window).
-    A sentence of L tokens contributes 1 + ... + L to the sentpos sum; the
-    sentence lengths are read off a one-character-per-token mask ('e' for a
-    closing mark) split after every 'e'."""
+    A sentence of L tokens contributes 1 + ... + L to the sentpos sum."""
     toks = T.tokens(text_col)
-    mask = F.array_join(F.transform(toks, lambda t: F.when(t.rlike(SENT_END_TOKEN), F.lit("e|"))
-                                    .otherwise(F.lit("x"))), "")
-    lens = F.transform(F.filter(F.split(mask, r"\|"), lambda c: F.length(c) > 0),
-                       lambda c: F.length(c).cast("long"))
-    sentpos_sum = F.aggregate(lens, F.lit(0).cast("long"),
+    sentpos_sum = F.aggregate(sentence_lengths(toks), F.lit(0).cast("long"),
                               lambda acc, n: acc + F.floor(n * (n + 1) / 2).cast("long"))
     wlen_sum = F.aggregate(F.transform(toks, lambda w: F.length(w).cast("long")), F.lit(0).cast("long"),
                            lambda acc, n: acc + n)

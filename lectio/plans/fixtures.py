@@ -92,14 +92,10 @@ def word_rts(t: Tables) -> DataFrame:
                     .cast("double").alias("meanItemRT"))
 
 
-def lm_tokens(t: Tables) -> DataFrame:
-    """(item, tok_pos, token): each story word's tokens, numbered through the story."""
-    from ..operators.indexing import running_total
-    s = stories(t).withColumn("toks", T.tokens("word")).withColumn("_n", F.size("toks"))
-    # a story here is one document (one input row), so its window is bounded
-    s = running_total(s, ["item"], "zone", "_n", "start", block=None)
-    return (s.select("item", "start", F.posexplode("toks").alias("p", "token"))
-             .select("item", (F.col("start") + F.col("p") + 1).alias("tok_pos"), "token"))
+def lm_token_arrays(t: Tables) -> DataFrame:
+    """(item, tokens): the tokens of a story's words, in order, in one row."""
+    toks = F.flatten(F.transform(T.whitespace_words("text"), lambda w: T.tokens(w)))
+    return t.documents.select(F.col("doc_id").alias("item"), toks.alias("tokens"))
 
 
 def pairs(t: Tables) -> DataFrame:

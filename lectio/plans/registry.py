@@ -294,9 +294,9 @@ _ALIGN_CTE = _token_table_ctes("lmtt", "SELECT item, tok_pos, token AS word FROM
 def _aligned(spark, sf):
     from ..operators import align as A
     t = _t(spark, sf)
-    lm = X.lm_tokens(t).withColumnRenamed("token", "word")
-    tt = S.token_table(lm, "item")
-    return A.align_tokens(X.stories(t), tt), A, t
+    tt = S.array_token_table(X.lm_token_arrays(t), "item")
+    positions = A.text_positions(t.documents.select(F.col("doc_id").alias("item"), "text"))
+    return A.align_positions(positions, tt), A, t
 
 
 @query("align_tokens", with_views("""
@@ -526,7 +526,7 @@ def q_align_tokens_strict(spark, sf):
     """A1 with the sequential fallback for stories whose words do not re-assemble."""
     from ..operators import align as A
     t = _t(spark, sf)
-    tt = S.token_table(X.lm_tokens(t).withColumnRenamed("token", "word"), "item")
+    tt = S.array_token_table(X.lm_token_arrays(t), "item")
     al = A.align_tokens_strict(X.stories(t), tt)
     return al.select("item", "zone", "word", "pieces", "n_tok", "wlen", "sentpos", "sentpos_first",
                      r6("surp").alias("surp"), "matched")
@@ -548,5 +548,6 @@ FROM (SELECT b.*, p.cvw, q.cv FROM (
               FROM toks) GROUP BY 1) q ON q.prev = b.prev)""", extra=_TOKENS_CTE[:1]))
 def q_token_surprisal_bigram(spark, sf):
     """T5 with an add-one smoothed bigram model over the corpus."""
-    bt = S.bigram_table(S.explode_tokens(_t(spark, sf).documents), "doc_id")
+    docs = _t(spark, sf).documents.select("doc_id", T.tokens("text").alias("tokens"))
+    bt = S.bigram_table(docs, "doc_id")
     return bt.select("doc_id", "tok_pos", "word", "prev", r6("surp").alias("surp"))
