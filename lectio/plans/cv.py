@@ -24,7 +24,7 @@ from ..operators.prep import lookup_join
 from ..operators.surprisal import doc_surprisal_sums
 from . import fixtures as X
 
-DATA_ONLY = "Data-Only"
+DATA_ONLY, FULL = "Data-Only", "Full_Results"
 
 
 def modelling_table(t: X.Tables, k: int = 10, lmm_seconds: DataFrame | None = None) -> DataFrame:
@@ -106,3 +106,44 @@ def data_only_predictions(tbl: DataFrame, models=("std", "lr-basic", "lr-surp"),
 
 def report(preds: DataFrame) -> DataFrame:
     return cv_report(fold_scores(preds, ("model_group", "name", "fold")), ("model_group", "name"))
+
+
+def full_predictions(tbl: DataFrame, texts: DataFrame, embedders: dict, epochs: int = 100, seed: int = 42) -> DataFrame:
+    """R8-R10 in one training run: the network on the response features (``mlp``), and for
+    each of ``embedders`` ({name: (embedding of a table of texts, width, words to keep or
+    None)}) on the text's embedding alone and on both stacked (J6).  ``texts`` has
+    survey_num and text; each distinct text is embedded once (J5)."""
+    from ..operators import embed as EM
+    from ..operators import mlp as NN
+    wide, cols = full_feature_columns(tbl)
+    base = list(range(len(cols)))
+    nets, parts, at = {"mlp": base}, [F.array(*[F.col(c).cast("double") for c in cols])], len(base)
+    for name, (embed, width, words) in embedders.items():
+        vec = f"_emb_{name}"
+        emb = EM.embed_distinct(texts, "text", embed, shorten=words).select("survey_num", F.col("embedding").alias(vec))
+        wide = EM.with_zero_fill(wide.join(emb, "survey_num", "left"), vec, width)
+        parts.append(F.transform(vec, lambda v: v.cast("double")))
+        own = list(range(at, at + width))
+        nets[name], nets[f"{name}/MLP"], at = own, base + own, at + width
+    data = wide.select("response_id", "fold", "y", F.concat(*parts).alias("_x")).persist()
+    thetas, sizes, std, _ = NN.fit_networks(data, "_x", "y", nets, epochs=epochs, seed=seed, key="response_id")
+    scored = NN.predict_networks(data, "response_id", "_x", "y", nets, thetas, sizes, std)
+    group = F.when(F.col("name") == "mlp", F.lit(DATA_ONLY)).otherwise(F.lit(FULL))
+    return scored.select(group.alias("model_group"), "name", "fold", "response_id", "y", "yhat")
+
+
+#: Header of the result table.
+RESULT_COLUMNS = {"model_group": "Group", "name": "Name", "mae": "MAE", "mae_std": "MAE-STD", "rmse": "RMSE", "rmse_std": "RMSE-STD"}
+
+
+def write_results(rep: DataFrame, path: str) -> None:
+    """K3: the report as a CSV table with the result columns."""
+    from ..sources import write_csv_table
+    write_csv_table(rep.select(*[F.col(c).alias(n) for c, n in RESULT_COLUMNS.items()]), path)
+
+
+def read_results(spark, path: str) -> DataFrame:
+    from ..sources import read_csv_table
+    kinds = ", ".join(f"{n} {'string' if n in ('Group', 'Name') else 'double'}" for n in RESULT_COLUMNS.values())
+    back = read_csv_table(spark, path, kinds)
+    return back.select(*[F.col(f"`{n}`").alias(c) for c, n in RESULT_COLUMNS.items()])
