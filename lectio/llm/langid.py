@@ -7,7 +7,10 @@ it), so the "hash" of a gram is exact for the basic plane.  Spark counts the gra
 training documents by language; from these counts come, per language, the absolute
 discounts, the continuation counts of the lower orders and the back-off masses.  Each
 order is a sorted array of hashes with one column of log probabilities and one of back-off
-weights a language, looked up by binary search.
+weights a language, looked up by binary search.  Every gram seen is kept.  A model too large
+to send whole is cut into shards by the two middle characters of a gram, which its
+continuation counts, contexts and lower orders share; each shard is exact for its
+grams, and tasks hold one shard at a time and add up what the shards give a text.
 
 A document goes to the language with the lowest cross-entropy per character.  Rejection
 is calibrated: the documents of the calibration fold give, per language, the median of
@@ -24,6 +27,8 @@ languages go to the first in code-point order; with no training rows every docum
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -32,7 +37,8 @@ from pyspark.sql import functions as F
 from .common import CHUNK_BYTES, small_batches, spans, written
 
 ORDER = 4
-MAX_GRAMS = 1_000_000       # rows of a model: the most frequent grams of all languages together
+MAX_GRAMS = 1_000_000       # grams of four languages in one shard of a model; more languages, fewer grams
+HELD_BYTES = 4_000_000      # text that a task scores by one shard after the other
 FLUSH_GRAMS = 1_000_000     # distinct grams a task holds before it emits its counts
 SPACE = 32
 STEADY = 100                # characters from which on cross-entropy is taken to vary no less
@@ -146,30 +152,36 @@ class KneserNey:
         self.langs, self.hashes, self.logp, self.back = langs, hashes, logp, back
 
     @classmethod
-    def fit(cls, langs: list[str], grams: list[np.ndarray], counts: list[np.ndarray], order: int = ORDER) -> "KneserNey":
-        """grams, counts: by language, the distinct top-order grams and their counts."""
+    def fit(cls, langs: list[str], grams: list[np.ndarray], counts: list[np.ndarray], order: int = ORDER,
+            lower: list | None = None, seen: list | None = None) -> "KneserNey":
+        """grams, counts: by language, the distinct top-order grams and their counts.  For a
+        shard, ``lower`` has by language the grams and continuation counts of the orders 1
+        and 2, and ``seen`` how many grams of each order the whole model has once and twice."""
         size = len(langs)
-        hashes = [np.unique(np.concatenate([g >> np.uint64(0) if k == order else _last(g, k) for g in grams])) if size else
-                  np.zeros(0, np.uint64) for k in range(1, order + 1)]
-        prob = [np.zeros((len(h), size)) for h in hashes]
-        back = [np.ones((len(h), size)) for h in hashes]
+        every = []
         for col in range(size):
-            gram, count = grams[col], counts[col].astype(float)
-            levels = [(gram, count)]                      # the top order has counts, the lower ones continuation counts
+            levels = [(grams[col], counts[col].astype(float))]   # the top order has counts, the lower ones continuation counts
             for k in range(order - 1, 0, -1):
-                low, n = np.unique(_last(levels[0][0], k), return_counts=True)
+                low, n = lower[col][k - 1] if lower and k <= 2 else np.unique(_last(levels[0][0], k), return_counts=True)
                 levels.insert(0, (low, n.astype(float)))
+            every.append(levels)
+        # the grams of each order, and the contexts of the next one
+        hashes = [np.unique(np.concatenate([x[k - 1][0] for x in every] + [x[k][0] >> np.uint64(16) for x in every if k < order])) if size else
+                  np.zeros(0, np.uint64) for k in range(1, order + 1)]
+        letters_seen = len(np.unique(np.concatenate([x[0][0] for x in every]))) if size else 0
+        prob = [np.zeros((len(h), size)) for h in hashes]
+        back = [np.ones((len(h), size)) for h in hashes]
+        for col, levels in enumerate(every):
             for k in range(1, order + 1):
                 gram, c = levels[k - 1]
-                ones, twos = (c == 1).sum(), (c == 2).sum()
+                ones, twos = seen[col][k - 1] if seen else ((c == 1).sum(), (c == 2).sum())
                 cut = ones / (ones + 2 * twos) if ones and twos else 0.5
                 if k == 1:                                # interpolated with the uniform distribution
-                    total, alphabet = c.sum(), len(hashes[0]) + 1
+                    total, alphabet = c.sum(), letters_seen + 1
                     rest = cut * len(c) / total if total else 1.0
                     p = np.full(len(hashes[0]), rest / alphabet)
                     p[np.searchsorted(hashes[0], gram)] += np.maximum(c - cut, 0) / max(total, 1)
                     prob[0][:, col] = p
-                    self_unseen = rest / alphabet
                     continue
                 context, where, kinds = np.unique(gram >> np.uint64(16), return_inverse=True, return_counts=True)
                 total = np.bincount(where, c)
@@ -179,17 +191,17 @@ class KneserNey:
                 found = hashes[k - 2][at] == context
                 back[k - 2][at[found], col] = gamma[found]
                 own = hashes[k - 1]
-                tail = np.searchsorted(hashes[k - 2], _last(own, k - 1))
+                # in a shard, contexts of other shards' grams may lack a tail: they are never scored here
+                tail = np.minimum(np.searchsorted(hashes[k - 2], _last(own, k - 1)), len(hashes[k - 2]) - 1)
                 head = np.minimum(np.searchsorted(hashes[k - 2], own >> np.uint64(16)), len(hashes[k - 2]) - 1)
                 known = hashes[k - 2][head] == own >> np.uint64(16)
                 p = np.where(known, back[k - 2][head, col], 1.0) * prob[k - 2][tail, col]
                 p[np.searchsorted(own, gram)] += np.maximum(c - cut, 0) / total[where]
                 prob[k - 1][:, col] = p
-            del self_unseen
         with np.errstate(divide="ignore"):
             model = cls(langs, hashes, [np.log2(np.maximum(p, 1e-12)).astype(np.float32) for p in prob],
                         [np.log2(np.maximum(x, 1e-12)).astype(np.float32) for x in back])
-        model.floor = np.float32(-np.log2(max(2, len(hashes[0]) + 1)) * 1.5)
+        model.floor = np.float32(-np.log2(max(2, letters_seen + 1)) * 1.5)
         return model
 
     def scores(self, grams: np.ndarray) -> np.ndarray:
@@ -244,45 +256,109 @@ def _last(grams: np.ndarray, k: int) -> np.ndarray:
     return grams & np.uint64((1 << 16 * k) - 1) if k < 4 else grams
 
 
-def fit(docs: DataFrame, *, lang_col: str = "lang", text_col: str = "text", max_grams: int = MAX_GRAMS) -> KneserNey:
-    """Model from all rows with a lang.  Its size is bounded: if there are more than
-    ``max_grams`` (language, gram) pairs, pairs seen at most ``c`` times are left to the
-    lower orders, for the smallest ``c`` that fits."""
+def _middle(grams: np.ndarray) -> np.ndarray:
+    """The third and second character of each top-order gram, by which shards are cut."""
+    return (grams >> np.uint64(16) & np.uint64(0xFFFF)) << np.uint64(16) | grams >> np.uint64(32) & np.uint64(0xFFFF)
+
+
+@dataclass
+class Model:
+    """Shards (first middle, end, broadcast ``KneserNey``); one shard is the whole model."""
+    langs: list[str]
+    shards: list[tuple]
+
+    def cross_entropy(self, texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
+        if len(self.shards) == 1:
+            return self.shards[0][2].value.cross_entropy(texts)
+        bits, length = np.zeros((len(texts), len(self.langs))), np.zeros(len(texts), np.int64)
+        parts = []
+        for s, e in spans([len(t or b"") for t in texts], CHUNK_BYTES // 2):
+            chars, n = letters(texts[s:e])
+            same, owner = _inside(n, ORDER)
+            parts.append((packed(chars, ORDER)[same], s + owner[same]))
+            length += np.bincount(parts[-1][1], minlength=len(texts))
+        for first, end, sent in self.shards:
+            part = sent.load_from_path(sent._path) if sent._path else sent.value      # not kept, as .value is
+            for grams, owner in parts:
+                mine = (_middle(grams) >= first) & (_middle(grams) < end)
+                own = owner[mine]
+                if len(own):
+                    at = np.flatnonzero(np.concatenate(([True], own[1:] != own[:-1])))
+                    bits[own[at]] -= np.add.reduceat(part.scores(grams[mine]).astype(np.float64), at, axis=0)
+        return bits / np.maximum(length, 1)[:, None], length
+
+
+def _by_language(pdf, size: int, names: tuple[str, str]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each language its sorted grams and their counts."""
+    col, gram, n = pdf["col"].to_numpy(), pdf[names[0]].to_numpy(np.int64).view(np.uint64), pdf[names[1]].to_numpy(np.int64)
+    order = np.lexsort((gram, col))
+    ends = np.searchsorted(col[order], np.arange(size + 1))
+    return [(gram[order[s:e]], n[order[s:e]]) for s, e in zip(ends[:-1], ends[1:])]
+
+
+def fit(docs: DataFrame, *, lang_col: str = "lang", text_col: str = "text", max_grams: int = MAX_GRAMS) -> Model:
+    """Model from all grams of all rows with a lang.  Shards of at most ``max_grams`` grams by
+    four languages (a pair of middle characters is never split)."""
+    spark = docs.sparkSession
     counts = written(gram_counts(docs, lang_col, text_col), "langid-grams")
-    kinds = counts.groupBy("n").agg(F.count(F.lit(1)).alias("k"))
-    cut, total = 0, counts.count()
-    if total > max_grams:
-        # how many pairs are seen c times, for small c: one row per count
-        small = {r["n"]: r["k"] for r in kinds.where(F.col("n") <= 10_000).collect()}
-        while total > max_grams:
-            cut += 1
-            total -= small.get(cut, 0)
-            if cut > 10_000:
-                raise ValueError("more than max_grams pairs are seen over 10,000 times; raise max_grams")
-    pdf = counts.where(F.col("n") > cut).toPandas().sort_values(["lang", "gram"])
-    langs = sorted(pdf["lang"].unique(), key=lambda x: x.encode())
-    grams, ns = [], []
-    for lang in langs:
-        part = pdf[pdf["lang"] == lang]
-        g, n = part["gram"].to_numpy(np.int64).view(np.uint64), part["n"].to_numpy()
-        at = np.argsort(g)
-        grams.append(g[at])
-        ns.append(n[at])
-    return KneserNey([], [], [], []) if not langs else KneserNey.fit(langs, grams, ns)
-
-
-def predict(docs: DataFrame, model: KneserNey, limits: dict[str, tuple[float, float]] | None = None, *, text_col: str = "text",
+    sizes = {r["lang"]: r["k"] for r in counts.groupBy("lang").agg(F.count(F.lit(1)).alias("k")).collect()}
+    langs = sorted(sizes, key=lambda x: x.encode())
+    size, room = len(langs), 4 * max_grams // max(1, len(langs))
+    if not langs:
+        return Model([], [])
+    cols = spark.createDataFrame([(x, i) for i, x in enumerate(langs)], "lang string, col int")
+    counts = counts.join(F.broadcast(cols), "lang").drop("lang")      # one row a language
+    if sum(sizes.values()) <= room:
+        rows = _by_language(counts.toPandas(), size, ("gram", "n"))
+        return Model(langs, [(0, 1 << 32, spark.sparkContext.broadcast(KneserNey.fit(langs, [g for g, _ in rows], [n for _, n in rows])))])
+    char = lambda place: F.shiftrightunsigned("gram", 16 * place).bitwiseAND(F.lit(0xFFFF))
+    counts = written(counts.withColumn("middle", F.shiftleft(char(1), 16).bitwiseOR(char(2)))
+                     .repartitionByRange("middle").sortWithinPartitions("middle"), "langid-shards")
+    levels = [counts]
+    for k in (3, 2, 1):
+        low = levels[0].groupBy("col", F.col("gram").bitwiseAND(F.lit((1 << 16 * k) - 1)).alias("gram")).agg(F.count(F.lit(1)).alias("n"))
+        levels.insert(0, written(low, f"langid-order-{k}"))
+    seen = [[(0, 0)] * ORDER for _ in langs]
+    for k, level in enumerate(levels):
+        for r in level.groupBy("col").agg(F.count_if(F.col("n") == 1).alias("ones"), F.count_if(F.col("n") == 2).alias("twos")).collect():
+            seen[r["col"]][k] = r["ones"], r["twos"]
+    kinds = counts.groupBy("middle").agg(F.count(F.lit(1)).alias("k")).toPandas().sort_values("middle")     # one row a pair of characters
+    cuts = [int(kinds["middle"].iloc[s]) for s, _ in spans(kinds["k"].tolist(), room)] + [1 << 32]
+    ones = _by_language(levels[0].toPandas(), size, ("gram", "n"))
+    shards = []
+    for first, end in zip([0, *cuts[1:-1]], cuts[1:]):
+        twos = levels[1].where(char(1).between(first >> 16, (end - 1) >> 16)).toPandas()
+        rows = _by_language(counts.where((F.col("middle") >= first) & (F.col("middle") < end)).toPandas(), size, ("gram", "n"))
+        part = KneserNey.fit(langs, [g for g, _ in rows], [n for _, n in rows], lower=list(zip(ones, _by_language(twos, size, ("gram", "n")))), seen=seen)
+        shards.append((first, end, spark.sparkContext.broadcast(part)))
+    return Model(langs, shards)
+
+
+def _together(batches, limit: int):
+    """Batches joined until their texts have ``limit`` bytes."""
+    held, size = [], 0
+    for b in batches:
+        held.append(b)
+        size += b.column("_text").nbytes
+        if size >= limit:
+            yield held
+            held, size = [], 0
+    if held:
+        yield held
+
+
+def predict(docs: DataFrame, model: Model, limits: dict[str, tuple[float, float]] | None = None, *, text_col: str = "text",
             keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """The columns ``keep`` and ``lang_pred, score, bits, chars, rejected``.  score is the
     posterior of the chosen language under equal priors, with the characters' evidence
     counted up to 200 characters."""
     spark = docs.sparkSession
     small_batches(spark)
-    sent, limits = spark.sparkContext.broadcast(model), dict(limits or {})
+    m, limits = model, dict(limits or {})
 
     def run(batches):
-        m = sent.value
-        for b in batches:
+        for b in _together(batches, HELD_BYTES if len(m.shards) > 1 else 0):
+            b = pa.Table.from_batches(b).combine_chunks()
             texts = b.column("_text").to_pylist()
             k = len(texts)
             lang, score, bits, rejected = ["und"] * k, np.zeros(k), [None] * k, np.ones(k, bool)
@@ -299,7 +375,7 @@ def predict(docs: DataFrame, model: KneserNey, limits: dict[str, tuple[float, fl
                     middle, most = limits.get(name, (0.0, np.inf))
                     rejected[i] = (low[i] - middle) * np.sqrt(min(length[i], STEADY) / STEADY) > most
             yield pa.RecordBatch.from_arrays(
-                [*[b.column(c) for c in keep], pa.array(lang), pa.array(score), pa.array(bits, pa.float64()), pa.array(length), pa.array(rejected)],
+                [*[b.column(c).combine_chunks() for c in keep], pa.array(lang), pa.array(score), pa.array(bits, pa.float64()), pa.array(length), pa.array(rejected)],
                 [*keep, "lang_pred", "score", "bits", "chars", "rejected"])
     src = docs.select(*keep, F.col(text_col).cast("binary").alias("_text"))
     schema = docs.select(*keep).schema
@@ -308,7 +384,7 @@ def predict(docs: DataFrame, model: KneserNey, limits: dict[str, tuple[float, fl
     return src.mapInArrow(run, schema)
 
 
-def calibrate(docs: DataFrame, model: KneserNey, *, text_col: str = "text", keep: float = 0.999, slack: float = 1.0) -> dict[str, tuple[float, float]]:
+def calibrate(docs: DataFrame, model: Model, *, text_col: str = "text", keep: float = 0.999, slack: float = 1.0) -> dict[str, tuple[float, float]]:
     """Per language the median bits per character and the excess over it (for ``STEADY``
     characters) beyond which a document is rejected, over all documents given."""
     found = written(predict(docs, model, text_col=text_col, keep=()).where("chars > 0").select("lang_pred", "bits", "chars"), "langid-calibration")

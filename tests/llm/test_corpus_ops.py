@@ -136,6 +136,16 @@ def test_language_rejects_foreign_text(spark):
     assert out["rejected"].all()
 
 
+def test_language_model_keeps_all_grams(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", "lang").where("lang is not null")
+    docs = docs.unionByName(spark.createDataFrame([(10**9, "Ωmega ψalter ξeno φloem and the rare one", "rare")], docs.schema))
+    whole, shards = langid.fit(docs), langid.fit(docs, max_grams=2_000)
+    assert len(whole.shards) == 1 and len(shards.shards) > 3 and "rare" in shards.langs
+    a, b = (langid.predict(docs, m).toPandas().sort_values("doc_id") for m in (whole, shards))
+    assert a["lang_pred"].tolist() == b["lang_pred"].tolist() and np.allclose(a["bits"], b["bits"], atol=1e-5)
+    assert b[b["doc_id"] == 10**9]["lang_pred"].tolist() == ["rare"]
+
+
 # ---- decontamination
 
 def edited(words, rng, share):
