@@ -7,9 +7,9 @@ tags that only one side has become optional, and texts that differ become slots.
 of a host from different tasks are aligned the same way, so a host of any size is
 folded where its pages lie and only wrappers are shuffled.
 
-From a host's wrapper follows where its article stands: the ``article`` or ``main`` group
-with the most slot text, or else the group that holds most of it; and which texts inside it are
-the same on every page.  Extraction reads that group from each page and leaves out
+From a host's wrapper follows where its article stands: the smallest group around all
+widest ``article``, ``main`` or so named groups and main headings, or else around all text; and
+which texts inside it are the same on every page.  Extraction reads that group from each page and leaves out
 template texts and groups that are menus, headers, footers, sidebars, notices, adverts,
 forms or comments by tag, class, id or role.
 
@@ -174,30 +174,41 @@ def _weight(w: dict) -> int:
     return own + sum(_weight(x) for x in w["c"] if not is_aside(x["s"]))
 
 
+def _length(w: dict) -> int:
+    """Characters in a group, leaving out what stands aside."""
+    return w["k"] + sum(_length(x) for x in w["c"] if not is_aside(x["s"]))
+
+
 def _main_path(w: dict) -> list[str]:
-    """Signatures from the root to the group that holds the article."""
-    named: list[tuple[int, list[str]]] = []
+    """Signatures from the root to the group that holds the article: the smallest one with all
+    widest named groups and main headings, or without named groups with all text."""
+    groups: list[list[dict]] = []
+    headings: list[list[dict]] = []
 
-    def visit(x: dict, path: list[str]):
+    def visit(x: dict, path: list[dict]):
         for c in x["c"]:
-            if not is_aside(c["s"]):
-                here = [*path, c["s"]]
+            if not is_aside(c["s"]) and _length(c):
+                here = [*path, c]
                 tag, _, names = c["s"].partition(".")
-                rank = 3 if BODY_NAME.search(names.replace(".", " ")) and tag != "main" else 2 if tag == "article" else 1 if tag == "main" or "main" in names.split(".") else 0
-                if rank:
-                    named.append((rank, _weight(c), here))
-                visit(c, here)
+                if tag in ("article", "main") or "main" in names.split(".") or BODY_NAME.search(names.replace(".", " ")):
+                    groups.append(here)
+                elif tag == "h1":
+                    headings.append(path)
+                else:
+                    visit(c, here)
     visit(w, [])
-    full = max([n for _, n, _ in named], default=0)
-    if named:
-        # the narrowest kind of group that still holds half of what the fullest one holds
-        return max((x for x in named if 2 * x[1] >= full), key=lambda x: (x[0], x[1]))[2]
-    path, at, total = [], w, _weight(w)
+    if groups:
+        both = groups + headings
+        same = 0
+        while all(len(x) > same and x[same] is both[0][same] for x in both):
+            same += 1
+        return [x["s"] for x in both[0][:same]]
+    path, at = [], w
     while True:
-        heavy = [c for c in at["c"] if not is_aside(c["s"]) and not c["r"] and 10 * _weight(c) >= 8 * total]
-        if not heavy or not total:
+        full = [c for c in at["c"] if not is_aside(c["s"]) and _length(c)]
+        if len(full) != 1 or full[0]["r"] or at["k"]:
             return path
-        at = heavy[0]
+        at = full[0]
         path.append(at["s"])
 
 

@@ -103,6 +103,18 @@ def test_pages_against_plain_reading(spark):
         assert out[r["page_id"]] == "\n".join(filter(None, parts))
 
 
+def test_article_keeps_what_stands_beside_its_fullest_group():
+    def texts(page, n=4):
+        pages = [page.replace("#", f"{i} " + "word " * (i + 5)) for i in range(n)]
+        rule = html_text.rule_of(reduce(html_text._joined, [html_text.wrapper_of(html_text.parse(p)) for p in pages]))
+        return html_text.article(pages[1], rule).replace("1 " + " ".join(["word"] * 6), "#").split("\n")
+    assert texts("<body><nav>no</nav><article><h1>T #</h1><p>lead #</p><div class='post-content'><p>a #</p><p>b #</p></div></article><footer>no #</footer></body>") == ["T #", "lead #", "a #", "b #"]
+    assert texts("<body><main><article class='x'><p>a # # #</p></article><article class='y'><p>b # #</p></article></main></body>") == ["a # # #", "b # #"]
+    assert texts("<body><article class='x'><p>a #</p></article><p>between #</p><article class='y'><p>b #</p></article></body>") == ["a #", "between #", "b #"]
+    assert texts("<body><h1>T #</h1><div><p>a # # # # # # # # # # # # #</p></div><div class='ad'>no #</div></body>") == ["T #", "a # # # # # # # # # # # # #"]
+    assert texts("<body><div class='post'><h1>T #</h1><div class='entry-content'><p>a #</p></div></div><aside>no #</aside></body>") == ["T #", "a #"]
+
+
 # ---- chat formatting
 
 HARD = ["", "\\", "<|end|>", "\\l\\b<", "<|assistant|>\\", "a\n<|end|>\n\\b", "\\\\<<", "né😀", "|>", "<|user|>x|>"]
