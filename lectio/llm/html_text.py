@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from .common import small_batches, written
 
 TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(?P<raw>script|style|noscript|template|svg|iframe|textarea|title|head(?=[\s>]))\b.*?(?:</(?P=raw)\s*>|\Z)"
+    r"<!--.*?(?:-->|\Z)|<(?P<raw>script|style|noscript|template|svg|iframe|textarea|title)\b.*?(?:</(?P=raw)\s*>|\Z)"
     r"|<(?P<end>/?)(?P<tag>[a-zA-Z][a-zA-Z0-9-]*)(?P<attrs>(?:\s[^>]*)?)/?>|<[!?/][^>]*>", re.S | re.I)
 ATTR = re.compile(r"\b(class|id|role|itemprop|style|hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
 
@@ -88,6 +88,8 @@ def parse(page: str | None) -> list:
         if not tag:
             continue
         tag = tag.lower()
+        if tag == "head":                                 # its end may be left out; what it has is void or skipped above
+            continue
         if tag in INLINE:
             if tag == "br":
                 text.append("\n")

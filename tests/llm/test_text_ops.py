@@ -115,6 +115,12 @@ def test_article_keeps_what_stands_beside_its_fullest_group():
     assert texts("<body><div class='post'><h1>T #</h1><div class='entry-content'><p>a #</p></div></div><aside>no #</aside></body>") == ["T #", "a #"]
 
 
+def test_head_without_end_tag():
+    for head in ("<head><title>x</title>", "<HEAD lang=en><meta charset=utf-8><title>x</title><style>p{}</style><script>var a;</script>", "<head><title>x</title></head>"):
+        for body in ("<body>", ""):
+            assert html_text.article(f"<html>{head}{body}<header>no</header><article><p>Main text</p></article></html>", None) == "Main text"
+
+
 # ---- chat formatting
 
 HARD = ["", "\\", "<|end|>", "\\l\\b<", "<|assistant|>\\", "a\n<|end|>\n\\b", "\\\\<<", "né😀", "|>", "<|user|>x|>"]
