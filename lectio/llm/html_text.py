@@ -9,8 +9,8 @@ folded where its pages lie and only wrappers are shuffled.
 
 From a host's wrapper follows where its article stands: the smallest group around all
 widest ``article``, ``main`` or so named groups and main headings, or else around all text; and
-which texts inside it are the same on every page.  Extraction reads that group from each page and leaves out
-template texts and groups that are menus, headers, footers, sidebars, notices, adverts,
+which texts of its groups that stand aside are the same on every page.  Extraction reads that group
+from each page and leaves out groups that are menus, headers, footers, sidebars, notices, adverts,
 forms or comments by tag, class, id or role.
 
 Rules for odd rows: null html is empty and gives ''; a null or odd url belongs to host '';
@@ -215,7 +215,8 @@ def _main_path(w: dict) -> list[str]:
 
 
 def rule_of(w: dict) -> dict:
-    """Where the article stands and which of its texts are the template's."""
+    """Where the article stands and which of the texts aside in it are the template's; headings
+    and blocks of the article are kept however many pages repeat them."""
     path, at = _main_path(w), w
     for s in path:
         at = next(c for c in at["c"] if c["s"] == s)
@@ -223,7 +224,7 @@ def rule_of(w: dict) -> dict:
     if w["n"] >= 3 and _weight(at):
         def visit(x: dict):
             for c in x["c"]:
-                if c["t"] and c["n"] >= 3 and not c["r"] and 10 * c["n"] >= 8 * w["n"]:
+                if c["t"] and is_aside(c["s"]) and c["n"] >= 3 and not c["r"] and 10 * c["n"] >= 8 * w["n"]:
                     fixed.append(c["s"] + "\t" + c["t"])
                 visit(c)
         visit(at)

@@ -121,6 +121,12 @@ def test_head_without_end_tag():
             assert html_text.article(f"<html>{head}{body}<header>no</header><article><p>Main text</p></article></html>", None) == "Main text"
 
 
+def test_repeated_heading_and_lead_are_article_text(spark):
+    page = "<html><body><nav>Home</nav><article><h1>Same title</h1><p>Same lead.</p><p>Text {}</p><div class='share'>Share</div></article></body></html>"
+    pages = spark.createDataFrame([(i, f"http://a.example.com/{i}", page.format(f"x{i}")) for i in range(5)], "page_id long, url string, html string")
+    assert {r["page_id"]: r["text"] for r in html_text.extract(pages).collect()} == {i: f"Same title\nSame lead.\nText x{i}" for i in range(5)}
+
+
 # ---- chat formatting
 
 HARD = ["", "\\", "<|end|>", "\\l\\b<", "<|assistant|>\\", "a\n<|end|>\n\\b", "\\\\<<", "né😀", "|>", "<|user|>x|>"]
