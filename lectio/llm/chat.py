@@ -2,7 +2,9 @@
 
 Records are JSON objects of several layouts.  A record's fingerprint is the hash of the
 nested field paths it has, among all paths that some layout names; it selects a layout,
-and the layout says declaratively where turns, roles and texts lie.  All layouts give the
+and the layout says declaratively where turns, roles and texts lie.  Records made from a
+table's rows are structs: their schema has the fingerprint, and no text passes through
+JSON, whose parser takes texts up to 20,000,000 characters.  All layouts give the
 same canonical turns ``array<struct<role, text>>``, which a template turns into one string:
 
     <|role|>text<|end|>
@@ -14,6 +16,7 @@ loss mask has, for each turn, the characters to skip from the turn's start and t
 
 Rules for odd rows: a null text or role is empty; a null or unparsable record and a record of
 no known layout have layout null and no turns; records with no turn are formatted as ''.
+A JSON record longer than that limit that does not parse is an error, as it may be valid.
 """
 
 from __future__ import annotations
@@ -22,8 +25,10 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DataType, StructType
 
 END = "<|end|>"
+JSON_TEXT = 20_000_000                                    # characters of one text that the JSON parser takes
 TURNS = "array<struct<role:string,text:string>>"
 
 
@@ -70,11 +75,20 @@ def fingerprint(record: Column, layouts=tuple(LAYOUTS)) -> Column:
     return F.xxhash64(F.array_join(F.array_compact(F.array(*has)), "\n"))
 
 
-def _turns(record: Column, x: Layout) -> Column:
+def _schema_paths(kind: DataType, at: str = "") -> list[str]:
+    """The nested field paths of a struct, written as the layouts write them."""
+    if isinstance(kind, ArrayType):
+        return _schema_paths(kind.elementType, at + "[]")
+    if isinstance(kind, StructType):
+        return [p for f in kind.fields for p in _schema_paths(f.dataType, f"{at}.{f.name}" if at else f.name)]
+    return [at]
+
+
+def _turns(record: Column, x: Layout, get=F.try_variant_get) -> Column:
     blank = F.lit("")
     if x.each:
         kind = "array<struct<" + ",".join([f"`{x.order}`:bigint"] * bool(x.order) + [f"`{x.role}`:string", f"`{x.text}`:string"]) + ">>"
-        items = F.try_variant_get(record, f"$.{x.each}", kind)
+        items = get(record, f"$.{x.each}", kind)
 
         def turn(i):
             role = F.coalesce(i[x.role], blank)
@@ -85,14 +99,31 @@ def _turns(record: Column, x: Layout) -> Column:
             items = F.sort_array(F.transform(items, lambda i: F.struct(i[x.order], F.coalesce(i[x.role], blank).alias(x.role),
                                                                         F.coalesce(i[x.text], blank).alias(x.text))))
         return F.transform(items, turn).cast(TURNS)
-    get = lambda p: F.try_variant_get(record, f"$.{p}", "string")
-    return F.array(*[F.struct(F.lit(role).alias("role"), F.concat_ws("\n\n", *[get(p) for p in ps]).alias("text"))
+    return F.array(*[F.struct(F.lit(role).alias("role"), F.concat_ws("\n\n", *[get(record, f"$.{p}", "string") for p in ps]).alias("text"))
                      for role, ps in x.fields]).cast(TURNS)
 
 
 def canonical(records: DataFrame, record_col: str = "record", layouts=tuple(LAYOUTS)) -> DataFrame:
-    """Adds ``layout`` (its name, null if none) and ``turns``."""
-    v = F.try_parse_json(record_col)
+    """Adds ``layout`` (its name, null if none) and ``turns``.  Records are JSON or structs."""
+    kind = records.schema[record_col].dataType
+    if isinstance(kind, StructType):
+        known = {p for x in layouts for p in x.paths()}
+        own = sorted(known.intersection(_schema_paths(kind)))
+        fit = next((x for x in layouts if sorted(x.paths()) == own), None)
+        there, record = F.col(record_col).isNotNull(), F.col(record_col)
+
+        def field_of(c: Column, path: str, as_type: str) -> Column:
+            for name in path[2:].split("."):
+                c = c.getField(name)
+            if as_type == "string":
+                return c.cast(as_type)
+            named = [(fit.order, "bigint")] * bool(fit.order) + [(fit.role, "string"), (fit.text, "string")]
+            return F.transform(c, lambda i: F.struct(*[i[n].cast(t).alias(n) for n, t in named]))
+        return (records.withColumn("layout", F.when(there, F.lit(fit.name if fit else None)).cast("string"))
+                .withColumn("turns", F.when(there, _turns(record, fit, field_of) if fit else F.lit(None)).cast(TURNS)))
+    parsed = F.try_parse_json(record_col)
+    v = F.when(parsed.isNull() & (F.length(record_col) > JSON_TEXT), F.raise_error(
+        F.lit(f"a record of over {JSON_TEXT} characters does not parse; it is broken or beyond the limits of the JSON parser")).cast("variant")).otherwise(parsed)
     df = records.withColumn("_v", v).withColumn("_fp", fingerprint(F.col("_v"), layouts))
     name, turns = F.lit(None).cast("string"), F.lit(None).cast(TURNS)
     for x in reversed(layouts):
@@ -137,7 +168,6 @@ def read_back(df: DataFrame) -> DataFrame:
 
 
 def turn_records(rows: DataFrame, id_col: str = "conv_id") -> DataFrame:
-    """Rows by turn (``turn, role, text``) as one record for each conversation."""
+    """Rows by turn (``turn, role, text``) as one record, a struct, for each conversation."""
     item = F.struct(F.col("turn").cast("long").alias("turn"), F.col("role").cast("string").alias("role"), F.col("text").cast("string").alias("text"))
-    return rows.groupBy(F.col(id_col).alias(id_col)).agg(
-        F.to_json(F.struct(F.collect_list(item).alias("turns")), {"ignoreNullFields": "false"}).alias("record"))
+    return rows.groupBy(F.col(id_col).alias(id_col)).agg(F.struct(F.collect_list(item).alias("turns")).alias("record"))

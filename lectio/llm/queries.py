@@ -61,7 +61,8 @@ def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     hard = "\\### Assistant: </turn> ok"
     extra = spark.range(1).select(F.lit(-7).cast("long").alias("conv_id"),
                                   F.to_json(F.struct(F.lit(hard).alias("prompt"), F.lit(hard).alias("response"))).alias("record"))
-    read = chat.read_back(chat.format_turns(chat.canonical(records.unionByName(extra))))
+    both = chat.canonical(records).drop("record").unionByName(chat.canonical(extra).drop("record"))
+    read = chat.read_back(chat.format_turns(both))
     said = F.array_join(F.transform("read", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     return read.select(
         "conv_id", F.size("read").cast("long").alias("n_turns"), F.sha2(said.cast("binary"), 256).alias("turns_sha256"),

@@ -172,6 +172,25 @@ def test_chat_odd_rows(spark):
     assert chat.turn_records(df.limit(0)).count() == 0
 
 
+def test_chat_keeps_texts_over_the_json_limit(spark):
+    df = spark.sql("select 1L conv_id, 0L turn, 'user' role, 'q' text union all select 1L, 1L, 'assistant', repeat('ab', 10000001)")
+    r = chat.canonical(chat.turn_records(df)).selectExpr("layout", "size(turns) n", "length(turns[1].text) chars").first()
+    assert (r["layout"], r["n"], r["chars"]) == ("turn rows", 2, 20_000_002)
+    long = spark.sql("select '{\"prompt\": \"q\", \"response\": \"' || repeat('ab', 10000001) || '\"}' record")
+    with pytest.raises(Exception, match="does not parse"):
+        chat.canonical(long).select("layout").collect()
+
+
+def test_chat_structs_of_other_layouts(spark):
+    same = [("user", "q"), ("assistant", "a")]
+    for sql in ("named_struct('messages', array(named_struct('role', 'human', 'content', 'q'), named_struct('role', 'assistant', 'content', 'a')), 'id', 5)",
+                "named_struct('data', named_struct('question', 'q', 'answer', 'a'))", "named_struct('prompt', 'q', 'response', 'a')"):
+        r = chat.canonical(spark.sql(f"select {sql} record")).first()
+        assert [(t["role"], t["text"]) for t in r["turns"]] == same and r["layout"]
+    r = chat.canonical(spark.sql("select named_struct('other', 1) record")).first()
+    assert r["layout"] is None and r["turns"] is None
+
+
 def test_chat_query(spark):
     out = {r["conv_id"]: r for r in queries.op9_chat_format(spark, SF).collect()}
     text = "\\### Assistant: </turn> ok"
