@@ -1,15 +1,18 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
+"""Benchmark decontamination: rare word pairs as seeds, then Smith-Waterman alignment.
 
 Words are runs without ASCII punctuation or space, A-Z lower-cased.  The benchmark is taken in
 blocks of bounded size; for each block:
 
-1. one pass over the corpus counts in how many documents each of the block's word n-grams
-   occurs (map-side sums, then one grouped sum);
-2. every stretch of ``stretch`` consecutive n-grams of an item gives its rarest one as a
-   seed, so an item keeps seeds however frequent it is and wherever it was edited;
-3. a second pass finds seeds in the documents.  Seeds of one item on neighbouring diagonals
-   give a window of the document; windows whose words cannot reach the score are
-   dropped by an exact bound, the others are aligned (Smith-Waterman on words:
+1. one pass over the corpus counts in how many documents each of the block's pairs of
+   words at distance 1 or 2 occurs (map-side sums, then one grouped sum);
+2. an item's seeds are the pairs that start at its rarest words' places.  A copy that reaches the
+   score has, for an item of m words, at least ceil(min_score m) - 1 places where at most one
+   edit separates two matching words (each other place costs two edits, and a match pays
+   two), so all but that many of the frequent places can be left out: with ``SPARE`` more kept,
+   every such copy has ``SPARE`` seeds or more, wherever and however it was edited;
+3. a second pass finds seeds in the documents.  Seeds of one item whose diagonals differ by no more
+   than the gaps that the score allows give a window of the document; windows whose words
+   cannot reach the score are dropped by an exact bound, the others are aligned (Smith-Waterman on words:
    match 2, mismatch -1, gap -1).  A hit has at least ``min_score`` of an item's full score.
 
 Work is done where the documents lie, so copies of one passage in many documents
@@ -21,6 +24,7 @@ Rules for odd rows: null or empty text has no hit; items that are null or have f
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 import numpy as np
@@ -33,6 +37,7 @@ from .common import small_batches, spans, written
 MATCH, MISMATCH, GAP = 2, -1, -1
 BLOCK_BYTES = 8 << 20       # benchmark text handled (and sent to tasks) at once
 ALIGN_CELLS = 2_000_000     # matrix cells (one row of all pairs) aligned at once
+SPARE = 3                   # seeds that a copy has at least (fewer if the score asks for fewer)
 _PUNCTUATION = bytes(c for c in range(128) if not (chr(c).isalnum()))
 _TO_SPACE = bytes.maketrans(_PUNCTUATION, b" " * len(_PUNCTUATION))
 
@@ -43,63 +48,66 @@ def words(text: bytes | None) -> list[bytes]:
 
 @dataclass
 class Items:
-    """A block of the benchmark: word numbers (0 is any other word) and its n-grams."""
+    """A block of the benchmark: word numbers (0 is any other word) and its pairs of words."""
     ids: list
     vocabulary: dict[bytes, int]
     seqs: list[np.ndarray]
-    n: int
-    grams: np.ndarray                   # sorted distinct
-    where: list[np.ndarray]             # per item, the place of each of its grams in ``grams``
+    grams: np.ndarray                   # sorted distinct pairs
+    where: list[tuple]                  # per item, the places in it and in ``grams`` of its pairs
 
     @classmethod
-    def of(cls, rows: list[tuple[object, bytes]], n: int, min_words: int) -> "Items":
+    def of(cls, rows: list[tuple[object, bytes]], min_words: int) -> "Items":
         vocabulary: dict[bytes, int] = {}
         ids, seqs = [], []
         for key, text in rows:
             w = words(text)
-            if len(w) >= max(min_words, n):
+            if len(w) >= max(min_words, 2):
                 ids.append(key)
                 seqs.append(np.array([vocabulary.setdefault(x, len(vocabulary) + 1) for x in w], np.int64))
-        own = [gram_hash(s, n) for s in seqs]
-        grams = np.unique(np.concatenate(own)) if own else np.zeros(0, np.uint64)
-        return cls(ids, vocabulary, seqs, n, grams, [np.searchsorted(grams, g) for g in own])
+        own = [pairs(s) for s in seqs]
+        grams = np.unique(np.concatenate([h for _, h in own])) if own else np.zeros(0, np.uint64)
+        return cls(ids, vocabulary, seqs, grams, [(at, np.searchsorted(grams, h)) for at, h in own])
 
     def numbers(self, ws: list[bytes]) -> np.ndarray:
         get = self.vocabulary.get
         return np.array([get(w, 0) for w in ws], np.int64)
 
     def find(self, seq: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Places in a document and the block's grams that start there."""
-        if len(seq) < self.n or not len(self.grams):
+        """Places in a document and the block's pairs that start there."""
+        if not len(self.grams):
             return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        full = np.ones(len(seq) - self.n + 1, bool)
-        for i in range(self.n):
-            full &= seq[i:len(full) + i] != 0
-        at = np.flatnonzero(full)
-        h = gram_hash(seq, self.n)[at]
+        at, h = pairs(seq)
         g = np.minimum(np.searchsorted(self.grams, h), len(self.grams) - 1)
         hit = self.grams[g] == h
         return at[hit], g[hit]
 
 
-def gram_hash(seq: np.ndarray, n: int) -> np.ndarray:
-    """Numbers of up to 21 bits packed for n = 3; else mixed.  Collisions only cost work."""
-    out = np.zeros(len(seq) - n + 1, np.uint64)
-    for i in range(n):
-        out = out * np.uint64(0x1FFFFF) + seq[i:len(out) + i].astype(np.uint64)
-    return out
-
-
-def _seeds(items: Items, df: np.ndarray, stretch: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Seed table sorted by gram: gram, item, place in the item."""
-    out = []
-    for i, own in enumerate(items.where):
-        rank = df[own].astype(np.int64) * len(items.grams) + own       # rarest first, ties by hash order
-        pick = set()
-        for s in range(max(1, len(own) - stretch + 1)):
-            pick.add(s + int(rank[s:s + stretch].argmin()))
-        out += [(own[p], i, p) for p in sorted(pick)]
-    t = np.array(sorted(out), np.int64).reshape(-1, 3)
+def pairs(seq: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places and numbers of the pairs of known words at distance 1 and 2."""
+    at, h = [], []
+    for d in (1, 2):
+        p = np.flatnonzero((seq[:-d] != 0) & (seq[d:] != 0))
+        at.append(p)
+        h.append(seq[p].astype(np.uint64) << np.uint64(32) | seq[p + d].astype(np.uint64))
+    return np.concatenate(at), np.concatenate(h)
+
+
+def _least(m: int, min_score: float) -> int:
+    """Seeds that a copy of an item of m words has at least."""
+    return max(1, min(SPARE, math.ceil(min_score * m) - 1))
+
+
+def _seeds(items: Items, df: np.ndarray, min_score: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Seed table sorted by pair: pair, item, place in the item."""
+    out = [np.zeros((0, 3), np.int64)]
+    for i, (at, own) in enumerate(items.where):
+        m = len(items.seqs[i])
+        often = np.bincount(at, df[own], m - 1)
+        take = min(m - 1, m - 1 - (math.ceil(min_score * m) - 1) + _least(m, min_score))
+        pick = np.isin(at, np.argsort(often, kind="stable")[:take])
+        out.append(np.column_stack((own[pick], np.full(pick.sum(), i), at[pick])))
+    t = np.concatenate(out)
+    t = t[np.lexsort((t[:, 2], t[:, 1], t[:, 0]))]
     return t[:, 0], t[:, 1], t[:, 2]
 
 
@@ -127,7 +135,7 @@ def smith_waterman(items: list[np.ndarray], windows: list[np.ndarray]) -> tuple[
     return best, end
 
 
-def _windows(items: Items, seeds, seq: np.ndarray, need: list[float]):
+def _windows(items: Items, seeds, seq: np.ndarray, need: list[float], least: np.ndarray):
     """(item, window start, window end) that can still reach the score."""
     at, gram = items.find(seq)
     if not len(at):
@@ -140,10 +148,20 @@ def _windows(items: Items, seeds, seq: np.ndarray, need: list[float]):
     which = np.repeat(lo, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
     place, item, offset = np.repeat(at, n), si[which], sp[which]
     order = np.lexsort((place - offset, item))
-    place, item, offset = place[order], item[order], offset[order]
-    diagonal = place - offset
-    length = np.array([len(s) for s in items.seqs], np.int64)[item]
-    reach = length // 4 + 2                                   # words an edited copy may have gained or lost
+    item, diagonal = item[order], (place - offset)[order]
+    reach = np.array([MATCH * len(x) - y for x, y in zip(items.seqs, need)])[item].astype(np.int64)      # gaps that the score allows
+    # seeds that stand with enough others of their item
+    k = least[item]
+    last = np.arange(len(item)) + k - 1
+    ends = np.minimum(last, len(item) - 1)
+    group = (last < len(item)) & (item[ends] == item) & (diagonal[ends] - diagonal <= reach)
+    cover = np.zeros(len(item) + 1, np.int64)
+    np.add.at(cover, np.flatnonzero(group), 1)
+    np.add.at(cover, last[group] + 1, -1)
+    keep = np.cumsum(cover[:-1]) > 0
+    item, diagonal, reach = item[keep], diagonal[keep], reach[keep]
+    if not len(item):
+        return []
     apart = np.concatenate(([True], (item[1:] != item[:-1]) | (diagonal[1:] - diagonal[:-1] > reach[1:])))
     first = np.flatnonzero(apart)
     last = np.concatenate((first[1:], [len(item)])) - 1
@@ -181,12 +199,13 @@ def _hits(docs: DataFrame, text_col: str, keep: tuple[str, ...], sent, seeds_sen
     def run(batches):
         items, seeds = sent.value, seeds_sent.value
         need = [min_score * MATCH * len(s) for s in items.seqs]
+        least = np.array([_least(len(s), min_score) for s in items.seqs], np.int64)
         kind = pa.int64() if sent_long else pa.string()
         for b in batches:
             jobs = []
             for row, text in enumerate(b.column("_text").to_pylist()):
                 seq = items.numbers(words(text))
-                jobs += [(row, i, s, t, seq[s:t]) for i, s, t in _windows(items, seeds, seq, need)]
+                jobs += [(row, i, s, t, seq[s:t]) for i, s, t in _windows(items, seeds, seq, need, least)]
             jobs.sort(key=lambda x: len(x[4]))
             found: dict[tuple[int, int], tuple] = {}
             for s, e in spans([len(x[4]) for x in jobs], ALIGN_CELLS // 16):
@@ -207,8 +226,7 @@ def _hits(docs: DataFrame, text_col: str, keep: tuple[str, ...], sent, seeds_sen
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",),
-               item_col: str = "item_id", item_text_col: str = "text", n: int = 3, stretch: int = 4,
-               min_score: float = 0.5, min_words: int = 8) -> DataFrame:
+               item_col: str = "item_id", item_text_col: str = "text", min_score: float = 0.5, min_words: int = 8) -> DataFrame:
     """The columns ``keep`` of a document, ``item_id``, ``score`` (0 to 1, of the item's full
     score) and the words of the document it lies in: a row per document and item found."""
     spark = docs.sparkSession
@@ -222,13 +240,13 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text",
     for block in range(blocks):
         rows = items.where(F.col("block") == block).collect()           # about BLOCK_BYTES
         rows.sort(key=lambda r: (r["id"] is None, r["id"] if r["id"] is not None else 0, bytes(r["text"])))
-        made = Items.of([(r["id"], bytes(r["text"])) for r in rows], n, min_words)
+        made = Items.of([(r["id"], bytes(r["text"])) for r in rows], min_words)
         sent = spark.sparkContext.broadcast(made)
         sent.value_type = kind
         df = np.zeros(len(made.grams), np.int64)
-        for r in _frequencies(docs, text_col, sent).collect():          # one row per n-gram of the block
+        for r in _frequencies(docs, text_col, sent).collect():          # one row per pair of the block
             df[r["gram"]] = r["n"]
-        seeds = spark.sparkContext.broadcast(_seeds(made, df, stretch))
+        seeds = spark.sparkContext.broadcast(_seeds(made, df, min_score))
         hits = _hits(docs, text_col, keep, sent, seeds, min_score)
         out = hits if out is None else out.unionByName(hits)
     return out

@@ -185,6 +185,27 @@ def test_leaks_found_and_clean_kept(spark):
     assert dc.decontaminate(docs, bench.withColumn("item_id", F.lit(None).cast("string"))).count() == kept.count()
 
 
+def test_every_copy_above_the_score_is_found(spark):
+    rng = random.Random(5)
+    words = [f"w{i}" for i in range(3000)]
+    items = [rng.sample(words, m) for m in [8, 9, 12, 16, 16, 24, 40] * 12]
+    docs = []
+    for i, x in enumerate(items):
+        other = lambda: f"z{rng.randrange(10**6)}"
+        copies = [[other() if p % 3 == 2 else w for p, w in enumerate(x)],                      # every third word changed
+                  [other() if rng.random() < 0.25 else w for w in x],
+                  [v for w in x for v in (w, other())],                                         # a word put in after each
+                  [w for p, w in enumerate(x) if p % 4 != 1]]
+        docs += [(len(docs) + k, i, [other() for _ in range(20)] + c + rng.sample(words, 20)) for k, c in enumerate(copies)]
+    bench = spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate(items)], "item_id long, text string")
+    found = {(r["doc_id"], r["item_id"]) for r in dc.find_leaks(spark.createDataFrame([(d, " ".join(x)) for d, _, x in docs], "doc_id long, text string"), bench).collect()}
+    number = {}
+    for d, i, x in docs:
+        a, b = (np.array([number.setdefault(w, len(number) + 1) for w in y]) for y in (items[i], x))
+        if dc.smith_waterman([a], [b])[0][0] >= len(a):
+            assert (d, i) in found, (d, i, len(a))
+
+
 def test_smith_waterman_against_plain_matrix():
     rng = random.Random(5)
     pairs = [([rng.randint(1, 4) for _ in range(rng.randint(3, 12))], [rng.randint(0, 4) for _ in range(rng.randint(3, 15))]) for _ in range(60)]
