@@ -1,7 +1,8 @@
 """Benchmark decontamination: rare word pairs as seeds, then Smith-Waterman alignment.
 
-Words are runs without ASCII punctuation or space, A-Z lower-cased.  The benchmark is taken in
-blocks of bounded size; for each block:
+Words are runs without ASCII punctuation or space, A-Z lower-cased; of scripts written
+without spaces (Chinese, Japanese, Thai, Lao, Khmer, Burmese, Tibetan) each character is a word, and
+their punctuation separates words too.  The benchmark is taken in blocks of bounded size; for each block:
 
 1. one pass over the corpus counts in how many documents each of the block's pairs of
    words at distance 1 or 2 occurs (map-side sums, then one grouped sum);
@@ -18,13 +19,17 @@ blocks of bounded size; for each block:
 Work is done where the documents lie, so copies of one passage in many documents
 cost each document its own alignment and no shuffle.
 
-Rules for odd rows: null or empty text has no hit; items that are null or have fewer than
-``min_words`` words are not looked for; repeated items and documents are reported each.
+Items of fewer than ``min_words`` words are found where their whole word sequence stands
+(score 1), since a part of so few words says nothing.
+
+Rules for odd rows: null or empty text has no hit; items that are null or have no word are
+not looked for; repeated items and documents are reported each.
 """
 
 from __future__ import annotations
 
 import math
+import re
 from dataclasses import dataclass
 
 import numpy as np
@@ -42,8 +47,19 @@ _PUNCTUATION = bytes(c for c in range(128) if not (chr(c).isalnum()))
 _TO_SPACE = bytes.maketrans(_PUNCTUATION, b" " * len(_PUNCTUATION))
 
 
+#: UTF-8 of characters that stand for themselves, and of the punctuation between them.
+_SPACELESS = re.compile(
+    rb"((?:\xe0[\xb8-\xbf]|\xe1(?:[\x80-\x82]|[\x9e\x9f])|\xe3[\x81-\x83\x90-\xbf]|[\xe4-\xe9][\x80-\xbf]|\xef[\xa4-\xab])[\x80-\xbf]"
+    rb"|\xe3\x80[\x85-\x87]|\xe3\x84[\x80-\xaf]|\xea(?:[\x80-\x92])[\x80-\xbf]|\xef\xbd[\xa6-\xbf]|\xef\xbe[\x80-\x9d]|\xf0[\xa0-\xbf][\x80-\xbf]{2})"
+    rb"|\xe3\x80[\x80-\x84\x88-\xbf]|\xef\xbc[\x81-\x8f\x9a-\xa0]|\xef\xbd[\xa1-\xa5]")
+
+
 def words(text: bytes | None) -> list[bytes]:
-    return text.lower().translate(_TO_SPACE).split() if text else []
+    if not text:
+        return []
+    if not text.isascii() and _SPACELESS.search(text):
+        text = _SPACELESS.sub(rb" \1 ", text)
+    return text.lower().translate(_TO_SPACE).split()
 
 
 @dataclass
@@ -54,19 +70,23 @@ class Items:
     seqs: list[np.ndarray]
     grams: np.ndarray                   # sorted distinct pairs
     where: list[tuple]                  # per item, the places in it and in ``grams`` of its pairs
+    short: dict[int, dict[bytes, list]]  # by length, the word numbers of items found whole, and their ids
 
     @classmethod
     def of(cls, rows: list[tuple[object, bytes]], min_words: int) -> "Items":
         vocabulary: dict[bytes, int] = {}
-        ids, seqs = [], []
+        ids, seqs, short = [], [], {}
         for key, text in rows:
             w = words(text)
+            seq = np.array([vocabulary.setdefault(x, len(vocabulary) + 1) for x in w], np.int64)
             if len(w) >= max(min_words, 2):
                 ids.append(key)
-                seqs.append(np.array([vocabulary.setdefault(x, len(vocabulary) + 1) for x in w], np.int64))
+                seqs.append(seq)
+            elif w:
+                short.setdefault(len(w), {}).setdefault(seq.tobytes(), []).append(key)
         own = [pairs(s) for s in seqs]
         grams = np.unique(np.concatenate([h for _, h in own])) if own else np.zeros(0, np.uint64)
-        return cls(ids, vocabulary, seqs, grams, [(at, np.searchsorted(grams, h)) for at, h in own])
+        return cls(ids, vocabulary, seqs, grams, [(at, np.searchsorted(grams, h)) for at, h in own], short)
 
     def numbers(self, ws: list[bytes]) -> np.ndarray:
         get = self.vocabulary.get
@@ -82,6 +102,19 @@ class Items:
         return at[hit], g[hit]
 
 
+    def whole(self, seq: np.ndarray) -> list[tuple[object, int, int]]:
+        """The short items that stand in a document as a whole, with the words of their first copy."""
+        first: dict[bytes, tuple] = {}
+        for n, known in self.short.items():
+            if len(seq) >= n:
+                heads = np.unique([np.frombuffer(x, np.int64)[0] for x in known])
+                for p in np.flatnonzero(np.isin(seq[:len(seq) - n + 1], heads)).tolist():
+                    x = seq[p:p + n].tobytes()
+                    if x in known:
+                        first.setdefault(x, (known[x], p, p + n))
+        return [(key, p, e) for keys, p, e in first.values() for key in keys]
+
+
 def pairs(seq: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Places and numbers of the pairs of known words at distance 1 and 2."""
     at, h = [], []
@@ -202,9 +235,11 @@ def _hits(docs: DataFrame, text_col: str, keep: tuple[str, ...], sent, seeds_sen
         least = np.array([_least(len(s), min_score) for s in items.seqs], np.int64)
         kind = pa.int64() if sent_long else pa.string()
         for b in batches:
-            jobs = []
+            jobs, whole = [], []
             for row, text in enumerate(b.column("_text").to_pylist()):
                 seq = items.numbers(words(text))
+                if items.short:
+                    whole += [(row, key, 1.0, f, t) for key, f, t in items.whole(seq)]
                 jobs += [(row, i, s, t, seq[s:t]) for i, s, t in _windows(items, seeds, seq, need, least)]
             jobs.sort(key=lambda x: len(x[4]))
             found: dict[tuple[int, int], tuple] = {}
@@ -215,11 +250,11 @@ def _hits(docs: DataFrame, text_col: str, keep: tuple[str, ...], sent, seeds_sen
                     if v >= need[x[1]]:
                         got = (v / (MATCH * len(items.seqs[x[1]])), x[2], x[2] + z)
                         found[x[0], x[1]] = max(found.get((x[0], x[1]), got), got)
-            keys = sorted(found)
-            rows = pa.array([r for r, _ in keys], pa.int64())
+            hits = [(r, items.ids[i], *found[r, i]) for r, i in sorted(found)] + whole
+            rows = pa.array([x[0] for x in hits], pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [*[b.column(c).take(rows) for c in keep], pa.array([items.ids[i] for _, i in keys], kind),
-                 *[pa.array([found[x][j] for x in keys], t) for j, t in ((0, pa.float64()), (1, pa.int64()), (2, pa.int64()))]],
+                [*[b.column(c).take(rows) for c in keep],
+                 *[pa.array([x[j] for x in hits], t) for j, t in ((1, kind), (2, pa.float64()), (3, pa.int64()), (4, pa.int64()))]],
                 [*keep, "item_id", "score", "word_from", "word_to"])
     sent_long = sent.value_type == "long"
     return docs.select(*keep, F.col(text_col).cast("binary").alias("_text")).mapInArrow(run, schema)

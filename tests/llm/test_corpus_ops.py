@@ -185,6 +185,15 @@ def test_leaks_found_and_clean_kept(spark):
     assert dc.decontaminate(docs, bench.withColumn("item_id", F.lit(None).cast("string"))).count() == kept.count()
 
 
+def test_short_items_and_scripts_without_spaces(spark):
+    bench = spark.createDataFrame([(0, "Capital of France?"), (1, "氷"), (2, "日本の首都は東京であり、人口は約千四百万人です。"), (3, "เมืองหลวงของประเทศไทยคือกรุงเทพ"), (4, "?!"), (5, "to be"), (5, "to be")],
+                                  "item_id long, text string")
+    docs = spark.createDataFrame([(0, "what is the capital, of FRANCE and"), (1, "capital of the france"), (2, "彼は言った。日本の首都は大阪であり人口は約千四百万人です。はい"), (3, "ก่อน เมืองหลวงของประเทศไทยคือกรุงเทพ"),
+                                  (4, "こおり氷だ"), (5, "or not TO be"), (6, "tobe be to"), (7, "?!"), (8, None)], "doc_id long, text string")
+    found = sorted((r["doc_id"], r["item_id"]) for r in dc.find_leaks(docs, bench).collect())
+    assert found == [(0, 0), (2, 2), (3, 3), (4, 1), (5, 5), (5, 5)]
+
+
 def test_every_copy_above_the_score_is_found(spark):
     rng = random.Random(5)
     words = [f"w{i}" for i in range(3000)]
