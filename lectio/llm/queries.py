@@ -14,8 +14,11 @@ from .licenses import scan
 from .line_dedup import dedup_lines
 from .mixing import mix
 from .neighbours import nearest
+from .prefix_trie import ordered_turns, share_heads, trie
+from .resample import resample
 from .simhash import near_duplicates
 from .suffixes import cut_repeats
+from .warc import archive_pages
 
 
 def op1_pareto_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -74,8 +77,23 @@ def op10_collision_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
 
 
+def op11_importance_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).select(
+        "doc_id", "n_features", "weight", "score", "rank")
+
+
+def op12_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return archive_pages(table(spark, sf_dir, "pages")).select(
+        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie(*share_heads(*ordered_turns(table(spark, sf_dir, "conversations"))))
+
+
 QUERIES = {f.__name__: f for f in (op1_pareto_mixing, op2_language_id, op3_decontamination, op4_suffix_dedup, op5_line_dedup, op6_license_scan, op7_simhash, op8_html_text,
-                                op9_chat_format, op10_collision_search)}
+                                op9_chat_format, op10_collision_search,
+                                op11_importance_resample, op12_warc, op13_prefix_trie)}
 
 # Sources' targets by one pass over the sorted saturation levels; the sample by a running sum over the ranks.
 OP1_SQL = r"""
@@ -134,4 +152,69 @@ a AS (SELECT conv_id, count(*) AS n_turns, string_agg(role || chr(10) || text ||
       FROM o GROUP BY conv_id)
 SELECT conv_id, n_turns, sha256(said) AS turns_sha256, length(loss)::BIGINT AS loss_chars, sha256(loss) AS loss_sha256, formatted_chars FROM a"""
 
-SQL: dict[str, str] = {"op9_chat_format": OP9_SQL, "op1_pareto_mixing": OP1_SQL, "op5_line_dedup": OP5_SQL}
+# CRC-32 by its bits, one byte of the text after another; ``{x}`` is the text.
+_CRC = """xor(list_reduce(list_concat([4294967295::BIGINT],
+    list_transform(range(1, length(hex(encode({x})))::BIGINT, 2), lambda i: ('0x' || substr(hex(encode({x})), i, 2))::BIGINT)),
+    lambda a, b: list_reduce(list_concat([xor(a, b)], [0::BIGINT, 0, 0, 0, 0, 0, 0, 0]),
+        lambda c, z: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384::BIGINT) ELSE c // 2 END)), 4294967295::BIGINT)"""
+
+OP11_SQL = r"""
+WITH x AS (
+  SELECT row_number() OVER () AS row, doc_id, FALSE AS goal, text FROM documents
+  UNION ALL SELECT NULL, NULL, TRUE, text FROM benchmark),
+w AS (SELECT row, doc_id, goal, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+             '[0-9a-z\x{80}-\x{10FFFF}]+') AS words FROM x),
+f AS (SELECT row, goal, unnest(list_concat(words, list_transform(range(1, len(words)), lambda i: words[i] || ' ' || words[i + 1]))) AS feature FROM w),
+g AS (SELECT feature, row, goal, count(*) AS n FROM f GROUP BY ALL),
+b AS (SELECT feature, """ + _CRC.format(x="feature") + r""" % 10000 AS bucket FROM (SELECT DISTINCT feature FROM g)),
+h AS (SELECT row, goal, bucket, sum(n)::BIGINT AS n FROM g JOIN b USING (feature) GROUP BY ALL),
+k AS (SELECT bucket, coalesce(sum(n) FILTER (NOT goal), 0)::DOUBLE AS s, coalesce(sum(n) FILTER (goal), 0)::DOUBLE AS t FROM h GROUP BY bucket),
+z AS (SELECT coalesce(sum(n) FILTER (NOT goal), 0)::DOUBLE AS all_s, coalesce(sum(n) FILTER (goal), 0)::DOUBLE AS all_t FROM h),
+v AS (SELECT bucket, floor(1000 * ln((t + 1) * (all_s + 10000) / ((s + 1) * (all_t + 10000))))::BIGINT AS gain FROM k, z),
+d AS (SELECT row, sum(n)::BIGINT AS n_features, sum(n * gain)::BIGINT AS total FROM h JOIN v USING (bucket) WHERE NOT goal GROUP BY row),
+e AS (SELECT doc_id, len(words) AS n_words, coalesce(n_features, 0) AS n_features,
+             coalesce((total - ((total % n_features) + n_features) % n_features) // n_features, 0)::BIGINT AS weight,
+             ('0x' || substr(sha256('7:' || coalesce(doc_id::VARCHAR, '')), 1, 8))::BIGINT AS hash
+      FROM w LEFT JOIN d USING (row) WHERE NOT goal),
+r AS (SELECT *, weight + floor(-1000 * ln(-ln((hash + 0.5::DOUBLE) / 4294967296::DOUBLE)))::BIGINT AS score FROM e),
+o AS (SELECT *, CASE WHEN n_words >= 20 THEN row_number() OVER (PARTITION BY n_words >= 20 ORDER BY score DESC, doc_id NULLS LAST, n_features, weight) END AS place,
+             (25 * count(*) FILTER (n_words >= 20) OVER ()) // 100 AS drawn FROM r)
+SELECT doc_id, n_features::BIGINT AS n_features, weight, score::BIGINT AS score, CASE WHEN place <= drawn THEN place END AS rank FROM o"""
+
+OP12_SQL = r"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS html, row_number() OVER (PARTITION BY coalesce(html, '') ORDER BY page_id NULLS LAST) AS k,
+                  min(page_id) OVER (PARTITION BY coalesce(html, '')) AS least FROM pages)
+SELECT page_id, strlen(html)::BIGINT AS payload_bytes, sha256(html) AS payload_digest,
+       CASE WHEN k > 1 AND strlen(html) >= 100 THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN k > 1 AND strlen(html) >= 100 THEN least END AS refers_to
+FROM p"""
+
+# A prefix is named by the list of its turns; subtree sums meet every node with its ancestors.
+OP13_SQL = r"""
+WITH t AS (SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS said,
+                  row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''),
+                                     sha256(strlen(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, ''))) - 1 AS pos
+           FROM conversations WHERE conv_id IS NOT NULL),
+c AS (SELECT conv_id, conv_id - conv_id % 5 AS base, """ + _CRC.format(x="conv_id::VARCHAR") + r""" % 9 AS h FROM (SELECT DISTINCT conv_id FROM t)),
+lent AS (SELECT c.conv_id, count(t.pos) AS taken FROM c LEFT JOIN t ON t.conv_id = c.base AND t.pos < c.h GROUP BY c.conv_id),
+r AS (SELECT c.conv_id, t.pos, role, said FROM c JOIN t ON t.conv_id = c.base AND t.pos < c.h
+      UNION ALL SELECT c.conv_id, t.pos - c.h + lent.taken, role, said FROM c JOIN lent USING (conv_id) JOIN t ON t.conv_id = c.conv_id AND t.pos >= c.h),
+s AS (SELECT conv_id, pos + 1 AS depth, strlen(said) AS bytes,
+             list({'role': role, 'said': said}) OVER (PARTITION BY conv_id ORDER BY pos) AS prefix FROM r
+      UNION ALL SELECT conv_id, 0, 0, [] FROM c),
+n AS (SELECT depth, prefix, min(conv_id) AS conv_id, count(*) AS n_convs, max(bytes) AS bytes FROM s GROUP BY depth, prefix),
+path AS (SELECT s.conv_id, s.depth, n.conv_id AS node, n_convs, bytes, lag(n.conv_id) OVER (PARTITION BY s.conv_id ORDER BY s.depth) AS up,
+                max(s.depth) OVER (PARTITION BY s.conv_id) AS len
+         FROM s JOIN (SELECT * RENAME (bytes AS node_bytes) FROM n) n ON s.depth = n.depth AND s.prefix = n.prefix),
+node AS (SELECT conv_id, depth, up, n_convs, bytes FROM path WHERE conv_id = node),
+kids AS (SELECT up AS conv_id, depth - 1 AS depth, count(*) AS n_children FROM node WHERE depth > 0 GROUP BY ALL),
+own AS (SELECT node.*, coalesce(n_children, 0) AS n_children FROM node LEFT JOIN kids USING (conv_id, depth)),
+sums AS (SELECT p.node AS conv_id, p.depth, count(*) FILTER (o.n_children = 0) AS n_leaves, sum((o.n_convs - 1) * o.bytes)::BIGINT AS saved
+         FROM own o JOIN path p ON p.conv_id = o.conv_id AND p.depth <= o.depth GROUP BY ALL),
+ends AS (SELECT node AS conv_id, depth, string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) AS ids FROM path WHERE depth = len GROUP BY ALL)
+SELECT o.conv_id, o.depth::BIGINT AS depth, o.up AS parent_conv_id, o.n_convs, o.n_children, s.n_leaves, s.saved AS saved_tokens,
+       sha256(coalesce(e.ids, '')) AS ends_sha256
+FROM own o JOIN sums s USING (conv_id, depth) LEFT JOIN ends e USING (conv_id, depth)"""
+
+SQL: dict[str, str] = {"op9_chat_format": OP9_SQL, "op1_pareto_mixing": OP1_SQL, "op5_line_dedup": OP5_SQL,
+                       "op11_importance_resample": OP11_SQL, "op12_warc": OP12_SQL, "op13_prefix_trie": OP13_SQL}
