@@ -5,8 +5,7 @@ responses --(J3 surprisal lookup, J4 LMM lookup)--> modelling table
           (group, name, fold, response_id, y, yhat) --(C6, G6)--> report.
 
 Linear models use one aggregate for all folds; the fixed models are column
-expressions; the forest and network are fitted per fold by distributed
-estimators.  Nothing is positional: every row carries ``response_id``.
+expressions; the forest and the networks are fitted for all folds side by side.  Nothing is positional: every row carries ``response_id``.
 """
 
 from __future__ import annotations
@@ -18,6 +17,7 @@ from pyspark.sql import functions as F
 
 from ..operators import regress as R
 from ..operators.features import one_hot
+from ..operators.forest import forest_fold_predictions
 from ..operators.indexing import assign_folds
 from ..operators.metrics import cv_report, fold_scores
 from ..operators.prep import lookup_join
@@ -70,7 +70,7 @@ def full_feature_columns(tbl: DataFrame, keep_key: bool = True):
 
 
 def data_only_predictions(tbl: DataFrame, models=("std", "lr-basic", "lr-surp"),
-                          rf_trees: int = 100, rf_depth: int = 30, knn_k: int = 5, mlp_epochs: int = 100,
+                          rf_trees: int = 100, rf_depth: int | None = None, knn_k: int = 5, mlp_epochs: int = 100,
                           seed: int = 42) -> DataFrame:
     parts = []
     for m in models:
@@ -87,7 +87,7 @@ def data_only_predictions(tbl: DataFrame, models=("std", "lr-basic", "lr-surp"),
             parts.append(linear_predictions(wide, m, cols))
         elif m == "rf":
             wide, cols = full_feature_columns(tbl)
-            p = R.random_forest_folds(wide, cols, "y", "response_id", num_trees=rf_trees, max_depth=rf_depth, seed=seed)
+            p = forest_fold_predictions(wide, cols, "response_id", "y", num_trees=rf_trees, max_depth=rf_depth, seed=seed)
             parts.append(_preds(p, m, F.col("yhat")))
         elif m == "knn":
             from ..operators.knn import knn_fold_predictions

@@ -6,7 +6,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 DEFAULTS = {
@@ -70,5 +70,13 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{base}/lectio-{name}-{uuid.uuid4().hex[:12]}"
 
 
+def materialised(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` to a fresh folder under spark.checkpoint.dir and read it back: computed
+    once, and with a lineage of files that every executor sees."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
