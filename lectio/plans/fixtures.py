@@ -98,6 +98,19 @@ def lm_token_arrays(t: Tables) -> DataFrame:
     return t.documents.select(F.col("doc_id").alias("item"), toks.alias("tokens"))
 
 
+def drift_token_arrays(t: Tables) -> DataFrame:
+    """``lm_token_arrays`` of another tokenizer: every third word is one token whatever its
+    pieces, every eleventh has an unknown first piece, and in every seventh story word 25 is
+    followed by a token of no word."""
+    def pieces(w, i):
+        own = T.tokens(w)
+        unk = F.concat(F.array(F.lit("<unk>")), F.slice(own, 2, F.greatest(F.size(own) - 1, F.lit(0))))
+        said = F.when(i % 3 == 2, F.array(w)).when(i % 11 == 10, unk).otherwise(own)
+        return F.when((i == 24) & (F.col("doc_id") % 7 == 3), F.concat(said, F.array(F.lit("zzz")))).otherwise(said)
+    toks = F.flatten(F.transform(T.whitespace_words("text"), pieces))
+    return t.documents.select(F.col("doc_id").alias("item"), toks.alias("tokens"))
+
+
 def pairs(t: Tables) -> DataFrame:
     w = Window.partitionBy("conv_id").orderBy("turn")
     c = t.conversations.withColumn("text_b", F.lead("text").over(w))

@@ -518,15 +518,42 @@ from . import q_embed  # noqa: E402,F401
 from . import q_models  # noqa: E402,F401
 
 
+# The sequential rule, one word after the other: a list of first positions grows with the running offset.
+_STRICT_CTE = [
+    ("docs", f"""SELECT item, ws, list_transform(ws, lambda w: greatest(len(regexp_extract_all(w, '{TOK}')), 1)::BIGINT) AS ks,
+                   flatten(list_transform(ws, lambda w, i: list_concat(
+                     CASE WHEN i % 3 = 0 THEN [w]
+                          WHEN i % 11 = 0 THEN list_concat(['<unk>'], regexp_extract_all(w, '{TOK}')[2:])
+                          ELSE regexp_extract_all(w, '{TOK}') END,
+                     CASE WHEN i = 25 AND item % 7 = 3 THEN ['zzz'] ELSE [] END))) AS toks
+                 FROM (SELECT doc_id AS item, regexp_extract_all(text, '\\S+') AS ws FROM documents)"""),
+    ("walk", """SELECT item, ws, ks, toks, list_reduce(list_concat([{'o': 1::BIGINT, 'k': 0::BIGINT, 'w': '', 'h': []::BIGINT[]}],
+                   list_transform(ws, lambda w, i: {'o': 0::BIGINT, 'k': ks[i], 'w': w, 'h': []::BIGINT[]})),
+                   lambda a, b: {'o': a.o + CASE WHEN toks[a.o] = b.w THEN 1 ELSE b.k END, 'k': b.k, 'w': b.w, 'h': list_append(a.h, a.o)}).h AS firsts
+                 FROM docs WHERE len(ws) > 0"""),
+    ("spans", """SELECT item, zone, word, first, CASE WHEN toks[first] = word THEN 1 ELSE k END AS step FROM (
+                   SELECT item, toks, generate_subscripts(ws, 1)::BIGINT AS zone, unnest(ws) AS word, unnest(ks) AS k, unnest(firsts) AS first FROM walk)"""),
+    ("drift_tokens", "SELECT item, generate_subscripts(toks, 1)::BIGINT AS tok_pos, unnest(toks) AS word FROM docs"),
+    *_token_table_ctes("drtt", "SELECT item, tok_pos, word FROM drift_tokens", "item"),
+    ("pos", "SELECT item, zone, word, unnest(range(first, first + step)) AS tok_pos FROM spans"),
+    ("al", """SELECT p.item, p.zone, p.word, coalesce(string_agg(t.word, '' ORDER BY t.tok_pos), '') AS pieces,
+                     CAST(count(t.word) AS BIGINT) AS n_tok, CAST(sum(t.wlen) AS BIGINT) AS wlen,
+                     CAST(sum(t.sentpos) AS BIGINT) AS sentpos, arg_min(t.sentpos, t.tok_pos) AS sentpos_first,
+                     sum(t.surp) AS surp
+              FROM pos p LEFT JOIN drtt t ON t.item = p.item AND t.tok_pos = p.tok_pos GROUP BY 1, 2, 3"""),
+]
+
+
 @query("align_tokens_strict", with_views("""
 SELECT item, zone, word, pieces, n_tok, wlen, sentpos, sentpos_first, round(surp, 6) AS surp,
        CAST(pieces = word OR contains(pieces, '<unk>') AS BIGINT) AS matched
-FROM al""", "stories", "lm_tokens", "word_rts", extra=_ALIGN_CTE))
+FROM al""", extra=_STRICT_CTE))
 def q_align_tokens_strict(spark, sf):
-    """A1 with the sequential fallback for stories whose words do not re-assemble."""
+    """A1 by the sequential rule, on tokens of another tokenizer: stories in step with words kept
+    whole, unknown pieces, and stories that fall out of step at one word."""
     from ..operators import align as A
     t = _t(spark, sf)
-    tt = S.array_token_table(X.lm_token_arrays(t), "item")
+    tt = S.array_token_table(X.drift_token_arrays(t), "item")
     al = A.align_tokens_strict(X.stories(t), tt)
     return al.select("item", "zone", "word", "pieces", "n_tok", "wlen", "sentpos", "sentpos_first",
                      r6("surp").alias("surp"), "matched")
