@@ -354,6 +354,29 @@ def q_mixed_model_fit(spark, sf):
     return spark.createDataFrame(rows, "param string, value double")
 
 
+@query("mixed_model_scores", with_views("""
+SELECT e.equation, CAST(count(*) AS BIGINT) AS n_obs, CAST(count(DISTINCT a.word) AS BIGINT) AS n_groups, TRUE AS solved
+FROM al a JOIN rt r ON r.word = a.word AND r.zone = a.zone AND r.item = a.item,
+     (SELECT unnest(['intercept', 'wlen', 'sentpos', 'surp', 'scale', 'theta']) AS equation) e
+WHERE a.wlen IS NOT NULL AND a.sentpos IS NOT NULL AND a.surp IS NOT NULL AND r.rt IS NOT NULL GROUP BY e.equation""",
+                                        "stories", "lm_tokens", "word_rts", extra=_ALIGN_CTE))
+def q_mixed_model_scores(spark, sf):
+    """A3: the fit solves its equations: residuals weighted by the inverse covariance are
+    uncorrelated with each covariate, their square sum gives the scale (to 1e-7, from the rows), and the
+    criterion rises on both sides of theta."""
+    from ..operators import mixedlm as MX
+    from ..session import materialised
+    al, A, t = _aligned(spark, sf)
+    x = ["wlen", "sentpos", "surp"]
+    train = materialised(A.join_word_rt(al, X.word_rts(t)).select("word", "rt", *x), "lmm-rows")
+    res = MX.fit_mixedlm(train, "rt", x, "word")
+    off = MX.score_equations(train, res, "rt", x, "word")
+    at, up, down = MX.criteria(MX.sufficient_statistics(train, "rt", x, "word"), [res.theta, res.theta * 1.01, res.theta * 0.99])
+    rows = [(name, res.n_obs, res.n_groups, bool(v < 1e-7)) for name, v in off.items()]
+    return spark.createDataFrame([*rows, ("theta", res.n_obs, res.n_groups, bool(up[0] > at[0] < down[0] or res.theta == 0))],
+                                 "equation string, n_obs long, n_groups long, solved boolean")
+
+
 def lmm_seconds_frame(spark, sf):
     """A4 + G2: fixed-effect prediction summed per article, from per-article
     covariate sums (equal to summing the per-token predictions)."""
