@@ -6,6 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..session import materialised
+from .indexing import with_row_index
+from .prep import join_by_key
 from .surprisal import corpus_counts, exploded, join_counts
 
 
@@ -73,3 +76,27 @@ def one_hot(df: DataFrame, cols: list[str] | None = None, max_categories: int =
             out_cols.append(F.when(F.col(c) == F.lit(v), F.lit(1)).otherwise(F.lit(0))
                             .cast("long").alias(f"{c}_{v}"))
     return df.select(*out_cols)
+
+
+def category_index(df: DataFrame, col: str) -> DataFrame:
+    """(``col``, ``n`` rows, ``index`` from 0 in sorted order) of a string column's distinct values."""
+    values = df.where(F.col(col).isNotNull()).groupBy(col).agg(F.count(F.lit(1)).alias("n"))
+    return materialised(with_row_index(values, col, "index").select(col, "n", "index"), "categories")
+
+
+def one_hot_sparse(df: DataFrame, cols: list[str], out_col: str = "one_hot") -> DataFrame:
+    """T6 for any number of categories: the string columns replaced by one sparse vector
+    ``out_col`` (``size``, ``indices``, ``values``), laid out as ``one_hot`` orders its columns; a null has no
+    entry.  Categories are a table that is joined (frequent ones by a bounded broadcast), never a
+    schema or a list on the driver."""
+    total, offset, parts = None, F.lit(0).cast("long"), []
+    for c in cols:
+        index = category_index(df, c)
+        total = df.count() if total is None else total
+        df = join_by_key(df, index.withColumnRenamed("n", f"_n_{c}").withColumnRenamed("index", f"_i_{c}"), [c], f"_n_{c}", total)
+        parts.append(F.col(f"_i_{c}") + offset)
+        offset = offset + F.lit(index.count())
+    held = F.filter(F.array(*parts), lambda i: i.isNotNull())
+    vector = F.struct(offset.alias("size"), held.alias("indices"), F.transform(held, lambda i: F.lit(1.0)).alias("values"))
+    rest = [c for c in df.columns if c not in cols and not c.startswith(("_n_", "_i_"))]
+    return df.select(*rest, vector.alias(out_col))

@@ -145,5 +145,5 @@ def write_results(rep: DataFrame, path: str) -> None:
 def read_results(spark, path: str) -> DataFrame:
     from ..sources import read_csv_table
     kinds = ", ".join(f"{n} {'string' if n in ('Group', 'Name') else 'double'}" for n in RESULT_COLUMNS.values())
-    back = read_csv_table(spark, path, kinds)
+    back = read_csv_table(spark, path, kinds, multiline=False)
     return back.select(*[F.col(f"`{n}`").alias(c) for c, n in RESULT_COLUMNS.items()])

@@ -159,6 +159,23 @@ def q_one_hot(spark, sf):
     return FT.one_hot(X.responses(_t(spark, sf)), ["device"])
 
 
+_DEEP = "CAST(person_id AS VARCHAR) || ':' || CAST(survey_num AS VARCHAR)"
+
+
+@query("one_hot_sparse", with_views(f"""
+SELECT response_id, d.n + p.n AS size, [d.index, d.n + p.index] AS indices
+FROM (SELECT response_id, device, {_DEEP} AS deep FROM responses) r
+JOIN (SELECT device, row_number() OVER (ORDER BY device) - 1 AS index, count(*) OVER () AS n FROM (SELECT DISTINCT device FROM responses)) d
+  ON d.device = r.device
+JOIN (SELECT deep, row_number() OVER (ORDER BY deep) - 1 AS index, count(*) OVER () AS n FROM (SELECT DISTINCT {_DEEP} AS deep FROM responses)) p
+  ON p.deep = r.deep""", "responses"))
+def q_one_hot_sparse(spark, sf):
+    """T6 with a category for nearly every row (reader and article together) next to the device."""
+    deep = F.concat_ws(":", F.col("person_id").cast("string"), F.col("survey_num").cast("string"))
+    r = X.responses(_t(spark, sf)).select("response_id", "device", deep.alias("deep"))
+    return FT.one_hot_sparse(r, ["device", "deep"]).select("response_id", "one_hot.size", "one_hot.indices")
+
+
 @query("predict_standard", with_views("""
 SELECT response_id, survey_num, CAST(num_words AS DOUBLE) / 4.0 AS yhat FROM responses""", "responses"))
 def q_predict_standard(spark, sf):
@@ -499,14 +516,14 @@ def lmm_seconds_given(spark, sf):
     return doc_seconds_from_sums(sums, res, "doc_id")
 
 
-_GIVEN_SQL = ("SELECT doc_id, sum({} + {} * wlen + {} * sentpos + {} * surp) / 1000.0 AS seconds FROM tt GROUP BY doc_id"
-              .format(*[f"{c}::DOUBLE" for c in _GIVEN]))
+_GIVEN_SQL = ("SELECT d.doc_id, coalesce(sum({} + {} * wlen + {} * sentpos + {} * surp), 0) / 1000.0 AS seconds "
+              "FROM documents d LEFT JOIN tt ON tt.doc_id = d.doc_id GROUP BY d.doc_id".format(*[f"{c}::DOUBLE" for c in _GIVEN]))
 
 
 @query("lmm_seconds_given", with_views(f"SELECT doc_id, round(seconds, 4) AS seconds FROM ({_GIVEN_SQL})", extra=_TOKENS_CTE))
 def q_lmm_seconds_given(spark, sf):
     """A4 + G2 at given coefficients, from per-article sums; the oracle sums per-token predictions."""
-    return lmm_seconds_given(spark, sf).where("seconds <> 0").select("doc_id", F.round("seconds", 4).alias("seconds"))
+    return lmm_seconds_given(spark, sf).select("doc_id", F.round("seconds", 4).alias("seconds"))
 
 
 @query("lookup_lmm_given", with_views(f"""
@@ -517,7 +534,7 @@ def q_lookup_lmm_given(spark, sf):
     from ..session import scratch_path
     from ..sources import read_json_map, write_json_map
     path = scratch_path(spark, "lmm-given")
-    write_json_map(lmm_seconds_given(spark, sf).where("seconds <> 0"), "doc_id", "seconds", path)
+    write_json_map(lmm_seconds_given(spark, sf), "doc_id", "seconds", path)
     m = read_json_map(spark, path, "doc_id", "lmm_seconds", key_type="long")
     r = P.lookup_join(X.responses(_t(spark, sf)), m, "survey_num", "lmm_seconds", lookup_key="doc_id")
     return r.select("response_id", "survey_num", F.round("lmm_seconds", 4).alias("lmm_seconds"))
