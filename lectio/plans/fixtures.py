@@ -93,9 +93,9 @@ def word_rts(t: Tables) -> DataFrame:
 
 
 def lm_token_arrays(t: Tables) -> DataFrame:
-    """(item, tokens): the tokens of a story's words, in order, in one row."""
+    """(item, words, tokens): a story's words, and the tokens of its words, in order, in one row."""
     toks = F.flatten(F.transform(T.whitespace_words("text"), lambda w: T.tokens(w)))
-    return t.documents.select(F.col("doc_id").alias("item"), toks.alias("tokens"))
+    return t.documents.select(F.col("doc_id").alias("item"), T.whitespace_words("text").alias("words"), toks.alias("tokens"))
 
 
 def drift_token_arrays(t: Tables) -> DataFrame:

@@ -311,9 +311,7 @@ _ALIGN_CTE = _token_table_ctes("lmtt", "SELECT item, tok_pos, token AS word FROM
 def _aligned(spark, sf):
     from ..operators import align as A
     t = _t(spark, sf)
-    tt = S.array_token_table(X.lm_token_arrays(t), "item")
-    positions = A.text_positions(t.documents.select(F.col("doc_id").alias("item"), "text"))
-    return A.align_positions(positions, tt), A, t
+    return A.align_arrays(X.lm_token_arrays(t)), A, t
 
 
 @query("align_tokens", with_views("""
