@@ -230,6 +230,31 @@ def test_nearest_recall(spark, block, monkeypatch):
         assert pairs == sorted(pairs)
 
 
+@pytest.mark.parametrize("sigma", [0.5, 1.0, 2.0])
+def test_nearest_recall_on_unequal_lengths(spark, sigma):
+    rng = np.random.default_rng(int(10 * sigma))
+    vecs = rng.standard_normal((5000, 32)) / np.sqrt(32) * rng.lognormal(0, sigma, 5000)[:, None]
+    rows = [(i, v.tolist()) for i, v in enumerate(vecs)]
+    want = plain_nearest(rows, range(0, 5000, 20))
+    got = {}
+    for r in neighbours.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") % 20 == 0).collect():
+        got.setdefault(r["query_id"], []).append((r["vec_id"], r["score"]))
+    assert all(len(g) == 20 for g in got.values()) and got.keys() == want.keys()
+    hits = [len({i for i, _ in got[q]} & {i for i, _ in want[q]}) for q in want]
+    assert np.mean(hits) / 20 >= 0.9
+    exact = vecs @ vecs.T
+    assert all(abs(exact[q, i] - s) <= 1e-12 * max(1, abs(s)) for q, g in got.items() for i, s in g)
+
+
+def test_nearest_extreme_lengths(spark):
+    rng = np.random.default_rng(8)
+    rows = [(i, (rng.standard_normal(4) * s).tolist()) for i, s in enumerate([1e-160, 1e-3, 1.0, 1e4, 1e150] * 30)]
+    got = {}
+    for r in neighbours.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") % 20 == 0, k=5).collect():
+        got.setdefault(r["query_id"], []).append(r["vec_id"])
+    assert got == {q: [i for i, _ in x] for q, x in plain_nearest(rows, range(0, 150, 20), 5).items()}
+
+
 def test_nearest_odd_rows(spark):
     rng = np.random.default_rng(3)
     same = [0.5, 0.5, 0.0]
