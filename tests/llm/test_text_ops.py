@@ -127,6 +127,57 @@ def test_repeated_heading_and_lead_are_article_text(spark):
     assert {r["page_id"]: r["text"] for r in html_text.extract(pages).collect()} == {i: f"Same title\nSame lead.\nText x{i}" for i in range(5)}
 
 
+def test_deep_pages_do_not_fail(spark):
+    deep = lambda n, inner: "<div>" * n + inner + "</div>" * n
+    mixed = "".join(f"<div class='c{chr(97 + i % 7)}'><span>t{i}</span>" for i in range(3000))
+    pages = [deep(600, "<p>one</p><p>two</p>"), deep(5000, "<p>one</p><aside>no</aside><p>two</p>"), mixed,
+             "<article>" + "<section>x" * 2000, "<div><div class='ad'>" + deep(400, "no") + "</div><p>yes</p></div>",
+             "<ul><li>" * 3000 + "end"]
+    rows = [(i, f"http://h{i % 2}.example.com/", p) for i, p in enumerate(pages)]
+    got = {r["page_id"]: r["text"] for r in html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got[0] == got[1] == "one\ntwo" and got[2] == "\n".join(f"t{i}" for i in range(3000))
+    assert got[3] == "\n".join(["x"] * 2000) and got[4] == "yes" and got[5] == "end"
+
+
+def test_markup_that_swallowed_text():
+    for page, want in (('<article><svg class="icon"/><p>Main</p></article>', "Main"), ("<article><svg><p>Main</p></article>", "Main"),
+                       ("<title>T<p>Main</p>", "Main"), ('<a title="a>b" href="x">Main</a>', "Main"), ("<p title='it\"s > x'>Main</p>", "Main"),
+                       ("<svg><text>no</text></svg><p>Main", "Main"), ("<p>Main</p><script>var a = '<p>no</p>'", "Main"), ("<p>a < b <br/> c", "a < b c"),
+                       ("<script src='x'/>no</script><p>Main", "Main"), ("</svg><p>Main", "Main"), ("<p " + "x='" * 3 + ">Main", "Main")):
+        assert html_text.article(page, None) == want, page
+
+
+def test_article_blocks_with_names_like_asides():
+    page = ("<article><h1>T</h1><div class='side-by-side'><p>one</p></div><p class='market-share'>two</p><section class='social'><p>three</p></section>"
+            "<div class='share-buttons'>no</div><div class='cookie-notice'>no</div><div id='comments'>no</div><div class='ad ad-top'>no</div><p>four</p></article>")
+    assert html_text.article(page, None) == "T\none\ntwo\nthree\nfour"
+    assert html_text.article("<body><nav>no</nav><p>Lead</p><article><p>Text</p></article><div class='sidebar'>no</div></body>", None) == "Lead\nText"
+
+
+def test_the_wrapper_takes_out_a_menu_without_a_telling_name(spark):
+    page = "<html><body><div>Home About Contact</div><div><p>Same rubric</p><h2>Head {i}</h2><p>Text {i}</p>{more}</div><div>Imprint</div></body></html>"
+    rows = [(i, "http://a.example.com/", page.format(i=i, more=f"<p>More {i}</p>" * (i % 3))) for i in range(9)]
+    got = {r["page_id"]: r["text"] for r in html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    for i, _, p in rows:
+        assert got[i].endswith("\n".join([f"Head {i}", f"Text {i}"] + [f"More {i}"] * (i % 3))) and "Home" not in got[i] and "Imprint" not in got[i]
+        assert "Home About Contact" in html_text.article(p, None)
+
+
+def test_many_differing_siblings_align_quickly():
+    import time
+    def page(k):
+        return "<body>" + "".join(f"<div class='n{'abcdefghij'[(i * k) % 10]}{'xyz'[(i // 10) % 3]}'>t{i}</div>" for i in range(3000)) + "</body>"
+    a, b = (html_text.wrapper_of(html_text.parse(page(k))) for k in (1, 3))
+    start = time.time()
+    w = html_text._joined(a, b)
+    assert time.time() - start < 1 and w["n"] == 2
+    once = ["<body>" + "".join(f"<div class='{chr(97 + i // 676)}{chr(97 + i // 26 % 26)}{chr(97 + i % 26)}'>t</div>" for i in range(3000) if i % 3 != k) + "</body>" for k in (0, 1)]
+    a, b = (html_text.wrapper_of(html_text.parse(p)) for p in once)
+    start = time.time()
+    body = html_text._joined(a, b)["c"][0]["c"]
+    assert time.time() - start < 1 and sum(not x["o"] for x in body) == 1000 and len(body) == 3000
+
+
 # ---- chat formatting
 
 HARD = ["", "\\", "<|end|>", "\\l\\b<", "<|assistant|>\\", "a\n<|end|>\n\\b", "\\\\<<", "né😀", "|>", "<|user|>x|>"]
