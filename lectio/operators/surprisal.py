@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from .indexing import running_total
+from .prep import join_by_key
 
 SENT_END_TOKEN = r"^[.!?]$"     # fixed value: a token that closes a sentence
 
@@ -112,7 +113,7 @@ def bigram_table(docs: DataFrame, id_col: str, tokens_col: str = "tokens") -> Da
     the previous token of the same document (``<s>`` for the first), counts
     over the corpus (lower-cased), V the vocabulary size.  The previous token
     comes from the document's array; c(v) joins the pair table, so the tokens
-    are joined once, on (v, w)."""
+    are joined once, on (v, w), frequent pairs by a bounded broadcast."""
     low = F.transform(tokens_col, lambda w: F.lower(w))
     prev = F.slice(F.concat(F.array(F.lit(START)), low), F.lit(1), F.size(tokens_col))
     toks = (docs.where(F.size(tokens_col) > 0)
@@ -123,8 +124,10 @@ def bigram_table(docs: DataFrame, id_col: str, tokens_col: str = "tokens") -> Da
     n_voc = pairs.select("_key").distinct().count()
     after = pairs.groupBy("prev").agg(F.sum("_cvw").alias("_cv"))
     surp = -F.log2((F.col("_cvw") + 1).cast("double") / (F.col("_cv") + F.lit(n_voc)).cast("double"))
-    scored = pairs.join(after, "prev").select("prev", "_key", surp.alias("surp"))
-    return toks.join(scored, ["prev", "_key"]).select(id_col, "tok_pos", "word", "prev", "surp")
+    scored = pairs.join(after, "prev").select("prev", "_key", "_cvw", surp.alias("surp"))
+    st = pairs.agg(F.coalesce(F.sum("_cvw"), F.lit(0)), F.count(F.lit(1)), F.coalesce(F.sum(F.length("prev") + F.length("_key")), F.lit(0))).first()
+    got = join_by_key(toks, scored, ["prev", "_key"], "_cvw", st[0], 4 * st[2] + 64 * st[1])
+    return got.select(id_col, "tok_pos", "word", "prev", "surp")
 
 
 def token_surprisal(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -144,17 +147,37 @@ def doc_surprisal_sums(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     return docs.select(id_col).join(per, id_col, "left").fillna(0.0, [out_col])
 
 
+def doc_sums(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Per document: n_tokens and the sums of wlen, sentpos and surp of its token table, in one pass: the
+    sums that need only the row ride along with its tokens to their counts.  Zeros without a token."""
+    toks = T.tokens(text_col)
+    wide = docs.select(id_col, toks.alias("_toks"))
+    held = ("n_tokens", "wlen", "sentpos")
+    # the sums are columns before the explode, or they would be taken again for every token
+    wide = wide.select(id_col, "_toks", *[c.alias(n) for n, c in zip(held, _row_sums(F.col("_toks")))])
+    rows = wide.select(id_col, F.explode_outer("_toks").alias("_w"), *held)
+    rows = rows.where("_w is not null").select(id_col, *held, F.lower("_w").alias("_key"))
+    counted = corpus_counts(exploded(docs, id_col, toks))
+    denom = float(counted[1] + counted[2])
+    per = join_counts(rows, counted).groupBy(id_col).agg(
+        *[F.max(c).alias(c) for c in held], F.sum(-F.log2((F.col("_c") + 1).cast("double") / F.lit(denom))).alias("surp"))
+    return docs.select(id_col).join(per, id_col, "left").fillna(0, list(held)).fillna(0.0, ["surp"])
+
+
+def _row_sums(toks: Column) -> tuple[Column, Column, Column]:
+    """Number of a token array's tokens, their lengths' sum and their sentence positions' sum.
+    A sentence of L tokens contributes 1 + ... + L."""
+    zero = F.lit(0).cast("long")
+    sentpos = F.aggregate(sentence_lengths(toks), zero, lambda acc, n: acc + F.floor(n * (n + 1) / 2).cast("long"))
+    wlen = F.aggregate(F.transform(toks, lambda w: F.length(w).cast("long")), zero, lambda acc, n: acc + n)
+    return F.size(toks).cast("long"), wlen, sentpos
+
+
 def doc_token_sums(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per document: token count and the sums of wlen and sentpos of its token
-    table, as row expressions on the token array (no explode, no window).
-    A sentence of L tokens contributes 1 + ... + L to the sentpos sum."""
-    toks = T.tokens(text_col)
-    sentpos_sum = F.aggregate(sentence_lengths(toks), F.lit(0).cast("long"),
-                              lambda acc, n: acc + F.floor(n * (n + 1) / 2).cast("long"))
-    wlen_sum = F.aggregate(F.transform(toks, lambda w: F.length(w).cast("long")), F.lit(0).cast("long"),
-                           lambda acc, n: acc + n)
-    return docs.select(id_col, F.size(toks).cast("long").alias("n_tokens"), wlen_sum.alias("wlen"),
-                       sentpos_sum.alias("sentpos"))
+    table, as row expressions on the token array (no explode, no window)."""
+    n, wlen, sentpos = _row_sums(T.tokens(text_col))
+    return docs.select(id_col, n.alias("n_tokens"), wlen.alias("wlen"), sentpos.alias("sentpos"))
 
 
 def surprisal_per_doc(token_tbl: DataFrame, id_col: str, surp_col: str = "surp",

@@ -22,6 +22,7 @@ from ..operators.indexing import assign_folds
 from ..operators.metrics import cv_report, fold_scores
 from ..operators.prep import lookup_join
 from ..operators.surprisal import doc_surprisal_sums
+from ..session import materialised
 from . import fixtures as X
 
 DATA_ONLY, FULL = "Data-Only", "Full_Results"
@@ -29,7 +30,8 @@ DATA_ONLY, FULL = "Data-Only", "Full_Results"
 
 def modelling_table(t: X.Tables, k: int = 10, lmm_seconds: DataFrame | None = None) -> DataFrame:
     """Responses with numeric features, the article surprisal sum (J3) and
-    optionally the LMM article seconds (J4), plus the fold column (F1).
+    optionally the LMM article seconds (J4), plus the fold column (F1).  The rows are computed once, into a
+    written table; folds and models read that.
 
     ``num_words`` / ``surprisal`` are 0 when the article text is missing."""
     r = X.responses(t)
@@ -45,7 +47,7 @@ def modelling_table(t: X.Tables, k: int = 10, lmm_seconds: DataFrame | None = No
         r = lookup_join(r, lmm_seconds.withColumnRenamed("seconds", "lmm_seconds"), "survey_num",
                         "lmm_seconds", lookup_key="doc_id")
         cols.append(F.coalesce(F.col("lmm_seconds"), F.lit(0.0)).alias("lmm_seconds"))
-    return assign_folds(r.select(*cols), "response_id", k)
+    return assign_folds(materialised(r.select(*cols), "responses"), "response_id", k)
 
 
 def _preds(df: DataFrame, name: str, yhat) -> DataFrame:
@@ -53,8 +55,12 @@ def _preds(df: DataFrame, name: str, yhat) -> DataFrame:
                      "response_id", "y", yhat.alias("yhat"))
 
 
-def linear_predictions(tbl: DataFrame, name: str, x_cols: list[str]) -> DataFrame:
-    coefs = R.fit_ols_folds(tbl, x_cols, "y")
+#: Linear models on one column of the modelling table.
+ONE_FEATURE = {"lr-basic": ["x_words"], "lr-surp": ["x_surp"]}
+
+
+def linear_predictions(tbl: DataFrame, name: str, x_cols: list[str], coefs=None) -> DataFrame:
+    coefs = R.fit_ols_folds(tbl, x_cols, "y") if coefs is None else coefs
     scored = R.predict_linear_folds(tbl, coefs, x_cols)
     return _preds(scored, name, F.col("yhat"))
 
@@ -73,13 +79,13 @@ def data_only_predictions(tbl: DataFrame, models=("std", "lr-basic", "lr-surp"),
                           rf_trees: int = 100, rf_depth: int | None = None, knn_k: int = 5, mlp_epochs: int = 100,
                           seed: int = 42) -> DataFrame:
     parts = []
+    small = {m: ONE_FEATURE[m] for m in models if m in ONE_FEATURE}
+    fitted = R.fit_ols_models(tbl, small, "y") if small else {}
     for m in models:
         if m == "std":
             parts.append(_preds(tbl, m, F.col("x_words") / F.lit(4.0)))
-        elif m == "lr-basic":
-            parts.append(linear_predictions(tbl, m, ["x_words"]))
-        elif m == "lr-surp":
-            parts.append(linear_predictions(tbl, m, ["x_surp"]))
+        elif m in fitted:
+            parts.append(linear_predictions(tbl, m, small[m], fitted[m]))
         elif m == "lmm":
             parts.append(_preds(tbl, m, F.col("lmm_seconds")))
         elif m == "lr":

@@ -397,9 +397,7 @@ def lmm_seconds_frame(spark, sf):
     covariate sums (equal to summing the per-token predictions)."""
     from ..operators.mixedlm import doc_seconds_from_sums
     res = lmm_fit(spark, sf)
-    docs = _t(spark, sf).documents
-    sums = S.doc_token_sums(docs).join(S.doc_surprisal_sums(docs).withColumnRenamed("surprisal", "surp"), "doc_id")
-    return doc_seconds_from_sums(sums, res, "doc_id")
+    return doc_seconds_from_sums(S.doc_sums(_t(spark, sf).documents), res, "doc_id")
 
 
 @query("lmm_doc_seconds")
@@ -509,9 +507,7 @@ def lmm_seconds_given(spark, sf):
     import numpy as np
     res = MixedLMResult(names=["wlen", "sentpos", "surp"], fe=np.array(_GIVEN), scale=1.0, group_var=0.0, theta=0.0,
                         n_obs=0, n_groups=0, criterion=0.0)
-    docs = _t(spark, sf).documents
-    sums = S.doc_token_sums(docs).join(S.doc_surprisal_sums(docs).withColumnRenamed("surprisal", "surp"), "doc_id")
-    return doc_seconds_from_sums(sums, res, "doc_id")
+    return doc_seconds_from_sums(S.doc_sums(_t(spark, sf).documents), res, "doc_id")
 
 
 _GIVEN_SQL = ("SELECT d.doc_id, coalesce(sum({} + {} * wlen + {} * sentpos + {} * surp), 0) / 1000.0 AS seconds "
