@@ -17,6 +17,7 @@ _CONF = """SELECT CAST(count(*) AS BIGINT) AS n,
        CAST(count(*) FILTER (WHERE label = 0 AND pred = 1) AS DOUBLE) AS fp,
        CAST(count(*) FILTER (WHERE label = 1 AND pred = 0) AS DOUBLE) AS fn,
        CAST(count(*) FILTER (WHERE label = pred) AS DOUBLE) AS correct FROM binary_preds"""
+_OTHER = _CONF.replace("FROM binary_preds", "FROM (SELECT label, 1 - pred AS pred FROM binary_preds)")
 _F1 = "CASE WHEN 2 * tp + fp + fn > 0 THEN 2 * tp / (2 * tp + fp + fn) ELSE 0.0 END"
 
 
@@ -84,12 +85,17 @@ def q_spearman(spark, sf):
 
 
 def _task_metric_rows(spark, sf):
-    """Metrics of three task families on the fixture predictions, stacked."""
+    """Metrics of all ten tasks on the fixture predictions, stacked."""
     t = _t(spark, sf)
     parts = []
+    three = X.class_scores(t).select((F.col("label") % 3).alias("label"), (T.argmax("scores") % 3).alias("pred"))
+    other = X.binary_preds(t).withColumn("pred", 1 - F.col("pred"))
     for task, df, cols in (("cola", X.binary_preds(t), ["mcc"]),
                            ("mrpc", X.binary_preds(t), ["acc", "f1", "acc_and_f1"]),
                            ("sst-2", X.binary_preds(t), ["acc"]),
+                           ("qqp", other, ["acc", "f1", "acc_and_f1"]),
+                           ("mnli", three, ["acc"]), ("mnli-mm", three, ["acc"]),
+                           ("qnli", other, ["acc"]), ("rte", X.binary_preds(t), ["acc"]), ("wnli", other, ["acc"]),
                            ("sts-b", X.reg_preds(t).withColumnRenamed("y", "label")
                                                  .withColumnRenamed("yhat", "pred"),
                             ["pearson", "spearman", "corr", "mse"])):
@@ -104,6 +110,14 @@ UNION ALL SELECT 'mrpc', 'acc', correct / n FROM ({_CONF})
 UNION ALL SELECT 'mrpc', 'f1', {_F1} FROM ({_CONF})
 UNION ALL SELECT 'mrpc', 'acc_and_f1', (correct / n + {_F1}) / 2 FROM ({_CONF})
 UNION ALL SELECT 'sst-2', 'acc', correct / n FROM ({_CONF})
+UNION ALL SELECT 'qqp', 'acc', correct / n FROM ({_OTHER})
+UNION ALL SELECT 'qqp', 'f1', {_F1} FROM ({_OTHER})
+UNION ALL SELECT 'qqp', 'acc_and_f1', (correct / n + {_F1}) / 2 FROM ({_OTHER})
+UNION ALL SELECT 'qnli', 'acc', correct / n FROM ({_OTHER})
+UNION ALL SELECT 'rte', 'acc', correct / n FROM ({_CONF})
+UNION ALL SELECT 'wnli', 'acc', correct / n FROM ({_OTHER})
+UNION ALL SELECT m, 'acc', avg(CAST(label % 3 = (list_position(scores, list_max(scores)) - 1) % 3 AS DOUBLE))
+  FROM class_scores, (SELECT unnest(['mnli', 'mnli-mm']) AS m) GROUP BY m
 UNION ALL SELECT 'sts-b', 'pearson', corr(y, yhat) FROM reg_preds
 UNION ALL SELECT 'sts-b', 'spearman', corr(ry, rp) FROM ({_RANKS})
 UNION ALL SELECT 'sts-b', 'corr', (corr(y, yhat) + corr(ry, rp)) / 2 FROM ({_RANKS})
@@ -111,14 +125,14 @@ UNION ALL SELECT 'sts-b', 'mse', avg((yhat - y) * (yhat - y)) FROM reg_preds"""
 
 
 @query("metrics_by_task", with_views(
-    f"SELECT task, metric, round(value, 6) AS value FROM ({_TASK_SQL})", "binary_preds", "reg_preds"))
+    f"SELECT task, metric, round(value, 6) AS value FROM ({_TASK_SQL})", "binary_preds", "reg_preds", "class_scores"))
 def q_metrics_by_task(spark, sf):
     return _task_metric_rows(spark, sf).select("task", "metric", r6("value").alias("value"))
 
 
 @query("metrics_report", with_views(
     f"SELECT metric, metric || ' = ' || printf('%.6f', value) AS line FROM ({_TASK_SQL}) WHERE task = 'sts-b'",
-    "binary_preds", "reg_preds"))
+    "binary_preds", "reg_preds", "class_scores"))
 def q_metrics_report(spark, sf):
     """K5: the sts-b metrics written as sorted ``key = value`` lines and read back."""
     from ..session import scratch_path

@@ -36,16 +36,16 @@ def _parse_sql(set_type: str = "train") -> str:
 
 
 def _parsed(spark, sf):
-    """Write the ten task files (one text file per task), read them back as raw
-    lines (S4) and parse each with its layout (E1)."""
+    """Write the ten task tables in ordered range parts (no task holds a whole table), read them
+    back as raw lines (S4) and parse each with its layout (E1)."""
     from ..session import scratch_path
     from ..sources import read_raw_lines
     t = _t(spark, sf)
     path = scratch_path(spark, "task-tsv")
     lines = X.all_task_lines(t)
-    (lines.repartition("task").sortWithinPartitions("task", "line_no")
+    (lines.repartitionByRange("task", "line_no").sortWithinPartitions("task", "line_no")
           .select("task", "line").write.partitionBy("task").text(path))
-    parts = [EN.parse_examples(read_raw_lines(spark, f"{path}/task={k}"), k).withColumn("task", F.lit(k))
+    parts = [EN.parse_examples(read_raw_lines(spark, f"{path}/task={k}", one_table=True), k).withColumn("task", F.lit(k))
              for k in EN.LAYOUTS]
     return reduce(lambda a, b: a.unionByName(b), parts)
 
@@ -80,6 +80,20 @@ def q_label_map(spark, sf):
     return reduce(lambda a, b: a.unionByName(b), parts).select("task", "line_no", "label_id", "label_value")
 
 
+def _swapped_sql() -> str:
+    lst = "['contradiction', 'neutral', 'entailment']"
+    return f"""SELECT task, line_no, CAST(coalesce(list_position({lst}, label), 0) - 1 AS BIGINT) AS label_id
+FROM parsed WHERE task IN ('mnli', 'mnli-mm')"""
+
+
+@query("label_map_swapped", _lines_cte() + ", parsed AS (" + _parse_sql() + ")\n" + _swapped_sql())
+def q_label_map_swapped(spark, sf):
+    """E5 for the model family whose last two classes are the other way round."""
+    p = _parsed(spark, sf)
+    parts = [EN.map_labels(p.where(F.col("task") == k), k, "roberta") for k in ("mnli", "mnli-mm")]
+    return reduce(lambda a, b: a.unionByName(b), parts).select("task", "line_no", "label_id")
+
+
 # ---------------------------------------------------------------- truncation and encoding
 @query("truncate_pair", with_views(f"""
 SELECT conv_id, turn, la AS len_a, lb AS len_b,
@@ -149,7 +163,7 @@ SELECT {k}, array_to_string({ids}, ' ') AS input_ids, array_to_string({msk}, ' '
        array_to_string({seg}, ' ') AS segment_ids FROM t4"""
 
 
-def _encode_spark(df, keys, a, b, preset):
+def _encode_arrays(df, keys, a, b, preset):
     key = F.concat_ws("\u0001", *[F.col(c).cast("string") for c in keys]).alias("_key")
     ex = df.select(*keys, key, F.col(a).alias("ta"),
                    (F.when(F.col(b).isNull() | (F.col(b) == ""), F.lit(None)).otherwise(F.col(b))
@@ -157,7 +171,11 @@ def _encode_spark(df, keys, a, b, preset):
     vocab = EN.build_vocabulary(ex, ["ta", "tb"])
     ids = EN.token_ids(ex, "_key", ["ta", "tb"], vocab, max_positions=MAX_LEN)
     enc = EN.encode(ids, MAX_LEN, preset, "ids_ta", "ids_tb", "len_ta", "len_tb")
-    enc = ex.select(*keys, "_key").join(enc.select("_key", "input_ids", "input_mask", "segment_ids"), "_key")
+    return ex.select(*keys, "_key").join(enc.select("_key", "input_ids", "input_mask", "segment_ids"), "_key")
+
+
+def _encode_spark(df, keys, a, b, preset):
+    enc = _encode_arrays(df, keys, a, b, preset)
     return enc.select(*keys, *[F.array_join(c, " ").alias(c) for c in ("input_ids", "input_mask", "segment_ids")])
 
 
@@ -181,3 +199,33 @@ def q_encode_pair(spark, sf):
                                                EN.PRESETS["xlnet"])))
 def q_encode_left_pad(spark, sf):
     return _encode_spark(X.pairs(_t(spark, sf)), ["conv_id", "turn"], "text_a", "text_b", EN.PRESETS["xlnet"])
+
+
+def _eval_sql() -> str:
+    enc = _with_pairs(_enc_sql("pairs", ["conv_id", "turn"], "text_a", "text_b", EN.PRESETS["default"]))
+    out = ", ".join(f"""list_sum(list_transform(list_zip(string_split(input_ids, ' '), string_split(input_mask, ' ')),
+        lambda x: ((x[1]::BIGINT * {3 + 2 * c} + {7 * c}) % 11) * x[2]::BIGINT)) / 50.0::DOUBLE""" for c in (0, 1))
+    return f"""WITH e AS ({enc}),
+s AS (SELECT (conv_id + turn) % 2 AS label, row_number() OVER (ORDER BY conv_id, turn) - 1 AS i, [{out}] AS s FROM e),
+p AS (SELECT i, label, CASE WHEN s[2] > s[1] THEN 1 ELSE 0 END AS pred,
+             ln(exp(s[1] - greatest(s[1], s[2])) + exp(s[2] - greatest(s[1], s[2]))) + greatest(s[1], s[2]) - s[label + 1] AS loss FROM s),
+c AS (SELECT count(*)::DOUBLE AS n, count(*) FILTER (label = pred)::DOUBLE AS good, 2 * count(*) FILTER (label = 1 AND pred = 1)::DOUBLE AS two,
+             (count(*) FILTER (label = 1) + count(*) FILTER (pred = 1))::DOUBLE AS either FROM p),
+m AS (SELECT 'acc' AS metric, good / n AS value FROM c UNION ALL SELECT 'f1', CASE WHEN either > 0 THEN two / either ELSE 0 END FROM c
+      UNION ALL SELECT 'acc_and_f1', (good / n + CASE WHEN either > 0 THEN two / either ELSE 0 END) / 2 FROM c
+      UNION ALL SELECT 'eval_loss', avg(l) FROM (SELECT avg(loss) AS l FROM p GROUP BY i // 8))
+SELECT metric, metric || ' = ' || printf('%.6f', value) AS line FROM m"""
+
+
+@query("evaluate_model", _eval_sql())
+def q_evaluate_model(spark, sf):
+    """C7 whole: pairs encoded (E2), scored by a model in Arrow batches, largest output, task metrics (C5) and
+    batch loss (G8), written as a report (K5) and read back."""
+    from ..operators import evaluate as EV
+    from ..session import scratch_path
+    from ..sources import write_metrics_report
+    enc = _encode_arrays(X.pairs(_t(spark, sf)), ["conv_id", "turn"], "text_a", "text_b", EN.PRESETS["default"])
+    enc = enc.select(F.struct("conv_id", "turn").alias("at"), ((F.col("conv_id") + F.col("turn")) % 2).alias("label"), *EV.INPUTS)
+    path = scratch_path(spark, "eval-model")
+    write_metrics_report(EV.evaluate(enc, EV.hashed_linear_model, "mrpc", "at"), path)
+    return spark.read.text(path).select(F.split("value", " = ").getItem(0).alias("metric"), F.col("value").alias("line"))

@@ -353,6 +353,19 @@ def q_rebuild_story(spark, sf):
     return A.rebuild_story(X.stories(_t(spark, sf)))
 
 
+@query("story_files", with_views(f"""
+SELECT item, v.variant, md5(CASE WHEN v.variant = 'raw' THEN text ELSE array_to_string(regexp_extract_all(text, '{TOK}'), ' ') END) AS text_md5
+FROM (SELECT item, string_agg(word, ' ' ORDER BY zone) AS text FROM stories GROUP BY item), (VALUES ('raw'), ('tok')) v(variant)""", "stories"))
+def q_story_files(spark, sf):
+    """T2 -> K2: stories rebuilt from their word rows, written raw and tokenised, and read back."""
+    from ..operators import align as A
+    from ..session import scratch_path
+    from ..sources import write_split_text
+    path = scratch_path(spark, "stories")
+    write_split_text(A.story_texts(X.stories(_t(spark, sf))), path, id_col="item")
+    return spark.read.parquet(path).select("item", "variant", F.md5("text").alias("text_md5"))
+
+
 def lmm_fit(spark, sf):
     """A2 -> A3: fit RT ~ wlen + sentpos + surp with a random intercept per word."""
     from ..operators import align as A

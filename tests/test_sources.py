@@ -92,3 +92,22 @@ def test_token_table_two_level_sentpos_matches(spark):
     a = {(r.doc_id, r.tok_pos): r.sentpos for r in S.token_table(toks, "doc_id").collect()}
     b = {(r.doc_id, r.tok_pos): r.sentpos for r in S.token_table(toks, "doc_id", block=3).collect()}
     assert a == b and a[(1, 1)] == 1 and a[(1, 4)] == 1
+
+
+def test_lines_numbered_over_the_parts_of_a_table(spark, tmp_path):
+    df = spark.range(500).selectExpr("concat('line ', id) as value", "id")
+    df.repartitionByRange(7, "id").sortWithinPartitions("id").select("value").write.text(str(tmp_path / "t"))
+    got = {r.line_no: r.line for r in read_raw_lines(spark, str(tmp_path / "t"), one_table=True).collect()}
+    assert got == {i: f"line {i}" for i in range(500)}
+
+
+def test_article_sums_in_one_pass(spark):
+    from lectio.operators import surprisal as S
+    docs = spark.createDataFrame([(1, "A b. C d e! F"), (2, ""), (3, "x. y, x x"), (4, None)], "doc_id long, text string")
+    a = {r.doc_id: r for r in S.doc_token_sums(docs).collect()}
+    s = {r.doc_id: r.surprisal for r in S.doc_surprisal_sums(docs).collect()}
+    got = {r.doc_id: r for r in S.doc_sums(docs).collect()}
+    assert got.keys() == {1, 2, 3, 4}
+    for i in (1, 2, 3):
+        assert (got[i].n_tokens, got[i].wlen, got[i].sentpos) == (a[i].n_tokens, a[i].wlen, a[i].sentpos) and abs(got[i].surp - s[i]) < 1e-9
+    assert got[4].n_tokens == 0 and got[4].surp == 0.0
