@@ -129,10 +129,11 @@ def nearest(vectors: DataFrame, is_query: Column, *, id_col: str = "vec_id", vec
     rows = written(rows, "vectors")
     # the k + 1 smallest ids of each different vector: limited in each task before the shuffle
     ranked = rows.withColumn("r", F.row_number().over(Window.partitionBy("key").orderBy("id"))).where(F.col("r") <= k + 1)
-    items = written(ranked.groupBy("key").agg(F.first("vec").alias("vec"), F.sort_array(F.collect_set("id")).alias("ids"))
-                    .withColumn("dim", F.size("vec")), "vector-items")
+    items = ranked.groupBy("key").agg(F.first("vec").alias("vec"), F.sort_array(F.collect_set("id")).alias("ids")).withColumn("dim", F.size("vec"))
+    # half a band further on, so that unit vectors, a little longer or shorter by rounding, share one
+    items = items.withColumn("length", _length("vec")).withColumn("band", F.floor(F.log("length") / np.log(BAND) + 0.5))
+    items = written(items, "vector-items")
     asked = rows.where("asks").select("key").distinct()
-    items = items.withColumn("length", _length("vec")).withColumn("band", F.floor(F.log("length") / np.log(BAND)))
     bands = sorted(items.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.max("length").alias("most")).collect(), key=lambda r: -r["band"])
     n, first, seen = sum(r["n"] for r in bands), [], 0
     while len(first) < len(bands) and (not first or seen < FIRST * n):
