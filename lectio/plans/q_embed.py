@@ -83,10 +83,33 @@ def q_embed_hashing(spark, sf):
 @query("embed_word2vec")
 def q_embed_word2vec(spark, sf):
     d = _t(spark, sf).documents.select("doc_id", "text")
-    model = EM.fit_word2vec(d, "text", width=32, max_iter=1)
+    model = EM.fit_word2vec(d, "text", width=32)
     return EM.embed_word2vec(d, model, "text").select("doc_id", "embedding")
 
 
+@query("embed_word2vec_folds", with_views(f"""
+WITH f AS (SELECT doc_id, CAST(ntile(5) OVER (ORDER BY doc_id) - 1 AS BIGINT) AS fold,
+                  list_transform(regexp_extract_all(text, '{TOK}'), lambda w: lower(w)) AS toks FROM documents),
+t AS (SELECT doc_id, fold, unnest(toks) AS w FROM f),
+k AS (SELECT w, min(fold) AS lo, max(fold) AS hi FROM t GROUP BY w)
+SELECT f.doc_id, f.fold, CAST(len(f.toks) AS BIGINT) AS n_tokens, CAST(count(k.w) FILTER (lo <> f.fold OR hi <> f.fold) AS BIGINT) AS n_known,
+       count(k.w) FILTER (lo <> f.fold OR hi <> f.fold) > 0 AS has_vector
+FROM f LEFT JOIN t ON t.doc_id = f.doc_id LEFT JOIN k ON k.w = t.w GROUP BY f.doc_id, f.fold, len(f.toks)"""))
+def q_embed_word2vec_folds(spark, sf):
+    """D2 fitted inside the training folds: every article embedded by word vectors learned without its fold; how many
+    of its tokens those know, and whether it has a vector at all."""
+    from ..functions import text as T
+    from ..operators.indexing import assign_folds
+    d = assign_folds(_t(spark, sf).documents.select("doc_id", "text"), "doc_id", 5)
+    models = EM.fold_models(d, "fold", lambda rows: EM.fit_word2vec(rows, "text", width=32))
+    vecs = EM.embed_out_of_fold(d, "fold", models, lambda rows, m: EM.embed_word2vec(rows, m, "text"))
+    words = reduce(lambda a, b: a.unionByName(b), [m.getVectors().select(F.lit(f).cast("long").alias("fold"), F.col("word").alias("w")) for f, m in models.items()])
+    toks = d.select("doc_id", "fold", F.explode(F.transform(T.tokens("text"), lambda w: F.lower(w))).alias("w"))
+    known = toks.groupBy("doc_id", "fold", "w").count().join(words, ["fold", "w"]).groupBy("doc_id").agg(F.sum("count").alias("n_known"))
+    out = vecs.select("doc_id", "fold", F.size(T.tokens("text")).cast("long").alias("n_tokens"), F.exists("embedding", lambda x: x != 0).alias("has_vector"))
+    return out.join(known, "doc_id", "left").withColumn("n_known", F.coalesce("n_known", F.lit(0)))
+
+
 @query("data_checks", with_views(f"""
 SELECT 'responses_without_text' AS rule, CAST(count(*) FILTER (WHERE num_words IS NULL) AS BIGINT) AS violations
   FROM responses
