@@ -54,28 +54,3 @@ def spans(sizes, limit: int = CHUNK_BYTES) -> Iterator[tuple[int, int]]:
         total += n
     if start < len(sizes):
         yield start, len(sizes)
-
-
-#: A key is hot when it holds more than this share of the rows; fewer than 1/share keys can be.
-HOT_SHARE = 1 / 50_000
-
-
-def join_by_key(rows: DataFrame, lookup: DataFrame, keys: list[str], count_col: str, total: int) -> DataFrame:
-    """Left join of ``rows`` with ``lookup`` (one row per key, ``count_col`` = how many of the
-    ``total`` rows hold it; all its columns are added, null where there is none).  Hot keys
-    are broadcast, at most 50,000 of them; only rows of other keys are shuffled by key, hot
-    rows are spread by their content, so no key's rows meet in one task.  Null keys match nothing."""
-    names = [c for c in lookup.columns if c not in keys]
-    limit = F.lit(int(total * HOT_SHARE))
-    packed = lookup.select(*keys, F.struct(*names).alias("_v"), F.col(count_col).alias("_n"))
-    hot = packed.where(F.col("_n") > limit).drop("_n").withColumnRenamed("_v", "_hot")
-    cold = packed.where(F.col("_n") <= limit).drop("_n").withColumnRenamed("_v", "_cold").withColumn("_spread", F.lit(-1))
-    got = rows.join(F.broadcast(hot), keys, "left")
-    away = F.shiftrightunsigned(F.xxhash64(*[F.col(c) for c in rows.columns]), 33).cast("int")
-    apart = F.col("_hot").isNotNull()
-    for k in keys:
-        apart = apart | F.col(k).isNull()
-    got = got.withColumn("_spread", F.when(apart, away).otherwise(F.lit(-1)))
-    got = got.join(cold, [*keys, "_spread"], "left")
-    both = F.coalesce("_hot", "_cold")
-    return got.select(*rows.columns, *[both[c].alias(c) for c in names])

@@ -38,7 +38,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.indexing import with_row_index
-from .common import join_by_key, written
+from ..operators.prep import join_by_key
+from .common import written
 
 NAME, TOKEN = 16, 24
 #: Turns of a conversation in one row.

@@ -33,8 +33,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import datasource as D
 from pyspark.sql import functions as F
 
+from ..operators.prep import join_by_key
 from ..session import scratch_path
-from .common import join_by_key, small_batches, written
+from .common import small_batches, written
 
 VERSION = b"WARC/1.1"
 END = b"\r\n\r\n"

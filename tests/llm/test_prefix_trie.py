@@ -8,8 +8,8 @@ from collections import defaultdict
 import pytest
 from pyspark.sql import functions as F
 
-from lectio.llm.common import join_by_key
 from lectio.llm.prefix_trie import conversation_trie, node_turns, ordered_turns, share_heads, trie
+from lectio.operators.prep import join_by_key
 
 SCHEMA = "conv_id long, turn long, role string, text string"
 
