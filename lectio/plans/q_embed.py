@@ -146,6 +146,20 @@ def q_data_checks(spark, sf):
     return reduce(lambda a, b: a.unionByName(b), checks)
 
 
+def _split_sql(seed: int) -> str:
+    return f"""SELECT {seed} AS seed, survey_num, CASE WHEN r <= n_test THEN 'test' WHEN r <= n_hold THEN 'dev' ELSE 'train' END AS split
+FROM (SELECT survey_num, row_number() OVER (ORDER BY md5('{seed}|' || CAST(survey_num AS VARCHAR)), survey_num) AS r,
+             CAST(ceil(0.3 * count(*) OVER ()) AS BIGINT) AS n_hold, CAST(ceil(ceil(0.3 * count(*) OVER ()) / 2) AS BIGINT) AS n_test FROM texts)"""
+
+
+@query("seeded_splits", with_views(_split_sql(1) + " UNION ALL " + _split_sql(2), "texts"))
+def q_seeded_splits(spark, sf):
+    """two seeds give two splits, each the same on every run."""
+    x = X.texts(_t(spark, sf)).select("survey_num")
+    return reduce(lambda a, b: a.unionByName(b), [
+        train_dev_test_split(x, "survey_num", 0.3, seed).select(F.lit(seed).alias("seed"), "survey_num", "split") for seed in (1, 2)])
+
+
 @query("train_dev_test_split", """
 SELECT survey_num, CASE WHEN r < CAST(ceil(0.3 * n) AS BIGINT) - CAST(floor(CAST(ceil(0.3 * n) AS BIGINT) / 2) AS BIGINT)
                         THEN 'test'
