@@ -1,9 +1,9 @@
 """Chat formatting by schema fingerprints, in DataFrame operations only.
 
 Records are JSON objects of several layouts.  A record's fingerprint is the hash of the
-nested field paths it has, among all paths that some layout names; it selects a layout,
-and the layout says declaratively where turns, roles and texts lie.  Records made from a
-table's rows are structs: their schema has the fingerprint, and no text passes through
+nested field paths it has, among all paths that some layout names; it selects a layout from one
+table of fingerprints, and the layout says declaratively where turns, roles and texts lie.  Records made from a
+table's rows are structs: the paths of their schema are hashed, and no text passes through
 JSON, whose parser takes texts up to 20,000,000 characters.  All layouts give the
 same canonical turns ``array<struct<role, text>>``, which a template turns into one string:
 
@@ -109,27 +109,33 @@ def canonical(records: DataFrame, record_col: str = "record", layouts=tuple(LAYO
     if isinstance(kind, StructType):
         known = {p for x in layouts for p in x.paths()}
         own = sorted(known.intersection(_schema_paths(kind)))
-        fit = next((x for x in layouts if sorted(x.paths()) == own), None)
-        there, record = F.col(record_col).isNotNull(), F.col(record_col)
-
-        def field_of(c: Column, path: str, as_type: str) -> Column:
-            for name in path[2:].split("."):
-                c = c.getField(name)
-            if as_type == "string":
-                return c.cast(as_type)
-            named = [(fit.order, "bigint")] * bool(fit.order) + [(fit.role, "string"), (fit.text, "string")]
-            return F.transform(c, lambda i: F.struct(*[i[n].cast(t).alias(n) for n, t in named]))
-        return (records.withColumn("layout", F.when(there, F.lit(fit.name if fit else None)).cast("string"))
-                .withColumn("turns", F.when(there, _turns(record, fit, field_of) if fit else F.lit(None)).cast(TURNS)))
+        record = F.col(record_col)
+        df = records.withColumn("_fp", F.when(record.isNotNull(), _hash_of(own)))
+
+        def turns_of(x: Layout) -> Column:
+            def field_of(c: Column, path: str, as_type: str) -> Column:
+                for name in path[2:].split("."):
+                    c = c.getField(name)
+                if as_type == "string":
+                    return c.cast(as_type)
+                named = [(x.order, "bigint")] * bool(x.order) + [(x.role, "string"), (x.text, "string")]
+                return F.transform(c, lambda i: F.struct(*[i[n].cast(t).alias(n) for n, t in named]))
+            return _turns(record, x, field_of)
+        return _mapped(df, [x for x in layouts if set(x.paths()) <= set(own)], turns_of)
     parsed = F.try_parse_json(record_col)
     v = F.when(parsed.isNull() & (F.length(record_col) > JSON_TEXT), F.raise_error(
         F.lit(f"a record of over {JSON_TEXT} characters does not parse; it is broken or beyond the limits of the JSON parser")).cast("variant")).otherwise(parsed)
     df = records.withColumn("_v", v).withColumn("_fp", fingerprint(F.col("_v"), layouts))
+    return _mapped(df, layouts, lambda x: _turns(F.col("_v"), x)).drop("_v")
+
+
+def _mapped(df: DataFrame, layouts, turns_of) -> DataFrame:
+    """``layout`` and ``turns`` of the layout whose paths have the row's fingerprint ``_fp``."""
     name, turns = F.lit(None).cast("string"), F.lit(None).cast(TURNS)
     for x in reversed(layouts):
         here = F.col("_fp") == _hash_of(x.paths())
-        name, turns = F.when(here, F.lit(x.name)).otherwise(name), F.when(here, _turns(F.col("_v"), x)).otherwise(turns)
-    return df.withColumn("layout", name).withColumn("turns", turns).drop("_v", "_fp")
+        name, turns = F.when(here, F.lit(x.name)).otherwise(name), F.when(here, turns_of(x)).otherwise(turns)
+    return df.withColumn("layout", name).withColumn("turns", turns).drop("_fp")
 
 
 def escape(c: Column) -> Column:
