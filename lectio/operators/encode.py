@@ -121,9 +121,9 @@ def build_vocabulary(texts: DataFrame, cols: list[str]) -> DataFrame:
 
 
 def token_ids(examples: DataFrame, key: str, cols: list[str], vocab: DataFrame,
-              max_positions: int | None = None) -> DataFrame:
-    """(key, ids_<col>, len_<col> ...): each text's token ids in order (unknown
-    -> UNK) and its full token count.  With ``max_positions`` only the first
+              max_positions: int | None = None, carry: tuple[str, ...] = ()) -> DataFrame:
+    """(key, the columns of ``carry``, ids_<col>, len_<col> ...): each text's token ids in order (unknown
+    -> UNK) and its full token count; counts are taken before the join, so no text is shuffled.  With ``max_positions`` only the first
     positions, the only ones an encoding of that length can keep, are looked
     up, so a 20,000-token text costs ``max_positions`` joined rows; the count
     still covers the whole text."""
@@ -139,12 +139,10 @@ def token_ids(examples: DataFrame, key: str, cols: list[str], vocab: DataFrame,
         pieces = F.array_sort(F.collect_list(F.when(F.col("_seg") == i, F.struct("_pos", "token_id"))))
         aggs.append(F.transform(pieces, lambda s: s["token_id"]).alias(f"ids_{c}"))
     grouped = j.groupBy(key).agg(*aggs)
-    out = examples.select(key, *cols).join(grouped, key, "left")
+    absent = {c: F.col(c).isNull() | (F.col(c) == "") for c in cols}
+    out = examples.select(key, *carry, *[F.when(~absent[c], F.size(T.tokens(c))).alias(f"len_{c}") for c in cols]).join(grouped, key, "left")
     for c in cols:
-        absent = F.col(c).isNull() | (F.col(c) == "")
-        out = (out.withColumn(f"ids_{c}", F.when(absent, F.lit(None))
-                              .otherwise(F.coalesce(F.col(f"ids_{c}"), F.array().cast("array<long>"))))
-                  .withColumn(f"len_{c}", F.when(absent, F.lit(None)).otherwise(F.size(T.tokens(c)))))
+        out = out.withColumn(f"ids_{c}", F.when(F.col(f"len_{c}").isNotNull(), F.coalesce(F.col(f"ids_{c}"), F.array().cast("array<long>"))))
     return out
 
 

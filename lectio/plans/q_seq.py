@@ -169,9 +169,8 @@ def _encode_arrays(df, keys, a, b, preset):
                    (F.when(F.col(b).isNull() | (F.col(b) == ""), F.lit(None)).otherwise(F.col(b))
                     if b else F.lit(None).cast("string")).alias("tb"))
     vocab = EN.build_vocabulary(ex, ["ta", "tb"])
-    ids = EN.token_ids(ex, "_key", ["ta", "tb"], vocab, max_positions=MAX_LEN)
-    enc = EN.encode(ids, MAX_LEN, preset, "ids_ta", "ids_tb", "len_ta", "len_tb")
-    return ex.select(*keys, "_key").join(enc.select("_key", "input_ids", "input_mask", "segment_ids"), "_key")
+    ids = EN.token_ids(ex, "_key", ["ta", "tb"], vocab, max_positions=MAX_LEN, carry=tuple(keys))
+    return EN.encode(ids, MAX_LEN, preset, "ids_ta", "ids_tb", "len_ta", "len_tb")
 
 
 def _encode_spark(df, keys, a, b, preset):
