@@ -113,12 +113,6 @@ def usable(vec: Column) -> Column:
     return vec.isNotNull() & (F.size(vec) > 0) & F.coalesce(ok, F.lit(False)) & F.exists(vec, lambda x: x != 0)
 
 
-def _length(vec: str) -> Column:
-    """Euclidean length, without overflow on the way."""
-    most = F.array_max(F.transform(vec, lambda x: F.abs(x)))
-    return most * F.sqrt(F.aggregate(vec, F.lit(0.0), lambda a, x: a + (x / most) * (x / most)))
-
-
 def nearest(vectors: DataFrame, is_query: Column, *, id_col: str = "vec_id", vec_col: str = "embedding", k: int = 20,
             projections: int = 65, threshold: float = 0.76, width: float = 2.4, grow: float = 1.1, share: float = 0.2,
             seed: int = 5) -> DataFrame:
@@ -131,7 +125,10 @@ def nearest(vectors: DataFrame, is_query: Column, *, id_col: str = "vec_id", vec
     ranked = rows.withColumn("r", F.row_number().over(Window.partitionBy("key").orderBy("id"))).where(F.col("r") <= k + 1)
     items = ranked.groupBy("key").agg(F.first("vec").alias("vec"), F.sort_array(F.collect_set("id")).alias("ids")).withColumn("dim", F.size("vec"))
     # half a band further on, so that unit vectors, a little longer or shorter by rounding, share one
-    items = items.withColumn("length", _length("vec")).withColumn("band", F.floor(F.log("length") / np.log(BAND) + 0.5))
+    # the greatest component is a column of its own: it scales the squares against overflow, and is taken once a vector
+    items = items.withColumn("top", F.array_max(F.transform("vec", lambda x: F.abs(x))))
+    squares = F.aggregate("vec", F.lit(0.0), lambda a, x: a + (x / F.col("top")) * (x / F.col("top")))
+    items = items.withColumn("length", F.col("top") * F.sqrt(squares)).drop("top").withColumn("band", F.floor(F.log("length") / np.log(BAND) + 0.5))
     items = written(items, "vector-items")
     asked = rows.where("asks").select("key").distinct()
     bands = sorted(items.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.max("length").alias("most")).collect(), key=lambda r: -r["band"])
