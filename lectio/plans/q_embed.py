@@ -191,15 +191,15 @@ def q_sink_json_map(spark, sf):
     "SELECT doc_id, round(sum(surp), 6) AS surprisal, CAST(count(*) AS BIGINT) AS n_tokens FROM tt GROUP BY 1",
     extra=_TOKENS_CTE))
 def q_stream_surprisal(spark, sf):
-    """G1 as a streaming job: token tables land per document, a file-source
-    stream sums them per micro-batch, totals are read back."""
+    """G1 as a streaming job: token tables land in bucket folders, a file-source
+    stream sums them per document and micro-batch, totals are read back."""
     from ..operators import surprisal as S
     from ..session import scratch_path
-    from ..sources import write_token_outputs
+    from ..sources import write_token_buckets
     from ..streaming import start_surprisal_stream, stream_totals
     src, out, ck = (scratch_path(spark, n) for n in ("stream-in", "stream-out", "stream-ck"))
-    write_token_outputs(S.token_surprisal(_t(spark, sf).documents), src, "doc_id")
-    q = start_surprisal_stream(spark, src, out, ck, glob="*.csv", key_pattern=r"/doc=([^/]+)/")
+    write_token_buckets(S.token_surprisal(_t(spark, sf).documents), src, "doc_id")
+    q = start_surprisal_stream(spark, src, out, ck, glob="*.csv", key_col="doc_id")
     q.awaitTermination()
     tot = stream_totals(spark, out)
     return tot.select(F.col("doc_key").cast("long").alias("doc_id"), r6("surprisal").alias("surprisal"),

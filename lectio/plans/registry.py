@@ -468,6 +468,20 @@ def q_scan_token_dir(spark, sf):
                 .agg(F.round(F.sum("surp"), 6).alias("surprisal"), F.count(F.lit(1)).alias("n_tokens")))
 
 
+@query("scan_token_buckets", with_views(
+    "SELECT doc_id, round(sum(surp), 6) AS surprisal, CAST(count(*) AS BIGINT) AS n_tokens FROM tt GROUP BY 1",
+    extra=_TOKENS_CTE))
+def q_scan_token_buckets(spark, sf):
+    """S3 + G1 on the bucketed layout: token tables written by hash bucket of the key with a manifest, read
+    back by header name and summed per document."""
+    from ..session import scratch_path
+    from ..sources import read_token_buckets, write_token_buckets
+    path = scratch_path(spark, "token-buckets")
+    write_token_buckets(S.token_surprisal(_t(spark, sf).documents), path, "doc_id", bucket_rows=50_000)
+    back = read_token_buckets(spark, path, "doc_id long, surp double")
+    return back.groupBy("doc_id").agg(F.round(F.sum("surp"), 6).alias("surprisal"), F.count(F.lit(1)).alias("n_tokens"))
+
+
 @query("scan_json_map", with_views(
     "SELECT doc_id, round(sum(surp), 6) AS surprisal FROM tt GROUP BY 1", extra=_TOKENS_CTE))
 def q_scan_json_map(spark, sf):
