@@ -12,3 +12,13 @@ def test_stories_are_shuffled_before_they_are_listed(spark):
     out = A.story_texts(words)
     assert sorted(map(tuple, out.collect()), key=str) == [(1, "a b"), (2, "c"), (None, "n")]
     assert "REPARTITION_BY_COL" in _plan(out)
+
+
+def test_story_files_rebuild_the_texts_once(spark, monkeypatch):
+    from lectio import session
+    from lectio.plans.registry import QUERIES
+    from conftest import SF
+    names, plain = [], session.materialised
+    monkeypatch.setattr(session, "materialised", lambda df, name: names.append(name) or plain(df, name))
+    assert QUERIES["story_files"](spark, SF).select("variant").distinct().count() == 2
+    assert names == ["story-texts"]
