@@ -43,3 +43,17 @@ def test_token_buckets_are_compressed_and_large_documents_are_written_by_several
     assert len(_files(path, ".csv.gz")) > 2 and not _files(path, ".csv")
     assert _same(read_token_buckets(spark, path, "doc_id long, tok_pos long, word string, surp double"), rows)
     assert [(r.n_buckets, r.n_keys, r.n_rows) for r in spark.read.parquet(f"{path}/_manifest").collect()] == [(1, 2, 30_000)]
+
+
+def test_wide_token_tables_are_written_where_they_lie(spark, tmp_path, monkeypatch):
+    from lectio import session
+    from lectio.operators.surprisal import token_surprisal
+    from lectio.plans.registry import QUERIES
+    docs = spark.createDataFrame([(i, "One two. Three, four five! " * 40) for i in range(20)] + [(20, ""), (21, None)], "doc_id long, text string")
+    docs.coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    monkeypatch.setattr(session, "scratch_path", lambda spark, name: str(tmp_path / name))
+    got = QUERIES["scan_token_wide"](spark, str(tmp_path))
+    want = token_surprisal(docs).select("doc_id", "word", "sentpos", "wlen", F.round("surp", 6).alias("surp"))
+    assert _same(got, want)
+    files = _files(tmp_path / "token-wide", ".csv.gz")
+    assert files and not _files(tmp_path / "token-wide", ".csv") and sum(map(os.path.getsize, files)) < 20 * 40 * 8 * 8          # of some 35 characters a token
