@@ -4,7 +4,8 @@ import os
 
 from pyspark.sql import functions as F
 
-from lectio.operators.indexing import unzipped, zipped_runs
+from lectio.operators import align, indexing, mixedlm
+from lectio.operators.indexing import even_parts, unzipped, zipped_parts
 
 
 def _files(path, suffix):
@@ -20,17 +21,47 @@ def _tokens(spark, n_docs=6, n=400):
     return spark.createDataFrame(rows, "doc_id long, tok_pos long, word string, wlen long, surp double").coalesce(1)
 
 
-def test_zipped_runs_come_back_row_by_row(spark):
+def test_zipped_parts_come_back_row_by_row(spark, monkeypatch):
     rows = _tokens(spark)
-    zipped = zipped_runs(rows, ["doc_id"], "tok_pos")
-    assert zipped.count() < 20                                          # a run a document, not a row a token
-    assert _same(unzipped(zipped, ["doc_id"], "tok_pos"), rows)
-    apart = rows.orderBy("tok_pos")                                     # no two rows of a document together
-    assert _same(unzipped(zipped_runs(apart, ["doc_id"], "tok_pos").repartition(3), ["doc_id"], "tok_pos"), apart)
-    odd = rows.withColumn("tok_pos", F.when(F.col("tok_pos") != 30, F.col("tok_pos")))
-    assert _same(unzipped(zipped_runs(odd, ["doc_id"], "tok_pos"), ["doc_id"], "tok_pos"), odd)
-    named = rows.withColumn("tok_pos", F.col("tok_pos").cast("string"))
-    assert _same(unzipped(zipped_runs(named, ["doc_id"], "tok_pos"), ["doc_id"], "tok_pos"), named)
+    for limit in (500_000, 700):
+        monkeypatch.setattr(indexing, "ZIP_ROWS", limit)
+        zipped = zipped_parts(rows.withColumn("to", (F.col("tok_pos") % 3).cast("int")), "to", ["doc_id", "tok_pos"])
+        assert zipped.count() <= 12                                     # a row a part of a task's stretch, not a row a token
+        assert _same(unzipped(zipped.repartition(3, "part"), rows.schema, "tok_pos"), rows)
+    odd = rows.select("word", "surp", F.when(F.col("tok_pos") != 30, -F.col("tok_pos")).cast("short").alias("p"), F.col("doc_id").cast("string"))
+    for place in ("p", "doc_id"):
+        assert _same(unzipped(zipped_parts(odd.withColumn("to", F.lit(1)), "to", [place]), odd.schema, place), odd)
+    added = zipped_parts(rows.select("doc_id", "word", "surp", F.lit(0).alias("to")), "to", ["word"], "surp")
+    fields = spark.createDataFrame([], "doc_id long, word string, surp double, surp_n long").schema
+    want = rows.groupBy("doc_id", "word").agg(F.count("surp").alias("n"))
+    assert _same(unzipped(added, fields, "word").groupBy("doc_id", "word").agg(F.sum("surp_n").alias("n")), want)
+
+
+def test_even_parts_have_a_task_each(spark):
+    df = spark.createDataFrame([(v,) for v in even_parts(spark, 16)], "v int").repartition(16, "v")
+    assert df.select(F.spark_partition_id().alias("p")).distinct().count() == 16
+
+
+def test_group_moments_match_sql_in_any_stretch(spark, monkeypatch):
+    rows = spark.range(3000).select(F.concat(F.lit("g"), (F.col("id") * F.col("id")) % 97).alias("g"), (F.col("id") % 7 / 3).alias("a"), F.rand(5).alias("b"), F.lit(0.1).alias("c"))
+    stat = {"n": F.count(F.lit(1))} | {f"m{i}": F.avg(x) for i, x in enumerate("abc")}
+    stat |= {f"c{i}_{j}": F.covar_pop("abc"[i], "abc"[j]) for i in range(3) for j in range(i, 3)}
+    want = sorted(tuple(round(v, 9) for v in r) for r in rows.groupBy("g").agg(*[c.alias(n) for n, c in stat.items()]).select(*stat).collect())
+    for limit in (1_000_000, 250):
+        monkeypatch.setattr(mixedlm, "MOMENT_ROWS", limit)
+        got = mixedlm.group_moments(rows, "g", ["a", "b", "c"])
+        assert got.columns == list(stat)
+        found = got.collect()
+        assert all(r["c2_2"] == 0 for r in found)                       # equal values vary by nothing
+        assert sorted(tuple(round(v, 9) + 0.0 for v in r) for r in found) == [tuple(v + 0.0 for v in r) for r in want]
+
+
+def test_words_meet_reading_times_compressed(spark, monkeypatch):
+    w = spark.range(4000).select((F.col("id") % 3).alias("item"), F.floor(F.col("id") / 3).alias("zone"), F.concat(F.lit("w"), F.col("id") % 11).alias("word"))
+    r = w.select("word", "zone", "item", F.explode(F.array(F.lit(1.0), F.lit(4.0), F.lit(None).cast("double"))).alias("meanItemRT"))
+    monkeypatch.setattr(indexing, "ZIP_ROWS", 300)                      # a word's reading times come from several stretches
+    got = align.join_word_rt(w.unionByName(w), r.repartition(4))
+    assert [(x.rt, x["count"]) for x in got.groupBy("rt").count().collect()] == [(2.5, 8000)]
 
 
 def test_token_buckets_are_compressed_and_large_documents_are_written_by_several_tasks(spark, tmp_path, monkeypatch):
@@ -45,6 +76,14 @@ def test_token_buckets_are_compressed_and_large_documents_are_written_by_several
     assert [(r.n_buckets, r.n_keys, r.n_rows) for r in spark.read.parquet(f"{path}/_manifest").collect()] == [(1, 2, 30_000)]
 
 
+def test_words_without_reading_times_are_counted_by_the_packed_join(spark):
+    s = spark.createDataFrame([(1, 1, "a"), (1, 2, "b"), (2, 1, None), (None, 1, "a"), (3, 5, "c")], "item long, zone long, word string")
+    r = spark.createDataFrame([("a", 1, 1, None), ("b", 2, 1, 2.0), (None, 1, 2, 1.0), ("c", 4, 3, 1.0)], "word string, zone long, item long, meanItemRT double")
+    none = align.join_word_rt(s, r.withColumn("there", F.lit(1.0)), rt="there").where("rt is null")
+    want = s.join(r, ["word", "zone", "item"], "left_anti")            # a row without a value still is a row
+    assert _same(none.select("word", "zone", "item"), want) and want.count() == 3
+
+
 def test_wide_token_tables_are_written_where_they_lie(spark, tmp_path, monkeypatch):
     from lectio import session
     from lectio.operators.surprisal import token_surprisal
