@@ -84,6 +84,31 @@ def test_words_without_reading_times_are_counted_by_the_packed_join(spark):
     assert _same(none.select("word", "zone", "item"), want) and want.count() == 3
 
 
+def test_bigrams_of_a_large_vocabulary_are_looked_up_compressed(spark, monkeypatch):
+    from lectio.operators import surprisal
+    docs = spark.range(60).select(F.col("id").alias("doc_id"), F.transform(F.sequence(F.lit(1), F.lit(80)), lambda i: F.concat(F.lit("W"), (i * i + F.col("id") % 7) % 23)).alias("tokens"))
+    docs = docs.unionByName(docs.where("doc_id = 3")).coalesce(2)                    # a repeated document
+    want = surprisal.bigram_table(docs, "doc_id").collect()
+    monkeypatch.setattr(surprisal, "VOCABULARY_BYTES", 2_000)
+    monkeypatch.setattr(indexing, "ZIP_ROWS", 900)
+    got = surprisal.bigram_table(docs, "doc_id")
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want))
+    assert "MapInArrow" in plan and "SortMergeJoin" not in plan                     # no token crosses a shuffle as a row of its own
+
+
+def test_lookups_and_sums_over_several_batches(spark, monkeypatch):
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "50")
+    try:
+        rows = spark.range(1000).select(F.col("id").alias("n"), F.when(F.col("id") % 10 != 3, (F.col("id") % 8).cast("string")).alias("k"))
+        lookup = spark.createDataFrame([(str(i), i / 4) for i in range(6)] + [(None, 9.0)], "k string, v double")
+        assert _same(indexing.looked_up(rows, lookup, ["k"], "v", ["n"]), rows.join(lookup, "k", "left").select("n", "k", "v"))
+        summed = indexing.group_sums(rows.coalesce(1).sortWithinPartitions("k"), ["k"], "n")
+        assert _same(summed, rows.groupBy("k").agg(F.sum("n").alias("n")))
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
 def test_wide_token_tables_are_written_where_they_lie(spark, tmp_path, monkeypatch):
     from lectio import session
     from lectio.operators.surprisal import token_surprisal
