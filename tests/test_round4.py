@@ -109,6 +109,17 @@ def test_lookups_and_sums_over_several_batches(spark, monkeypatch):
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
 
 
+def test_header_of_many_folders_is_read_from_one_file(spark, tmp_path, monkeypatch):
+    from lectio.sources import read_token_outputs, readers, write_token_outputs
+    path = str(tmp_path / "t")
+    write_token_outputs(_tokens(spark, 5, 3).select("doc_id", "word", "wlen", F.col("tok_pos").alias("sentpos"), "surp").where("doc_id > 0"), path, "doc_id")
+    asked, plain = [], readers.header_of
+    monkeypatch.setattr(readers, "header_of", lambda reader, where: asked.append(where) or plain(reader, where))
+    got = read_token_outputs(spark, path, "surp double, word string", glob="*.csv", key_pattern=r"/doc=([^/]+)/", key_col="doc_id")
+    assert len(asked) == 1 and asked[0].endswith(".csv") and got.count() == 12
+    assert {r.doc_id for r in got.select("doc_id").distinct().collect()} == set("1234")
+
+
 def test_wide_token_tables_are_written_where_they_lie(spark, tmp_path, monkeypatch):
     from lectio import session
     from lectio.operators.surprisal import token_surprisal
